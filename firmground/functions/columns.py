@@ -63,3 +63,32 @@ def collect_stats(df: DataFrame, exprs: list[Column], size: int = 100) -> dict:
     for part in wide_aggs(df, exprs, size):
         out.update(part.first().asDict())
     return out
+
+
+def attach(df: DataFrame, one_row: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Add the columns of a one-row frame to every row, as a scalar subquery (no join)."""
+    names = names or one_row.columns
+    value = one_row.select(F.struct(*names).alias("s")).scalar()
+    return df.withColumn("_one_row", value).select(*df.columns, *[F.col(f"_one_row.{n}").alias(n) for n in names])
+
+
+def exploded(df: DataFrame, structs: list[Column]) -> DataFrame:
+    """Turn struct columns of each row into rows; NULL structs vanish."""
+    return df.select(F.explode(F.array_compact(F.array(*structs))).alias("_row")).select("_row.*")
+
+
+def long_counts(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """Counts of every value of every column as text: ``by…, column, value, n`` (nulls and NaN are one value)."""
+    by = by or []
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.when(~is_null(df, c), F.col(c).cast("string")).alias("value"))
+        for c in cols])).alias("cell")
+    return df.select(*by, cells).select(*by, "cell.*").groupBy(*by, "column", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

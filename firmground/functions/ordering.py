@@ -36,7 +36,7 @@ def with_chunk(df: DataFrame, col: str, bounds: list[float], out: str = CHUNK) -
     if not bounds:
         return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *bounds, float("inf")]
-    tmp = "_chunk_value"
+    tmp = "_binned"
     binned = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(
         df.withColumn(tmp, F.col(col).cast("double"))
     )
@@ -169,20 +169,26 @@ def framed(
 
 
 def value_counts(df: DataFrame, cols: list[str], by: list[str] | None = None,
-                 bounds: bool = True) -> DataFrame:
-    """Long counts ``(by…, column, value, n)`` of numeric columns, with the chunk of each value when asked."""
+                 measures: dict[str, Column] | None = None) -> DataFrame:
+    """Collapse numeric columns to ``(by…, column, value, chunk, measures…)``; the default measure ``n`` counts rows.
+
+    Null and NaN cells are left out. The chunk of each value comes from per-column bounds.
+    """
     by = by or []
-    cuts = chunk_bounds(df, cols) if bounds else [[] for _ in cols]
-    wide = df
+    measures = measures or {"n": F.lit(1)}
+    cuts = chunk_bounds(df, cols)
+    wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols],
+                     *[m.cast("bigint").alias(f"_m_{k}") for k, m in measures.items()])
     for c, b in zip(cols, cuts):
-        wide = with_chunk(wide.withColumn(c, F.col(c).cast("double")), c, b, f"_chunk_{c}")
+        wide = with_chunk(wide, c, b, f"_chunk_of_{c}")
     cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), (F.col(c) + 0.0).alias("value"), F.col(f"_chunk_{c}").alias(CHUNK))
+        F.struct(F.lit(c).alias("column"), (F.col(c) + 0.0).alias("value"), F.col(f"_chunk_of_{c}").alias(CHUNK))
         for c in cols])).alias("cell")
     return (
-        wide.select(*by, cells).select(*by, "cell.*")
+        wide.select(*by, *[f"_m_{k}" for k in measures], cells)
+        .select(*by, *[f"_m_{k}" for k in measures], "cell.*")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "column", "value", CHUNK).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*by, "column", "value", CHUNK).agg(*[F.sum(f"_m_{k}").alias(k) for k in measures])
     )
 
 

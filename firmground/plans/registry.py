@@ -12,6 +12,10 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Schema per file, so that a table is not opened again for its footer on each use.
+_SCHEMAS: dict = {}
+
+
 class Tables:
     """Attribute access to the parquet tables of one folder."""
 
@@ -21,7 +25,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def query(name: str, sql: str | None = None):

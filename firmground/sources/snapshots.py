@@ -25,9 +25,9 @@ def time_column(df: DataFrame) -> str | None:
 
 
 def content_hash(df: DataFrame) -> Column:
-    """Order-free hash over every row; repeated rows count, as each row adds a second hash of its own copies."""
+    """Order-free hash over every row; the sum beside the xor tells repeated rows apart."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    mixed = F.pmod(row, F.lit(2147483647))
+    mixed = F.pmod(row, F.lit(2147483647)).cast("decimal(18,0)")
     return F.concat_ws(":", F.hex(F.bit_xor(row)), F.sum(mixed).cast("string"))
 
 
