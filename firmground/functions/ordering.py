@@ -219,16 +219,16 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     return found.select(*group, F.col("total").alias("n"), *outs)
 
 
-def order_cuts(df: DataFrame, ts: str, key: str, fractions: list[float]) -> list[tuple]:
-    """The (ts, key) of the first row after each cut ``int(n * fraction)`` of the order by (ts, key).
+def order_cuts(df: DataFrame, ts: str, key: str, ranks_of: Callable[[int], list[int]]) -> list[tuple]:
+    """The (ts, key) at given zero-based ranks of the order by (ts, key); ``ranks_of`` maps the row count to ranks.
 
-    Returned to the driver (one pair per fraction; None when the cut is past the end), so a split becomes a plain
+    Returned to the driver (one pair per rank; None when the rank is past the end), so a split becomes a plain
     comparison on the scan and needs no shuffle of the table. ``ts`` and ``key`` are integer columns.
     """
     per_ts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("n"))
     upto = running(per_ts, [ts], {"upto": ("sum", "n")})
     n = df.count()
-    ranks = [int(n * f) for f in fractions]
+    ranks = ranks_of(n)
     hit = F.lit(False)
     for r in ranks:
         hit = hit | ((F.col("upto") - F.col("n") <= r) & (F.lit(r) < F.col("upto")))
