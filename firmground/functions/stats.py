@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 
@@ -12,12 +14,19 @@ def z_value(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf("double")
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided tail probability of a standard normal (applied to small summary tables only)."""
+# Task functions of this module travel with the query, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype("float64")
 
 
+def normal_p(z: Column | str) -> Column:
+    """Two-sided tail probability of a standard normal; meant for small summary tables."""
+    return F.pandas_udf(_normal_tail, "double")(z)
+
+
 def _beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -39,14 +48,17 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return front * total
 
 
-@F.pandas_udf("double")
-def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided tail probability of Student's t (applied to small summary tables only)."""
+def _student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([
         None if v is None or k is None or v != v or k != k or k <= 0 else _beta_tail(k / 2, 0.5, k / (k + v * v))
         for v, k in zip(t, df)], dtype="float64")
 
 
+def student_p(t: Column | str, df: Column | str) -> Column:
+    """Two-sided tail probability of Student's t; meant for small summary tables."""
+    return F.pandas_udf(_student_tail, "double")(t, df)
+
+
 def two_proportion_z(p1: Column, n1: Column, p2: Column, n2: Column) -> Column:
     """Pooled z statistic; NULL without spread or with an empty side."""
     pooled = F.try_divide(p1 * n1 + p2 * n2, n1 + n2)
