@@ -92,3 +92,11 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Pairwise-complete correlation aggregate; NULL without spread (the built-in one fails on a constant column)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    a, b = a.cast("double"), b.cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))

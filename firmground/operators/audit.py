@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import (
-    as_double, attach, collect_stats, exploded, is_null, is_numeric, long_counts, micros, numeric_columns, union_all,
+    as_double, attach, collect_stats, exploded, is_null, is_numeric, long_counts, micros, numeric_columns, pearson, union_all,
     whole_days,
 )
 from firmground.functions.ordering import framed, quantiles
@@ -69,7 +69,7 @@ def pair_correlations(df: DataFrame, exprs: dict[str, Column], size: int = 300)
     parts = []
     for i in range(0, len(pairs), size):
         block = pairs[i:i + size]
-        row = wide.agg(*[F.corr(at[a], at[b]).alias(f"r{k}") for k, (a, b) in enumerate(block)])
+        row = wide.agg(*[pearson(at[a], at[b]).alias(f"r{k}") for k, (a, b) in enumerate(block)])
         parts.append(exploded(row, [
             F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r"))
             for k, (a, b) in enumerate(block)]))

@@ -1,9 +1,10 @@
 """Experiment sizing, read-outs and effect estimates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from firmground.functions.columns import exploded, whole_days
+from firmground.functions.columns import exploded, micros, whole_days
+from firmground.functions.ordering import framed, grouped_running, hot_keys
 from firmground.functions.stats import normal_p, student_p, two_proportion_z, welch, z_value
 
 
@@ -154,3 +155,23 @@ def geo_incrementality(df: DataFrame, geo: str, period_post: Column, treated: Co
         F.count_if("hit").alias("treated_geos"), F.sum(F.when(F.col("hit"), F.col("spend"))).alias("spend"))
     gain = F.col("effect_per_geo") * F.col("treated_geos")
     return row.select("effect_per_geo", "treated_geos", gain.alias("incremental"), "spend", F.try_divide(gain, F.col("spend")).alias("iroas"))
+
+
+def unit_sessions(df: DataFrame, unit: str, ts: str, key: str, gap_seconds: int) -> DataFrame:
+    """``unit, start, end, n``: runs of a unit's events closer than the gap (end = last event plus the gap).
+
+    Starts are marked against the previous event and numbered by a running count, so that one very active unit is
+    never a single task's work.
+    """
+    def mark(frame: DataFrame, part: list[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy("_at", key)
+        late = F.col("_at") - F.lag("_at").over(w) >= gap_seconds * 1_000_000
+        return frame.withColumn("_new", F.coalesce(late, F.lit(True)).cast("int"))
+
+    rows = df.where(F.col(unit).isNotNull()).select(unit, key, micros(ts).alias("_at"))
+    hot = hot_keys(rows, unit)
+    marked = framed(rows, unit, ["_at", key], mark, hot=hot)
+    numbered = grouped_running(marked, unit, [unit], [F.asc("_at"), F.asc(key)], ["_at", key], {"_s": ("sum", "_new")}, hot=hot)
+    return numbered.groupBy(unit, "_s").agg(
+        F.timestamp_micros(F.min("_at")).alias("start"),
+        F.timestamp_micros(F.max("_at") + gap_seconds * 1_000_000).alias("end"), F.count(F.lit(1)).alias("n")).drop("_s")

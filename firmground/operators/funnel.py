@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, long_counts, micros
+from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, long_counts, micros, pearson
 from firmground.operators.audit import duplicate_columns, pair_correlations
 from firmground.operators.leakage import post_outcome_name
 from firmground.operators.metrics import neg_rmse, ranking
@@ -34,7 +34,7 @@ def stage0_leakage(df: DataFrame, target: str, candidates: list[str], cutoff: fl
     """Evict post-outcome names, and numeric columns correlating with the target at the cutoff or above."""
     open_cols = [c for c in candidates if not post_outcome_name(c)]
     num = [c for c in open_cols if is_numeric(df, c)] if is_numeric(df, target) else []
-    corr = collect_stats(df, [F.corr(as_double(df, c), as_double(df, target)).alias(c) for c in num]) if num else {}
+    corr = collect_stats(df, [pearson(as_double(df, c), as_double(df, target)).alias(c) for c in num]) if num else {}
     out: list[Verdict] = []
     for c in candidates:
         r = corr.get(c)
@@ -109,7 +109,7 @@ def univariate(df: DataFrame, target: str, candidates: list[str], by: list[str]
     facts = df.groupBy(*by).agg(
         F.avg(y).alias("_rate"), F.min(y).alias("_lo"), F.max(y).alias("_hi"),
         F.bool_and((y == F.lit(0.0)) | (y == F.lit(1.0))).alias("_bin"), F.count(F.lit(1)).alias("_n"),
-        *[F.abs(F.corr(as_double(df, c), y)).alias(f"_r_{c}") for c in num]).collect()
+        *[F.abs(pearson(as_double(df, c), y)).alias(f"_r_{c}") for c in num]).collect()
     for row in facts:
         group = row[by[0]] if by else None
         rare = row["_bin"] and row["_lo"] != row["_hi"] and row["_rate"] < 0.05
@@ -281,5 +281,5 @@ def stage10_confirm(train: DataFrame, held: DataFrame, target: str, candidates:
 def stop_rule(lifts: DataFrame, folds: DataFrame, lift: str = "lift", score: str = "score") -> DataFrame:
     """``best_lift, se, stop``: stop when the best lift is under the cross-fold standard error."""
     best = lifts.agg(F.max(lift).alias("best_lift"))
-    se = folds.agg((F.stddev_samp(score) / F.sqrt(F.count(score))).alias("se"))
+    se = folds.agg(F.try_divide(F.stddev_samp(score), F.sqrt(F.count(score))).alias("se"))
     return attach(best, se).withColumn("stop", F.col("best_lift") < F.col("se"))

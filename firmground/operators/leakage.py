@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from firmground.functions.columns import (
-    as_double, attach, exploded, is_null, is_numeric, union_all, whole_days,
+    as_double, attach, exploded, is_null, is_numeric, pearson, union_all, whole_days,
 )
 from firmground.functions.ordering import quantiles
 from firmground.operators.signal import coded_target, filled
@@ -31,7 +31,7 @@ def leak_scan(df: DataFrame, target: str, threshold: float = 0.98, null_threshol
     ready = filled(coded, num) if num else coded
     aggs, rows = [], []
     for i, c in enumerate(num):
-        aggs.append(F.abs(F.corr(c, "_y")).alias(f"r{i}"))
+        aggs.append(F.abs(pearson(c, "_y")).alias(f"r{i}"))
         rows.append(F.when(F.col(f"r{i}").isNotNull() & ~F.isnan(f"r{i}"), F.struct(
             F.lit(c).alias("column"), F.lit("corr").alias("check"), F.col(f"r{i}").alias("value"),
             (F.col(f"r{i}") >= threshold).alias("flag"))))

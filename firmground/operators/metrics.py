@@ -35,7 +35,7 @@ def ranking(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataF
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("_neg"),
             F.sum(neg * (tp - pos / 2)).alias("_pairs"),
-            F.sum(pos * tp / (tp + fp)).alias("_area"),
+            F.sum(F.try_divide(pos * tp, tp + fp)).alias("_area"),
         ).select(
             *by, "n", "pos",
             F.try_divide("_pairs", F.col("pos").cast("double") * F.col("_neg")).alias("auc"),

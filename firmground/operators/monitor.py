@@ -42,7 +42,7 @@ def _buckets(ref: DataFrame, frames: list[DataFrame], cols: list[str], bins: int
             work = Bucketizer(splits=splits, inputCol="_neg", outputCol=f"_b_{c}", handleInvalid="keep").transform(
                 work.withColumn("_neg", value)).drop("_neg")
         cells = [F.struct(F.lit(c).alias("column"), (
-            F.when(F.col(f"_b_{c}").isNotNull(), F.col(f"_b_{c}").cast("int").cast("string")) if c in cuts
+            (F.lit(len(cuts[c])) - F.col(f"_b_{c}").cast("int")).cast("string") if c in cuts
             else F.col(c).cast("string")).alias("bucket")) for c in used]
         out.append(work.withColumn("_cell", F.explode(F.array(*cells))).where("_cell.bucket is not null"))
     return out, kinds

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from firmground.functions.columns import as_double, collect_stats, is_null, is_numeric, long_counts, union_all
+from firmground.functions.columns import as_double, collect_stats, is_null, is_numeric, long_counts, pearson, union_all
 from firmground.functions.ordering import quantiles
 from firmground.operators.audit import duplicate_columns
 from firmground.operators.metrics import column_auc
@@ -37,7 +37,7 @@ def numeric_signal(df: DataFrame, y: str, cols: list[str]) -> DataFrame:
     parts = []
     for i in range(0, len(cols), 100):
         block = cols[i:i + 100]
-        row = ready.agg(*[F.abs(F.corr(c, y)).alias(c) for c in block], *[
+        row = ready.agg(*[F.abs(pearson(c, y)).alias(c) for c in block], *[
             (F.min(c) < F.max(c)).alias(f"_v_{c}") for c in block])
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0.0)).alias("score"),
                                    F.col(f"_v_{c}").alias("v")) for c in block])
@@ -128,7 +128,7 @@ def triage(df: DataFrame, target: str, key: list[str], near: float = 0.99, high_
         else:
             rest = num
         if rest:
-            scores.update(collect_stats(df, [F.abs(F.corr(as_double(df, c), as_double(df, target))).alias(c)
+            scores.update(collect_stats(df, [F.abs(pearson(as_double(df, c), as_double(df, target))).alias(c)
                                              for c in rest]))
     table = []
     for c in cols:

@@ -1,6 +1,10 @@
+import uuid
+
 from pyspark.sql import functions as F
 
+from firmground.operators.audit import grain_check
 from firmground.plans.registry import query
+from firmground.session import checkpoint_dir
 from firmground.sources import snapshots, tables
 
 
@@ -58,3 +62,17 @@ def _(t):
         snap(t.customer, "customer")).unionByName(snap(t.region, "gone"))
     new = snap(t.orders, "orders").unionByName(snap(t.customer, "customer"))
     return snapshots.snapshot_diff(old, new, 0.05, today="2026-03-01")
+
+
+@query("sc04_result_sink", """
+with k as (select o_custkey, count(*) as c from orders group by 1), g as (select sum(c)::bigint as rows, count(*) as uniques, sum(c - 1)::bigint as dup_rows from k)
+select f as fmt, rows, uniques, dup_rows from g, (select unnest(['parquet', 'json', 'csv', 'orc']) as f)""")
+def _(t):
+    found = grain_check(t.orders, ["o_custkey"]).select("rows", "uniques", "dup_rows")
+    base = f"{checkpoint_dir(t.spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    out = None
+    for fmt in ("parquet", "json", "csv", "orc"):
+        path = tables.write(found, f"{base}/{fmt}", fmt)
+        back = tables.scan(t.spark, path, ["rows", "uniques", "dup_rows"], fmt=fmt, schema=found.schema).withColumn("fmt", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out
