@@ -43,6 +43,32 @@ def with_chunk(df: DataFrame, col: str, bounds: list[float], out: str = CHUNK) -
     return binned.drop(tmp)
 
 
+def with_order_chunk(df: DataFrame, order: list[str], chunks: int | None = None, out: str = CHUNK) -> DataFrame:
+    """Add a chunk index growing with the order of one or two numeric columns.
+
+    A first value so frequent that it fills several quantiles is cut further by the second column, so not even one
+    timestamp with a third of the rows is a single chunk.
+    """
+    chunks = chunks or parallelism(df.sparkSession)
+    if chunks == 1:
+        return df.withColumn(out, F.lit(0.0))
+    probs = [i / chunks for i in range(1, chunks)]
+    marks = sorted(df.select(F.col(order[0]).cast("double").alias("o")).approxQuantile("o", probs, 0.5 / chunks))
+    heavy = {v: marks.count(v) for v in set(marks) if marks.count(v) > 1} if len(order) > 1 else {}
+    df = with_chunk(df, order[0], sorted(set(marks)), out)
+    if not heavy:
+        return df
+    first, second = F.col(order[0]).cast("double"), F.col(order[1]).cast("double")
+    wanted = [F.lit(i / (max(heavy.values()) + 1)) for i in range(1, max(heavy.values()) + 1)]
+    found = df.where(first.isin(list(heavy))).groupBy(first.alias("v")).agg(
+        F.percentile_approx(second, F.array(*wanted), 10 * chunks).alias("cuts")).collect()
+    part = F.lit(len(wanted) + 1)
+    for r in found:
+        cuts = F.array(*[F.lit(c) for c in sorted(set(r["cuts"]))])
+        part = F.when(first == r["v"], F.size(F.filter(cuts, lambda c: c <= second))).otherwise(part)
+    return df.withColumn(out, F.col(out) * (len(wanted) + 2) + part)
+
+
 _AGG: dict[str, Callable] = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -64,18 +90,16 @@ def running(
 ) -> DataFrame:
     """Add running aggregates in the given order: ``aggs = {out: ("sum" | "min" | "max", column)}``.
 
-    ``order[0]`` is numeric and cuts the order into chunks; rows equal on it stay together, so collapse ties first
-    where one value may be hot. Inside a chunk a plain window runs; chunk totals (at most one row per group and
-    chunk) are scanned separately and joined back as the carry-in. ``by`` columns must not be null. Pass
+    The first order columns are numeric and cut the order into chunks (see :func:`with_order_chunk`). Inside a chunk
+    a plain window runs; chunk totals (at most one row per group and chunk) are scanned separately and joined back
+    as the carry-in. ``by`` columns must not be null. Pass ``bounds`` to cut by given values of ``order[0]``, or
     ``chunk_col`` when the chunk index is already a column, growing with the order inside each group.
     """
     by = by or []
+    own = chunk_col is None
     if chunk_col is None:
-        if bounds is None:
-            bounds = chunk_bounds(df, [order[0]])[0]
-        df, chunk_col, own = with_chunk(df, order[0], bounds), CHUNK, True
-    else:
-        own = False
+        df = with_order_chunk(df, order[:2]) if bounds is None else with_chunk(df, order[0], bounds)
+        chunk_col = CHUNK
     turn = F.desc if descending else F.asc
     edge = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*by, chunk_col).orderBy(*[turn(c) for c in order]).rowsBetween(
@@ -169,14 +193,15 @@ def framed(
 
 
 def value_counts(df: DataFrame, cols: list[str], by: list[str] | None = None,
-                 measures: dict[str, Column] | None = None) -> DataFrame:
+                 measures: dict[str, Column] | None = None, cuts: list[list[float]] | None = None) -> DataFrame:
     """Collapse numeric columns to ``(by…, column, value, chunk, measures…)``; the default measure ``n`` counts rows.
 
-    Null and NaN cells are left out. The chunk of each value comes from per-column bounds.
+    Null and NaN cells are left out. The chunk of each value comes from per-column bounds (``cuts``, or
+    approximate quantiles).
     """
     by = by or []
     measures = measures or {"n": F.lit(1)}
-    cuts = chunk_bounds(df, cols)
+    cuts = cuts or chunk_bounds(df, cols)
     wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols],
                      *[m.cast("bigint").alias(f"_m_{k}") for k, m in measures.items()])
     for c, b in zip(cols, cuts):

@@ -380,14 +380,16 @@ def suppress(df: DataFrame, group: list[str], n_col: str, values: list[str], k:
 
 def pii_scan(df: DataFrame, cols: list[str]) -> DataFrame:
     """``column, kind, n_rows, hits`` of personal-data patterns in whole texts."""
+    counted = df.select(*[F.regexp_count(F.col(c), F.lit(p)).alias(f"_{i}{k}") for i, c in enumerate(cols)
+                          for k, p in PII.items()])
     aggs, rows = [], []
     for i, c in enumerate(cols):
-        for kind, pattern in PII.items():
-            hits = F.regexp_count(F.col(c), F.lit(pattern))
+        for kind in PII:
+            hits = F.col(f"_{i}{kind}")
             aggs += [F.count_if(hits > 0).alias(f"r{i}{kind}"), F.coalesce(F.sum(hits), F.lit(0)).alias(f"h{i}{kind}")]
             rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"),
                                  F.col(f"r{i}{kind}").alias("n_rows"), F.col(f"h{i}{kind}").alias("hits")))
-    return exploded(df.agg(*aggs), rows)
+    return exploded(counted.agg(*aggs), rows)
 
 
 def base_rate(df: DataFrame, y: str) -> DataFrame:

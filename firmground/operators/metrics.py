@@ -3,13 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from firmground.functions.ordering import CHUNK, running, value_counts
+from firmground.functions.ordering import CHUNK, chunk_bounds, running, value_counts
 
 
-def score_counts(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+def score_counts(df: DataFrame, y: str, p: str, by: list[str] | None = None,
+                 cuts: list[list[float]] | None = None) -> DataFrame:
     """Collapse a prediction table to one row per distinct score: ``by…, score, pos, neg``."""
     clean = df.where(F.col(y).isNotNull())
-    counts = value_counts(clean, [p], by, {"pos": (F.col(y) == 1).cast("int"), "neg": (F.col(y) == 0).cast("int")})
+    counts = value_counts(clean, [p], by, {"pos": (F.col(y) == 1).cast("int"), "neg": (F.col(y) == 0).cast("int")}, cuts)
     return counts.withColumnRenamed("value", "score").drop("column")
 
 
@@ -20,13 +21,14 @@ def with_totals(df: DataFrame, source: DataFrame, by: list[str], sums: dict[str,
     return df.select("*", *[source.agg(F.sum(c)).scalar().alias(o) for o, c in sums.items()])
 
 
-def ranking(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+def ranking(df: DataFrame, y: str, p: str, by: list[str] | None = None,
+            cuts: list[list[float]] | None = None) -> DataFrame:
     """``by…, n, pos, auc, ap``: ROC AUC with half credit for ties, and average precision.
 
     NULL where a class is missing.
     """
     by = by or []
-    seen = running(score_counts(df, y, p, by), ["score"], {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, by,
+    seen = running(score_counts(df, y, p, by, cuts), ["score"], {"tp": ("sum", "pos"), "fp": ("sum", "neg")}, by,
                    descending=True, chunk_col=CHUNK)
     pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
     return (
@@ -137,10 +139,11 @@ def fold_stats(df: DataFrame, score: str, by: list[str]) -> DataFrame:
 
 def by_segment(df: DataFrame, y: str, p: str, segment: str, drop: float = 0.05, min_n: int = 30) -> DataFrame:
     """Ranking metrics per segment beside the overall AUC; ``collapsed`` where the AUC falls by more than ``drop``."""
-    overall = ranking(df, y, p).select("auc")
+    cuts = chunk_bounds(df, [p])
+    overall = ranking(df, y, p, cuts=cuts).select("auc")
     error = df.groupBy(segment).agg(F.avg((F.col(y) != F.bround(F.col(p), 0)).cast("int")).alias("error_rate"))
     return (
-        ranking(df, y, p, [segment]).join(error, segment)
+        ranking(df, y, p, [segment], cuts).join(error, segment)
         .withColumn("overall_auc", overall.scalar())
         .withColumn("collapsed", (F.col("n") >= min_n) & (F.col("auc") < F.col("overall_auc") - drop))
     )

@@ -3,7 +3,8 @@
 The engine is linear in facts and decisions. Time is cut into blocks as wide as the window, so the window
 ``[d - w, d)`` is a suffix of one block plus a prefix of the next. Decisions travel through the same sort as the
 facts and read both running aggregates; no (fact, decision) pairs are ever made, whatever the number of facts or
-decisions of one entity. Hot entities are split further by time (see ``functions.ordering``).
+decisions of one entity. Facts of a hot entity are merged per timestamp and split further by time (see
+``functions.ordering``).
 """
 from __future__ import annotations
 
@@ -39,6 +40,11 @@ def window_parts(spine: DataFrame, facts: DataFrame, entity: str, decision: str,
         rows = rows.unionByName(ask(at - width, False))
     rows = rows.withColumn("_blk", linear_bucket(F.col("_t"), width) if width else F.lit(0).cast("bigint"))
     hot = hot_keys(rows, entity)
+    if hot:
+        busy = (F.col("_kind") == 1) & F.col(entity).isin(hot)
+        merged = rows.where(busy).groupBy(entity, "_t", "_kind", "_pre", decision, "_blk").agg(
+            *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])
+        rows = rows.where(~busy).unionByName(merged.select(*rows.columns))
     specs = {f"_p_{n}": (k, n) for n, (k, _) in parts.items()}
     run = grouped_running(rows, entity, [entity, "_blk"], [F.asc("_t"), F.asc("_kind")], ["_t", "_kind"], specs, hot=hot)
     if not width:

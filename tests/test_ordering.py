@@ -72,3 +72,15 @@ def test_order_cuts_with_ties(spark, frame, parts):
     line = pdf.sort_values(["t", "id"])[["t", "id"]].to_numpy()
     assert cuts[:3] == [tuple(line[i]) for i in (0, len(line) // 3, len(line) - 1)]
     assert cuts[3] is None
+
+
+def test_one_timestamp_with_most_rows_is_cut_by_the_key(spark):
+    n = 2000
+    pdf = pd.DataFrame({"t": np.where(np.arange(n) % 3 == 0, np.arange(n) % 7, 3), "id": np.random.default_rng(1).permutation(n)})
+    df = O.with_order_chunk(spark.createDataFrame(pdf), ["t", "id"], 8)
+    sizes = df.groupBy(O.CHUNK).count().toPandas()["count"]
+    assert sizes.max() < n / 4
+    line = df.toPandas().sort_values(["t", "id"])
+    assert line[O.CHUNK].is_monotonic_increasing
+    got = O.running(spark.createDataFrame(pdf).withColumn("one", F.lit(1)), ["t", "id"], {"rn": ("sum", "one")}).toPandas()
+    assert got.sort_values(["t", "id"])["rn"].tolist() == list(range(1, n + 1))
