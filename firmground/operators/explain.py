@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from firmground.functions.columns import attach
+from firmground.functions.columns import attach, md5_bucket
 from firmground.functions.ordering import CHUNK, chunk_bounds, running, with_chunk
 
 
@@ -38,14 +38,17 @@ def family_attr(contrib: DataFrame, catalog: DataFrame) -> DataFrame:
 def reason_codes(df: DataFrame, key: list[str], coefs: dict[str, float], catalog: DataFrame, k: int = 5) -> DataFrame:
     """``key…, rank, feature, family, contribution, direction, reason``: the k strongest contributions of each row.
 
-    Ranking happens inside the row's own array, so no shuffle is needed; the catalog has one row per feature.
+    Ranking happens inside the row's own array, so no row is shuffled; the catalog is cut to one row per coefficient,
+    which bounds what is broadcast.
     """
     strong = F.slice(F.array_sort("_parts", lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1).when(
         F.abs(a["contribution"]) < F.abs(b["contribution"]), 1).when(a["feature"] < b["feature"], -1).when(
         a["feature"] > b["feature"], 1).otherwise(0)), 1, k)
     ranked = _contributions(df, coefs).select(*key, F.posexplode(strong).alias("_i", "p")).select(
         *key, (F.col("_i") + 1).alias("rank"), "p.*")
-    told = ranked.join(catalog.select("feature", "family", "rationale"), "feature", "left")
+    known = catalog.where(F.col("feature").isin(list(coefs))).groupBy("feature").agg(
+        F.first("family").alias("family"), F.first("rationale").alias("rationale"))
+    told = ranked.join(F.broadcast(known), "feature", "left")
     family = F.coalesce("family", F.lit("uncatalogued"))
     return told.select(
         *key, "rank", "feature", family.alias("family"), "contribution",
@@ -63,7 +66,7 @@ def wide_reasons(codes: DataFrame, key: list[str], k: int) -> DataFrame:
 
 def _numbered(df: DataFrame, seed: str, keep: list[str]) -> DataFrame:
     """Rows with a dense number along a hash order: a repeatable shuffle without one task sorting the table."""
-    hashed = df.select(*keep, F.xxhash64(F.lit(seed), "_key").alias("_h"), F.lit(1).alias("_one"))
+    hashed = df.select(*keep, md5_bucket("_text", 2**31 - 1, seed).alias("_h"), F.lit(1).alias("_one"))
     bounds = chunk_bounds(hashed, ["_h"])[0]
     return running(with_chunk(hashed, "_h", bounds), ["_h", "_key"], {"_n": ("sum", "_one")}, chunk_col=CHUNK).drop(
         "_h", "_one", CHUNK)
@@ -75,12 +78,12 @@ def permutation_importance(df: DataFrame, key: list[str], features: list[str], s
 
     ``score`` adds the prediction to a frame, ``metric`` returns one row with ``value``.
     """
-    rows = df.withColumn("_key", F.struct(*key))
+    rows = df.withColumns({"_key": F.struct(*key), "_text": F.concat_ws(",", *[F.col(k).cast("string") for k in key])})
     base = metric(score(df)).select(F.col("value").alias("base"))
     home = _numbered(rows, f"{seed}:home", [*df.columns, "_key"])
     out = None
     for f in features:
-        moved = _numbered(rows.select("_key", f), f"{seed}:{f}", ["_key", f]).select("_n", F.col(f).alias("_moved"))
+        moved = _numbered(rows.select("_key", "_text", f), f"{seed}:{f}", ["_key", f]).select("_n", F.col(f).alias("_moved"))
         mixed = home.join(moved, "_n").withColumn(f, F.col("_moved")).drop("_moved", "_n", "_key")
         row = attach(metric(score(mixed)).select(F.lit(f).alias("feature"), F.col("value").alias("permuted")), base)
         row = row.select("feature", "base", "permuted", (F.col("base") - F.col("permuted")).alias("importance"))

@@ -261,10 +261,9 @@ def stage10_confirm(train: DataFrame, held: DataFrame, target: str, candidates:
     """
     spark = train.sparkSession
     schema = "campaign string, metric string, score double"
-    root = spark._jvm.org.apache.hadoop.fs.Path(scores_path)
-    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        if spark.read.schema(schema).parquet(scores_path).where(F.col("campaign") == campaign).limit(1).count():
-            raise RuntimeError(f"holdout already used by campaign {campaign}")
+    spark.createDataFrame([], schema).write.mode("append").parquet(scores_path)
+    if spark.read.schema(schema).parquet(scores_path).where(F.col("campaign") == campaign).limit(1).count():
+        raise RuntimeError(f"holdout already used by campaign {campaign}")
     models, ready = encoded(train, candidates)
     model = boosted(task, trees, 3, seed).fit(_vectors(ready, candidates, target).select("_features", "_label"))
     scored = model.transform(_vectors(apply_encoding(held, candidates, models), candidates, target))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import DAY_US, linear_bucket, micros
 from firmground.functions.ordering import CHUNK, framed, grouped_running, hot_keys, running, value_counts
@@ -64,37 +64,39 @@ def window_features(spine: DataFrame, facts: DataFrame, entity: str, decision: s
     Counts are 0 without facts; the others are NULL under ``min_rows`` known values.
     """
     parts: dict[str, tuple[str, Column]] = {}
+    names: dict[tuple, str] = {}
+
+    def part(kind: str, col: Column, of: str) -> str:
+        """Name of an aggregate, shared by all features that need the same one."""
+        name = names.setdefault((kind, of), f"_a{len(names)}")
+        parts[name] = (kind, col)
+        return name
+
+    outs = []
     for name, (kind, col) in features.items():
+        text = str(col)
         if kind in ("count", "flag"):
-            hit = F.when(col, 1).otherwise(0) if str(facts.select(col).schema[0].dataType) == "BooleanType()" else (
-                col.isNotNull().cast("int"))
-            parts[f"{name}__n"] = ("sum", hit.cast("bigint"))
+            is_test = isinstance(facts.select(col).schema[0].dataType, T.BooleanType)
+            hit = F.when(col, 1).otherwise(0) if is_test else col.isNotNull().cast("int")
+            n = F.coalesce(F.col(part("sum", hit.cast("bigint"), f"hit {text}")), F.lit(0))
+            outs.append((n if kind == "count" else n > 0).alias(name))
             continue
-        parts[f"{name}__n"] = ("sum", col.isNotNull().cast("bigint"))
+        n = F.coalesce(F.col(part("sum", col.isNotNull().cast("bigint"), f"known {text}")), F.lit(0))
+        enough = n >= min_rows
         if kind in ("min", "max"):
-            parts[f"{name}__v"] = (kind, col)
-        else:
-            parts[f"{name}__v"] = ("sum", col.cast("double"))
-        if kind == "std":
-            parts[f"{name}__q"] = ("sum", (col * col).cast("double"))
-    got = window_parts(spine, facts, entity, decision, ts, window_days, parts)
-    outs = []
-    for name, (kind, _) in features.items():
-        n = F.coalesce(F.col(f"{name}__n"), F.lit(0))
-        if kind == "count":
-            value = n
-        elif kind == "flag":
-            value = n > 0
+            value = F.when(enough, F.col(part(kind, col, text)))
         else:
-            v, enough = F.col(f"{name}__v"), n >= min_rows
-            if kind == "mean":
+            v = F.col(part("sum", col.cast("double"), text))
+            if kind == "sum":
+                value = F.when(enough, v)
+            elif kind == "mean":
                 value = F.when(enough, F.try_divide(v, n))
-            elif kind == "std":
-                spread = F.greatest(F.col(f"{name}__q") - v * v / F.greatest(n, F.lit(1)), F.lit(0.0))
-                value = F.when(enough & (n > 1), F.sqrt(spread / F.greatest(n - 1, F.lit(1))))
             else:
-                value = F.when(enough, v)
+                q = F.col(part("sum", (col * col).cast("double"), f"square {text}"))
+                spread = F.greatest(q - v * v / F.greatest(n, F.lit(1)), F.lit(0.0))
+                value = F.when(enough & (n > 1), F.sqrt(spread / F.greatest(n - 1, F.lit(1))))
         outs.append(value.alias(name))
+    got = window_parts(spine, facts, entity, decision, ts, window_days, parts)
     return spine.join(got.select(entity, decision, *outs), [entity, decision], "left")
 
 

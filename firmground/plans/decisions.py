@@ -156,9 +156,17 @@ def _(t):
     return rounded(rounded(s, "rate", "rest_rate"), "stat", n=4).drop("p", "df")
 
 
-@query("er02_flagged_slices")
+@query("er02_flagged_slices", "with " + HARD + """
+, x as (select (y <> pred_y)::int::double as e, segment, lane, channel as brand from h),
+""" + SLICES.replace("'brand'", "'channel'") + """, t as (select count(*) as tn, sum(e) as ts from x),
+g as (select "column", value, count(*) as n, sum(e) as s from u group by all),
+r as (select *, s / n as p1, (ts - s) / (tn - n) as p2, ts / tn as pp, tn - n as m from g, t where n >= 30),
+z as (select "column", value, n, round(p1, 6) as rate, round(p2, 6) as rest_rate,
+  (p1 - p2) / sqrt(pp * (1 - pp) * (1.0::double / n + 1.0::double / m)) as z from r)
+select "column", value, n, rate, rest_rate, round(z, 4) as stat, true as flag from z where z > 1.9599639845400545 order by z desc limit 10""")
 def _(t):
-    return E.flagged_slices(E.slice_errors(hard(t), "y", "pred_y", ["segment", "lane", "channel"]))
+    s = E.flagged_slices(E.slice_errors(hard(t), "y", "pred_y", ["segment", "lane", "channel"]))
+    return rounded(rounded(s, "rate", "rest_rate"), "stat", n=4).drop("p", "df")
 
 
 @query("er03_slice_errors_regression", "with " + HARD + """

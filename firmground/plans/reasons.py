@@ -43,13 +43,27 @@ def _(t):
     return rounded(X.reason_codes(t.lineitem, KEY, COEFS, catalog(t), 2), "contribution")
 
 
-@query("xp04_permutation_importance")
+HASH = "('0x' || substr(md5('{seed}' || l_orderkey || ',' || l_linenumber || ',' || l_partkey || ',' || l_suppkey), 1, 8))::bigint % 2147483647"
+RANK = "row_number() over (order by " + HASH + f", {K})"
+
+
+@query("xp04_permutation_importance", f"""
+with x as (select {K}, (l_returnflag = 'R')::int as y, (l_returnflag = 'R')::int * 0.4::double + l_discount as hint, l_quantity as qty from lineitem),
+r as (select *, {RANK.format(seed='7:home')} as h, {RANK.format(seed='7:hint')} as a, {RANK.format(seed='7:l_quantity')} as b from x),
+s as (select 'base' as f, y, hint, qty from r union all select 'hint', r.y, o.hint, r.qty from r join r o on r.h = o.a
+  union all select 'l_quantity', r.y, r.hint, o.qty from r join r o on r.h = o.b),
+p as (select f, y, round(1 / (1 + exp(-(-1.0::double + 4.0::double * hint + 0.01::double * qty))), 9) as p from s),
+c as (select f, p, sum(y)::bigint as pos, sum(1 - y)::bigint as neg from p group by all),
+q as (select *, sum(neg) over (partition by f order by p) - neg as nb from c),
+m as (select f, sum(pos::double * (nb + neg / 2.0)) / (sum(pos)::double * sum(neg)) as v from q group by 1)
+select m.f as feature, round(b.v, 6) as base, round(m.v, 6) as permuted, round(b.v - m.v, 6) as importance from m, m b where b.f = 'base' and m.f <> 'base'""")
 def _(t):
     df = t.lineitem.withColumn("y", F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).withColumn(
         "hint", F.col("y") * 0.4 + F.col("l_discount"))
-    return X.permutation_importance(
-        df, KEY, ["hint", "l_quantity"], lambda d: d.withColumn("p", X.linear_score({"hint": 4.0, "l_quantity": 0.01}, -1.0)),
+    out = X.permutation_importance(
+        df, KEY, ["hint", "l_quantity"], lambda d: d.withColumn("p", F.round(X.linear_score({"hint": 4.0, "l_quantity": 0.01}, -1.0), 9)),
         lambda d: M.auc(d, "y", "p"))
+    return rounded(out, "base", "permuted", "importance")
 
 
 SPEC = [B.Feature("revenue", "l_extendedprice * (1 - l_discount)", inputs=("l_extendedprice", "l_discount")),
