@@ -9,7 +9,7 @@ from firmground.plans.scores import rounded
 COEFS = {"l_quantity": 0.02, "l_extendedprice": 0.00001, "l_discount": -3.0, "l_tax": 1.5}
 K = ", ".join(KEY)
 CONTRIB = f"""m as (select avg(l_quantity) as a, avg(l_extendedprice) as b, avg(l_discount) as c, avg(l_tax) as d from lineitem),
-w as (select {K}, 0.02::double * (l_quantity - a) as l_quantity, 0.00001::double * (l_extendedprice - b) as l_extendedprice,
+w as (select row_number() over () as rid, {K}, 0.02::double * (l_quantity - a) as l_quantity, 0.00001::double * (l_extendedprice - b) as l_extendedprice,
   -3.0::double * (l_discount - c) as l_discount, 1.5::double * (l_tax - d) as l_tax from lineitem, m),
 u as (unpivot w on l_quantity, l_extendedprice, l_discount, l_tax into name feature value contribution)"""
 CATALOG = """cat as (select * from (values ('l_quantity', 'aggregation', 'large baskets'), ('l_extendedprice', 'aggregation', 'price level'),
@@ -34,7 +34,7 @@ def _(t):
     return rounded(rounded(out, "total"), "pct", n=4)
 
 
-@query("xp03_reason_codes", f"""with {CONTRIB}, {CATALOG}, r as (select *, row_number() over (partition by {K} order by abs(contribution) desc, feature)::int as rank from u)
+@query("xp03_reason_codes", f"""with {CONTRIB}, {CATALOG}, r as (select *, row_number() over (partition by rid order by abs(contribution) desc, feature)::int as rank from u)
 select {K}, rank, feature, coalesce(family, 'uncatalogued') as family, round(contribution, 6) as contribution,
   case when contribution > 0 then 'increases' else 'decreases' end as direction,
   coalesce(rationale, 'feature: ' || feature) || ' (' || coalesce(family, 'uncatalogued') || ' family)' as reason
