@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmground.functions.columns import DAY_US, micros, pearson
 from firmground.functions.ordering import framed, grouped_running
-from firmground.operators.monitor import FLOOR, _buckets
+from firmground.operators.monitor import FLOOR, bucket_cells
 from firmground.operators.splits import kfold
 
 
@@ -16,7 +16,7 @@ def woe(df: DataFrame, y: str, cols: list[str], bins: int = 10) -> DataFrame:
 
     Weight of evidence is ln(share of good / share of bad), good being y = 0; empty shares count as the floor.
     """
-    (cells,), _ = _buckets(df, [df.where(F.col(y).isNotNull()).select(y, *cols)], cols, bins)
+    (cells,), _ = bucket_cells(df, [df.where(F.col(y).isNotNull()).select(y, *cols)], cols, bins)
     counts = cells.groupBy(F.col("_cell.column").alias("feature"), F.col("_cell.bucket").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(y) == 1).cast("bigint")).alias("bad"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"))

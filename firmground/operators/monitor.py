@@ -18,7 +18,7 @@ FLOOR = 1e-4
 MODERATE, SIGNIFICANT = 0.1, 0.25
 
 
-def _buckets(ref: DataFrame, frames: list[DataFrame], cols: list[str], bins: int) -> tuple[list[DataFrame], dict[str, str]]:
+def bucket_cells(ref: DataFrame, frames: list[DataFrame], cols: list[str], bins: int) -> tuple[list[DataFrame], dict[str, str]]:
     """Long ``column, bucket`` cells of each frame, numeric columns cut at the reference quantiles.
 
     Numeric bins are right-closed with open ends; a numeric column with under two bins is left out, nulls too.
@@ -65,7 +65,7 @@ def _banded(table: DataFrame, kinds: dict[str, str], threshold: float) -> DataFr
 def psi(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None, bins: int = 10, threshold: float = 0.25) -> DataFrame:
     """``column, kind, psi, band, flagged`` of every shared column, most drifted first."""
     cols = cols or [c for c in ref.columns if c in cur.columns]
-    (a, b), kinds = _buckets(ref, [ref.select(*cols), cur.select(*cols)], cols, bins)
+    (a, b), kinds = bucket_cells(ref, [ref.select(*cols), cur.select(*cols)], cols, bins)
     cells = a.select("_cell.*", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
         b.select("_cell.*", F.lit(0).alias("r"), F.lit(1).alias("c")))
     counts = cells.groupBy("column", "bucket").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
@@ -84,7 +84,7 @@ def skew_over_time(ref: DataFrame, cur: DataFrame, ts: str, freq: str, cols: lis
     multiplied out.
     """
     stamped = cur.select(*cols, F.to_date(F.date_trunc(PERIODS[freq], ts)).alias("period"))
-    (a, b), kinds = _buckets(ref, [ref.select(*cols), stamped], cols, bins)
+    (a, b), kinds = bucket_cells(ref, [ref.select(*cols), stamped], cols, bins)
     rc = a.select("_cell.*").groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("r"))
     rt = rc.groupBy("column").agg(F.sum("r").alias("_r"))
     share = rc.join(rt, "column").select("column", "bucket", (F.col("r") / F.col("_r")).alias("rp"))

@@ -142,24 +142,22 @@ def _(t):
     return frame(t, N.stage7_stability(df, "y", ["l_quantity", "fading", "p_brand"], "l_shipdate", "_row"))
 
 
-NATION_CAT = """cat as (select 'f' || n_nationkey as feature, (n_nationkey % 7)::double as cost, n_nationkey % 3 <> 0 as online_available from nation)"""
+CATALOG = """cat as (select 'f' || p_partkey as feature, (p_size % 7)::double as cost, p_partkey % 3 <> 0 as online_available, p_brand from part)"""
 
 
 def catalog(t):
-    k = F.col("n_nationkey")
-    return t.nation.select(F.concat(F.lit("f"), k).alias("feature"), (k % 7).cast("double").alias("cost"),
-                           (k % 3 != 0).alias("online_available"))
+    return t.part.select(F.concat(F.lit("f"), F.col("p_partkey")).alias("feature"), (F.col("p_size") % 7).cast("double").alias("cost"),
+                         (F.col("p_partkey") % 3 != 0).alias("online_available"), "p_brand")
 
 
-@query("fn08_sign_off", f"""with {NATION_CAT}
-select 8 as stage, feature, n_regionkey = 1 as survived, null::double as score, case when n_regionkey = 1 then '' else 'no_sign_off' end as reason
-from cat join nation on feature = 'f' || n_nationkey""")
+@query("fn08_sign_off", f"""with {CATALOG}
+select 8 as stage, feature, p_brand in ('Brand#2', 'Brand#17') as survived, null::double as score,
+  case when p_brand in ('Brand#2', 'Brand#17') then '' else 'no_sign_off' end as reason from cat""")
 def _(t):
-    signed = t.nation.where("n_regionkey = 1").select(F.concat(F.lit("f"), F.col("n_nationkey")).alias("feature"))
-    return N.stage8_sign_off(catalog(t), signed)
+    return N.stage8_sign_off(catalog(t), catalog(t).where(F.col("p_brand").isin("Brand#2", "Brand#17")))
 
 
-@query("fn09_serving", f"""with {NATION_CAT}
+@query("fn09_serving", f"""with {CATALOG}
 select 9 as stage, feature, online_available and cost <= 4 as survived, cost as score,
   case when not online_available then 'offline' when cost > 4 then 'cost' else '' end as reason from cat""")
 def _(t):

@@ -1,9 +1,9 @@
-"""Session defaults for tests and the bench, and the shared-folder rule for cutting lineage."""
+"""Session defaults for tests and the bench, and the shared folder for files a query writes."""
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | int = 8, partitions: int = 8, app: str = "firmground") -> SparkSession:
@@ -31,9 +31,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
