@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from firmground.llm import exact_dedup
+from firmground.llm import exact_dedup, near_dedup, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -29,3 +29,14 @@ from n window w as (partition by body order by size desc, doc_id)""")
 def op1(spark, folder):
     found = exact_dedup.exact_groups(table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark, folder):
+    return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark, folder):
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
