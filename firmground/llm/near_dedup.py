@@ -7,8 +7,8 @@
    partitions are paired afterwards.
 3. Candidates are the next neighbours in each order that share at least the first four minima. In a crowded region the
    neighbours share more of them, so the depth of comparison follows the region.
-4. Rounds confirm candidates on the full sets, those with the longest common prefix first. A pair whose ends are joined
-   already needs no test; every other candidate is tested. At similarity 0.75 a pair shares the prefix of some tree with
+4. Candidates are confirmed on the full sets, first those of each document with the longest common prefixes. A pair whose
+   ends are joined by then needs no test; every other candidate is tested in a second round. At similarity 0.75 a pair shares the prefix of some tree with
    a probability of 1 - (1 - 0.75 ** 4) ** 32 > 0.99999.
 """
 from __future__ import annotations
@@ -202,12 +202,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         docs.sparkSession.createDataFrame(across, "a long, b long, lcp int"))
     pairs = work.keep(pairs.groupBy("a", "b").agg(F.max("lcp").alias("lcp")), "pairs-0")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    bodies = work.keep(source.join(wanted, "doc_id", "left_semi"), "texts")
+    # the candidates grow with the corpus, so they are never broadcast
+    bodies = work.keep(source.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     # A repeated id with several different sets ties those sets together.
     mixed = known.groupBy("doc_id").agg(F.min("k1").alias("l"), F.max("k1").alias("h")).where("l <> h").select("doc_id")
     links = work.keep(known.join(mixed, "doc_id", "left_semi").join(sets, ["k1", "k2"]).select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "links-0")
-    joined, turn, picks = None, 0, 2
+    joined, turn, picks = None, 0, 3
     while not pairs.isEmpty():
         turn += 1
         first = Window.partitionBy("a").orderBy(F.desc("lcp"), "b")  # an id has at most 2 * reach * trees pairs
@@ -224,7 +225,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         for end in ("a", "b"):
             left = left.join(joined.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
         pairs = work.keep(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "lcp"), f"pairs-{turn}")
-        picks *= 2
+        picks = 2 * reach * trees  # all that are left
     if joined is None:
         joined = components(links, work)
     of_set = sets.join(joined, sets["rep"] == joined["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))

@@ -1,7 +1,9 @@
 """The registered queries of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from firmground.llm import exact_dedup, near_dedup, toxicity
+from pyspark.sql import functions as F
+
+from firmground.llm import decontam, exact_dedup, lines, near_dedup, packing, passages, pii, token_counts, tool_calls, toxicity
 
 QUERIES = {}
 SQL = {}
@@ -40,3 +42,61 @@ def op7(spark, folder):
 def op2(spark, folder):
     found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_line_dedup", r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+k as (select *, translate(trim(line, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+d as (select *, length(key) >= 10 and doc_id > min(doc_id) over (partition by key) as gone from k)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from d group by doc_id""")
+def op4(spark, folder):
+    found = lines.kept_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_spaced_seed_decontamination")
+def op8(spark, folder):
+    return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_curve_packing")
+def op6(spark, folder):
+    import public_tokenizers
+
+    found = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.drop("ids")
+
+
+@query("op9_char_lstm_crf_pii")
+def op9(spark, folder):
+    found = pii.personal_data(table(spark, folder, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"))
+
+
+@query("op3_compact_window_passages")
+def op3(spark, folder):
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op5_tool_call_linking")
+def op5(spark, folder):
+    calls, results = tool_calls.from_turns(table(spark, folder, "conversations"))
+    return tool_calls.linked_calls(calls, results, tool_calls.reply_schemas(spark))
+
+
+@query("op10_edit_aware_counts")
+def op10(spark, folder):
+    """Every document takes three edits whose places follow from its length and id: an insertion, a deletion, a replacement."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    n, spot = F.length(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("doc_id"), F.lit(97))
+    edit = lambda at, length, text: F.struct(F.floor(at).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), F.lit(text).alias("replacement"))
+    edits = F.array(edit(n * spot / 97, 0, " (see 12.5% of it)"), edit(n * (96 - spot) / 97, 7, ""), edit(n / 2, 3, "\n\nit's"))
+    docs = table(spark, folder, "documents").withColumn("edits", edits)
+    found = token_counts.edited_counts(token_counts.count_trees(docs, path, keep=["edits"]), path)
+    return found.select("doc_id", "tokens_before", "n_tokens", "encoded")

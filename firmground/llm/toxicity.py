@@ -2,9 +2,13 @@
 
 Both models predict the bytes of a word from the six before it. The highest order has counts of its own for the toxic and
 for the ordinary class; all lower orders are continuation counts over the distinct words of *all* documents, shared by
-both classes, so a rare expression is judged by what its class has really seen and otherwise alike by both models. The
-score of a text compares its two length-normalised log-likelihoods and maps the difference to 0..1 by a logistic curve
-fitted on labelled rows that were left out of the counts it uses.
+both classes, and so is the highest order over all documents, to which each class backs off with the weight of
+``STRENGTH`` further observations. A rare expression is thus judged by what its class has really seen and otherwise alike.
+
+A text's two log-likelihoods are compared per byte over all its words, and per word over the words in whose spelling the
+toxic model beats the ordinary one by more than ``EXCESS`` nats: in a long text the many words that say nothing would
+else drown the few that do. A logistic curve, fitted on labelled rows left out of the counts it uses, maps these
+length-normalised differences to 0..1.
 
 Labels come from at most ``max_labels`` labelled rows (those with the smallest hash of their id), which bounds what is
 broadcast. The shared counts cover every document. Counts are summed in a fixed number of hash buckets, so the model
@@ -22,10 +26,13 @@ from firmground.llm.store import Workspace, ragged, slices, text_bytes
 from firmground.llm.words import PUNCTUATED, mix, words
 
 ORDER = 7
-TOP_BITS, LOW_BITS = 22, 20
-DISCOUNT = 0.75
+TOP_BITS, CONTEXT_BITS, LOW_BITS = 22, 21, 20
+DISCOUNT, STRENGTH = 0.75, 40.0
+EXCESS = (2.0, 4.0)
+SUMS = ["total", "bytes", "words", "over_low", "over_high"]
 ROUND = ["t0", "o0", "t1", "o1"]  # toxic and ordinary counts of the rows that fit and of those that calibrate
-_GRAMS = pa.schema([("gram", pa.int64())] + [(c, pa.int64()) for c in ROUND])
+ALL = ["n", *ROUND]
+_GRAMS = pa.schema([("gram", pa.int64())] + [(c, pa.int64()) for c in ALL])
 
 
 def _lower() -> np.ndarray:
@@ -57,7 +64,7 @@ def spelled(column: pa.Array):
 def _summed(parts: list) -> list:
     grams = np.concatenate([p[0] for p in parts])
     keys, inverse = np.unique(grams, return_inverse=True)
-    return [(keys, *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(keys)) for i in range(1, 5)))]
+    return [(keys, *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(keys)) for i in range(1, 6)))]
 
 
 def _count_task(held: int = 1_500_000):
@@ -68,7 +75,8 @@ def _count_task(held: int = 1_500_000):
             kind = batch.column("kind").to_numpy(zero_copy_only=False)  # 0 unlabelled, else 1 + place in ROUND
             kinds = np.repeat(kind, np.diff(bounds))
             n = int(of[-1]) + 1 if len(of) else 0
-            parts.append((grams, *(np.bincount(inverse[kinds == i], minlength=n)[of].astype(float) for i in range(1, 5))))
+            parts.append((grams, np.bincount(inverse, minlength=n)[of].astype(float),
+                          *(np.bincount(inverse[kinds == i], minlength=n)[of].astype(float) for i in range(1, 5))))
             if sum(len(p[0]) for p in parts) > held:
                 parts = _summed(parts)
                 if len(parts[0][0]) > held // 2:
@@ -103,7 +111,7 @@ def _table(df: DataFrame, bits: int) -> list[np.ndarray]:
     found = folded.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     out = []
     for c in names:
-        full = np.zeros(1 << bits)
+        full = np.zeros(1 << bits, np.float32)
         full[found.column("key").to_numpy()] = found.column(c).to_numpy()
         out.append(full)
     return out
@@ -114,10 +122,10 @@ class Model:
 
     def __init__(self, grams: DataFrame, work: Workspace):
         one = F.lit(1).cast("long")
-        self.top = _table(grams.select("gram", *ROUND), TOP_BITS)
+        self.top = _table(grams.select("gram", *ALL), TOP_BITS)
         types = [F.when(F.col(c) > 0, one).otherwise(0).alias(f"y_{c}") for c in ROUND]
         both = [F.when(F.col(a) + F.col(b) > 0, one).otherwise(0).alias(f"y_{n}") for a, b, n in (("t0", "t1", "t"), ("o0", "o1", "o"))]
-        self.context = _table(grams.select(F.shiftrightunsigned("gram", 8).alias("gram"), *ROUND, *types, *both), TOP_BITS)
+        self.context = _table(grams.select(F.shiftrightunsigned("gram", 8).alias("gram"), *ALL, *types, *both, one.alias("y")), CONTEXT_BITS)
         self.lower = []  # order k: continuation counts of grams; sums and types of their contexts
         level = grams.select("gram")
         for k in range(ORDER - 1, 0, -1):
@@ -126,41 +134,45 @@ class Model:
             self.lower.append((k, _table(level, LOW_BITS)[0], _table(level.select(
                 F.shiftrightunsigned("gram", 8).alias("gram"), "n", one.alias("y")), LOW_BITS)))
 
-    def shared(self, grams: np.ndarray) -> np.ndarray:
-        """The probability of the last byte by the orders below the highest."""
+    def shared(self, grams: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The probability of the last byte over all documents: continuation counts, then the highest order."""
         p = np.full(len(grams), 1 / 256)
         for k, counts, (total, kinds) in reversed(self.lower):
             part = grams & np.uint64((1 << (8 * k)) - 1)
-            c, h = counts[bucket(part, LOW_BITS)], bucket(part >> np.uint64(8), LOW_BITS)
-            n, y = total[h], kinds[h]
-            p = np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * y * p) / np.maximum(n, 1), p)
-        return p
+            p = _backed_off(counts[bucket(part, LOW_BITS)], *(t[bucket(part >> np.uint64(8), LOW_BITS)] for t in (total, kinds)), p)
+        return _backed_off(self.top[0][at], self.context[0][h], self.context[-1][h], p)
 
     def ratios(self, whole: bool):
         """A function from grams to the difference of the classes' log-probabilities."""
-        t0, o0, t1, o1 = self.top
-        ct0, co0, ct1, co1, yt0, yo0, _, _, yt, yo = self.context
+        _, t0, o0, t1, o1 = self.top
+        _, ct0, co0, ct1, co1, yt0, yo0, _, _, yt, yo, _ = self.context
         sides = [(t0 + t1, ct0 + ct1, yt), (o0 + o1, co0 + co1, yo)] if whole else [(t0, ct0, yt0), (o0, co0, yo0)]
 
         def of(grams: np.ndarray) -> np.ndarray:
-            low, at, h = self.shared(grams), bucket(grams, TOP_BITS), bucket(grams >> np.uint64(8), TOP_BITS)
-            logs = []
-            for count, total, kinds in sides:
-                c, n, y = np.minimum(count[at], total[h]), total[h], kinds[h]
-                logs.append(np.log(np.where(n > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.maximum(y, 1) * low) / np.maximum(n, 1), low)))
-            return logs[0] - logs[1]
+            at, h = bucket(grams, TOP_BITS), bucket(grams >> np.uint64(8), CONTEXT_BITS)
+            low = self.shared(grams, at, h)
+            toxic, ordinary = (np.log(_backed_off(count[at], total[h], kinds[h], low, STRENGTH)) for count, total, kinds in sides)
+            return toxic - ordinary
 
         return of
 
 
-def features(total: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Length-normalised differences: by byte, and by the square root of the bytes."""
-    size = np.maximum(size, 1)
-    return np.stack([total / size, total / np.sqrt(size), np.log(size), np.ones(len(size))], axis=1)
+def _backed_off(count, total, kinds, lower, strength=0.0):
+    """Interpolated absolute discounting. Shared buckets may count a gram more often than its context: cut to it."""
+    count = np.minimum(count, total)
+    spare = np.minimum(DISCOUNT * np.maximum(kinds, 1), total) + strength
+    return np.where(total + strength > 0, (np.maximum(count - DISCOUNT, 0) + spare * lower) / np.maximum(total + strength, 1), lower)
+
 
+def features(sums: np.ndarray) -> np.ndarray:
+    """The compared quantities from the rows of ``SUMS``; :func:`toxicity` states the same as columns."""
+    total, size, n, low, high = sums
+    n = np.maximum(n, 1)
+    return np.stack([np.log(low / n + 0.005), np.log(high / n + 0.005), np.log(n + 1), total / np.maximum(size, 1), np.ones(len(n))], axis=1)
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and scale of a logistic curve, by Newton steps on scaled features."""
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic curve, by Newton steps on scaled features."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-12) if len(x) else np.ones(x.shape[1])
     z, w = x / scale, np.zeros(x.shape[1])
     for _ in range(50):
@@ -169,35 +181,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return w / scale, scale
+    return w / scale
 
 
 def _score_task(ratios, keep: list[str]):
-    schema = pa.schema([("total", pa.float64()), ("size", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ratios()
         for batch in slices(batches, "text"):
             inverse, bounds, grams, word = spelled(batch.column("text"))
-            n = int(word[-1]) + 1 if len(word) else 0
-            by_word = np.bincount(word, of(grams), n) if n else np.zeros(0)
-            sizes = np.bincount(word, minlength=n) if n else np.zeros(0, np.int64)
+            m = int(word[-1]) + 1 if len(word) else 0
+            by_word = np.bincount(word, of(grams), m)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            total = np.bincount(rows, by_word[inverse] if n else None, batch.num_rows).astype(float)
-            size = np.bincount(rows, sizes[inverse] if n else None, batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(total), pa.array(size)],
-                                             names=[*keep, *schema.names])
+            per_word = [by_word, np.bincount(word, minlength=m), np.ones(m), *(np.maximum(by_word - x, 0) for x in EXCESS)]
+            sums = [np.bincount(rows, x[inverse], batch.num_rows).astype(float) for x in per_word]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x) for x in sums], names=[*keep, *SUMS])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
              max_labels: int = 200_000) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted, log_ratio, n_bytes``.
+    """One row per document: ``doc_id, held_out, score, predicted, log_ratio, n_words``.
 
     Rows whose ``crc32(doc_id as text) mod 5`` is 0 are held out: their labels are never used. Of the others, 1-3 fit and
     4 calibrates; the final counts use both. A null or empty text, or one without letters and digits, has no evidence
-    either way and gets the curve's value at zero length. Labels with a null id or null label are ignored, of repeated
+    either way and gets the curve's value for no words. Labels with a null id or null label are ignored, of repeated
     labels of an id the largest counts; repeated or null-id documents are scored row by row (a null id counts as held
     out). Without labels of both classes every score is the share of toxic labels, or 0. Other columns are ignored.
     """
@@ -210,8 +218,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     learn = work.keep(learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels), "labels")  # max_labels rows at most
     place = F.when(F.col("y").isNull(), 0).otherwise(F.when(F.col("y") > 0, 1).otherwise(2) + F.when(fold == 4, 2).otherwise(0))
     marked = source.join(F.broadcast(learn), "doc_id", "left").select("text", place.cast("int").alias("kind"))
-    counted = marked.mapInArrow(_count_task(), "gram long, " + ", ".join(f"{c} long" for c in ROUND))
-    grams = work.keep(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ROUND]), "grams")
+    counted = marked.mapInArrow(_count_task(), "gram long, " + ", ".join(f"{c} long" for c in ALL))
+    grams = work.keep(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ALL]), "grams")
     model = Model(grams, work)
     shipped = spark.sparkContext.broadcast((model.top, model.context, model.lower))
 
@@ -223,17 +231,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
         return load
 
+    sums = ", ".join(f"{c} double" for c in SUMS)
     tried = source.join(F.broadcast(learn.where(fold == 4)), "doc_id").select("doc_id", "y", "text").mapInArrow(
-        _score_task(ratios(False), ["y"]), "y int, total double, size long").toPandas()  # max_labels rows at most
+        _score_task(ratios(False), ["doc_id", "y"]), "doc_id long, y int, " + sums).groupBy("doc_id").agg(
+        *[F.max(c).alias(c) for c in ["y", *SUMS]]).toPandas()  # max_labels rows at most
     y = (tried["y"].to_numpy() > 0).astype(float)
     if len(set(y)) == 2:
-        w, _ = fit_logistic(features(tried["total"].to_numpy(), tried["size"].to_numpy()), y)
+        w = fit_logistic(features(tried[SUMS].to_numpy().T), y)
     else:
         share = learn.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0] or 0.0
-        w = np.array([0, 0, 0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
-    scored = source.mapInArrow(_score_task(ratios(True), ["doc_id"]), "doc_id long, total double, size long")
-    n = F.greatest(F.col("size"), F.lit(1))
-    line = F.col("total") / n * float(w[0]) + F.col("total") / F.sqrt(n) * float(w[1]) + F.log(n) * float(w[2]) + float(w[3])
+        w = np.array([0.0, 0, 0, 0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
+    scored = source.mapInArrow(_score_task(ratios(True), ["doc_id"]), "doc_id long, " + sums)
+    n = F.greatest(F.col("words"), F.lit(1.0))
+    terms = [F.log(F.col("over_low") / n + 0.005), F.log(F.col("over_high") / n + 0.005), F.log(n + 1),
+             F.col("total") / F.greatest(F.col("bytes"), F.lit(1.0)), F.lit(1.0)]
+    line = sum((t * float(x) for t, x in zip(terms, w)), F.lit(0.0))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), score.alias("score"),
-                         (score >= 0.5).cast("int").alias("predicted"), F.col("total").alias("log_ratio"), F.col("size").alias("n_bytes"))
+                         (score >= 0.5).cast("int").alias("predicted"), F.col("total").alias("log_ratio"),
+                         F.col("words").cast("long").alias("n_words"))

@@ -76,5 +76,5 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = 5):
     out[to] = mix(rolled[to + from_at] + np.uint64(size))
     for i in np.flatnonzero((counts > 0) & (counts < size)):
         part = hashes[bounds[i]:bounds[i + 1]]
-        out[out_bounds[i]] = mix((part * _STEPS[:len(part)]).sum(dtype=np.uint64) + np.uint64(len(part)))
+        out[out_bounds[i]] = mix((part * _STEPS[:len(part)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(part)))[0]
     return out, out_bounds
