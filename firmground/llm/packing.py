@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     tokens = work.keep(source.mapInArrow(_token_task(tokenizer), TOKENS), "tokens")
     names = [f"c{k}" for k in range(DIMENSIONS)]
     spread = tokens.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names],
-                        F.max(F.length("ids") / (F.col("n") - 1)).alias("width")).first()
+                        F.max(F.try_divide(F.length("ids"), F.col("n") - 1)).alias("width")).first()
     centre = [spread[f"m_{c}"] or 0.0 for c in names]
     scale = [spread[f"s_{c}"] or 1.0 for c in names]
     keyed = work.keep(tokens.select("row", "doc_id", "n", *names).mapInArrow(

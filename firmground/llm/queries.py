@@ -82,10 +82,23 @@ def op3(spark, folder):
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
-@query("op5_tool_call_linking")
+@query("op5_tool_call_linking", """
+with u as (select * from conversations where role = 'user'), a as (select * from conversations where role = 'assistant'),
+e as (select u.*, exists (from u v where v.conv_id = u.conv_id and v.turn = u.turn - 2) as e2,
+  exists (from u v where v.conv_id = u.conv_id and v.turn = u.turn - 4) as e4, exists (from u v where v.conv_id = u.conv_id and v.turn = u.turn - 6) as e6 from u),
+c as (select e.conv_id, 'c' || e.conv_id || '-' || e.turn as call_id, e.turn, a.text as content, a.turn is not null as answered,
+  (case when e.turn % 8 < 2 or not e2 then 0 when e.turn % 8 < 4 or not e4 then 1 when e.turn % 8 < 6 or not e6 then 2 else 3 end)::int as layer,
+  '{"prompt":' || to_json(e.text)::varchar || ',"turn":' || e.turn || '}' as arguments, case when e.turn < 2 then 'ask' else 'follow_up' end as name
+  from e left join a on a.conv_id = e.conv_id and a.turn = e.turn + 1),
+o as (select a.conv_id, 'c' || a.conv_id || '-' || (a.turn - 1) as call_id, a.turn, a.text as content from a
+  where not exists (from u where u.conv_id = a.conv_id and u.turn = a.turn - 1))
+select conv_id, call_id, turn, layer, case when answered then 'ok' else 'unanswered' end as status, '' as problems,
+  '{"arguments":' || arguments || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"id":"' || call_id || '","name":"' || name || '","order":' || layer || '}' as line from c
+union all select conv_id, call_id, turn, null, 'orphan', '', '{"arguments":null,"content":' || to_json(content)::varchar || ',"id":"' || call_id || '","name":null,"order":null}' from o""")
 def op5(spark, folder):
     calls, results = tool_calls.from_turns(table(spark, folder, "conversations"))
-    return tool_calls.linked_calls(calls, results, tool_calls.reply_schemas(spark))
+    found = tool_calls.linked_calls(calls, results, tool_calls.reply_schemas(spark))
+    return found.withColumn("problems", F.array_join("problems", "; "))
 
 
 @query("op10_edit_aware_counts")
