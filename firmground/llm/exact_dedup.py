@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from firmground.llm.store import Workspace, slices
 
@@ -176,3 +176,15 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     return log.select("row", "doc_id", "sha", "entry").join(found, "entry").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("sha").alias("text_sha256"), "bucket")
+
+
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts (see :func:`exact_groups`)."""
+    ident = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).alias("_stay_id")
+    stay = exact_groups(docs, doc_id, text, **how).where("kept").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+    body = F.translate(F.coalesce(F.col(text), F.lit("")), SPACE.decode(), "")
+    marked = docs.select("*", ident, F.sha2(body, 256).alias("_stay_sha")).join(stay.hint("merge"), ["_stay_id", "_stay_sha"])
+    # the join has brought repeated rows of one id and text together: the longest original stays
+    turn = Window.partitionBy("_stay_id", "_stay_sha").orderBy(F.desc(F.length(F.coalesce(F.col(text), F.lit("")))))
+    return marked.withColumn("_stay_turn", F.row_number().over(turn)).where("_stay_turn = 1").select(docs.columns)

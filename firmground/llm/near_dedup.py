@@ -233,3 +233,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its component; rows with a null id stay."""
+    gone = near_groups(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

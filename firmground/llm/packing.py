@@ -9,20 +9,26 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from firmground.llm.store import Workspace, ragged, slices
+from firmground.llm.store import Workspace, per_worker, ragged, slices
 from firmground.llm.words import mix
 
 END = 1
 DIMENSIONS, BITS, FEATURES = 4, 8, 64
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Fixed value: the pre-tokens of such a tokenizer within lower-cased Latin text.
+_LATIN = re.compile(r"[\x00-\u017f]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
+                    r"[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_PROBE = ["Hello,World's", "it've'LL", "x2y\xb2\xbd", "\xc9t\xe9-\xfc", "e\u0301", "\xd7\xf7!?", "a_b", "\u0130'd", "12.5%"]
 TOKENS = "row long, doc_id long, n long, c0 double, c1 double, c2 double, c3 double, ids binary"
 PLACED = "part int, row long, doc_id long, n long, before long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -41,18 +47,47 @@ class WordIds:
     """Token ids of texts, each distinct word encoded once while it is remembered.
 
     White space separates pre-tokens and is itself dropped by this kind of tokenizer, so a text's ids are those of its
-    words one after another. ``most`` words are remembered, then all are forgotten.
+    words one after another. Latin words are cut into pre-tokens first, which many words share; a probe at the start makes
+    sure that this changes no id, else words are encoded whole. ``most`` words are remembered, then all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.table = projection(max(self.tokenizer.get_vocab_size(), END + 1))
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut, self.pieces = True, {}
+        self.cut = self._ids(_PROBE) == [e.ids for e in self.tokenizer.encode_batch(_PROBE, add_special_tokens=False)]
         self._forget()
 
+    def _pieces_of(self, word: str) -> list[str] | None:
+        if not self.cut or not _LATIN.fullmatch(word) or any(x in word for x in self.special):
+            return None
+        return _PIECE.findall(word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower())
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        cut = [self._pieces_of(w) for w in words]
+        fresh = list({p for ps in cut if ps for p in ps} - self.pieces.keys())
+        if fresh:  # a pre-token ends where an id says so; many in one text spare the calls
+            lines = [" ".join(fresh[i:i + 50]) for i in range(0, len(fresh), 50)]
+            ids = [i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(fresh) and ends[-1] == len(ids):
+                at = [0, *ends.tolist()]
+                self.pieces.update((p, ids[at[k]:at[k + 1]]) for k, p in enumerate(fresh))
+            else:
+                self.pieces.update(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
+        whole = [w for w, ps in zip(words, cut) if ps is None]
+        direct = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        return [next(direct).ids if ps is None else [i for p in ps for i in self.pieces[p]] for ps in cut]
+
     def _forget(self):
+        self.pieces: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -61,7 +96,7 @@ class WordIds:
         self.used = 0
 
     def _learn(self, fresh: list[str]):
-        found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+        found = self._ids(fresh)
         sizes = np.array([len(x) for x in found])
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         base, top = len(self.known), self.used + len(flat)
@@ -79,17 +114,19 @@ class WordIds:
         self.known.update(zip(fresh, range(base, base + len(fresh))))
         self.used = top
 
-    def encode(self, texts: list[str]):
+    def encode(self, texts: pa.Array):
         """``(ids, bounds, coordinate sums)`` of the texts, without the closing id."""
         if len(self.known) > self.most:
             self._forget()
-        words = [_WORD.findall(t) for t in texts]
-        fresh = list({w for ws in words for w in ws} - self.known.keys())
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        fresh = [w for w in names if w not in self.known]
         if fresh:
             self._learn(fresh)
-        get = self.known.__getitem__
-        counts = np.array([len(w) for w in words])
-        which = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(counts.sum()))
+        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        which = place[flat.indices.to_numpy(zero_copy_only=False)]
         row = np.repeat(np.arange(len(texts)), counts)
         sizes = self.lengths[which]
         ids = self.ids[ragged(self.starts[which], sizes)]
@@ -100,10 +137,10 @@ class WordIds:
 
 def _token_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, base, rows = WordIds(path), TaskContext.get().partitionId() << 33, 0
+        coder, base, rows = per_worker(("word ids", path), lambda: WordIds(path)), TaskContext.get().partitionId() << 33, 0
         kind = np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in slices(batches, "text"):
-            ids, bounds, sums = coder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, bounds, sums = coder.encode(batch.column("text"))
             n = np.diff(bounds)
             short = ids.astype(kind)
             bodies = [short[bounds[i]:bounds[i + 1]].tobytes() for i in range(len(n))]

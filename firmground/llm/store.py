@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -41,6 +42,14 @@ class Workspace:
             pass  # the session is gone already
 
 
+def per_worker(key: tuple, build):
+    """What ``build`` makes, kept by the Python worker from one task to the next. Only for things that change no result."""
+    kept = sys.__dict__.setdefault("_firmground_kept", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null as empty) and the offset of each row, without copying the text."""
     if isinstance(column, pa.ChunkedArray):

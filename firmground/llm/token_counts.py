@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from firmground.llm.store import slices
+from firmground.llm.store import per_worker, slices
 
 LEAF = 64
 CONTEXT = 1
 # Fixed value: white space as this kind of tokenizer knows it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 EDITS = "array<struct<start: long, length: long, replacement: string>>"
 
@@ -157,7 +157,7 @@ def apply_edit(text: str, tree: Node, start: int, length: int, replacement: str,
 
 def _build_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = per_worker(("counter", path), lambda: Counter(path))
         for batch in slices(batches, "text"):
             trees = [build(t or "", counter) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())],
@@ -168,7 +168,7 @@ def _build_task(path: str):
 
 def _edit_task(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = per_worker(("counter", path), lambda: Counter(path))
         for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], []]
             for text, packed, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from firmground.llm.store import Workspace, ragged, slices, text_bytes
 from firmground.llm.words import PUNCTUATED, mix, words
@@ -29,7 +29,8 @@ ORDER = 7
 TOP_BITS, CONTEXT_BITS, LOW_BITS = 22, 21, 20
 DISCOUNT, STRENGTH = 0.75, 40.0
 EXCESS = (2.0, 4.0)
-SUMS = ["total", "bytes", "words", "over_low", "over_high"]
+SUMS = ["_tox_total", "_tox_bytes", "_tox_words", "_tox_over_low", "_tox_over_high"]
+SCORE = "_tox_score"
 ROUND = ["t0", "o0", "t1", "o1"]  # toxic and ordinary counts of the rows that fit and of those that calibrate
 ALL = ["n", *ROUND]
 _GRAMS = pa.schema([("gram", pa.int64())] + [(c, pa.int64()) for c in ALL])
@@ -184,11 +185,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w / scale
 
 
-def _score_task(ratios, keep: list[str]):
+def _score_task(ratios, keep: list[str], text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ratios()
-        for batch in slices(batches, "text"):
-            inverse, bounds, grams, word = spelled(batch.column("text"))
+        for batch in slices(batches, text):
+            inverse, bounds, grams, word = spelled(batch.column(text))
             m = int(word[-1]) + 1 if len(word) else 0
             by_word = np.bincount(word, of(grams), m)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -209,6 +210,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     labels of an id the largest counts; repeated or null-id documents are scored row by row (a null id counts as held
     out). Without labels of both classes every score is the share of toxic labels, or 0. Other columns are ignored.
     """
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    judge = fitted(docs, labels, doc_id, text, label, max_labels)
+    return judge(source, "text", ["doc_id"]).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= 0.5).cast("int").alias("predicted"), F.col(SUMS[0]).alias("log_ratio"), F.col(SUMS[2]).cast("long").alias("n_words"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below one half (see :func:`toxicity`); no row is shuffled."""
+    judge = fitted(docs, labels, doc_id, text, **how)
+    return judge(docs, text, docs.columns).where(F.col(SCORE) < 0.5).select(docs.columns)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+           max_labels: int = 200_000):
+    """Fits the models and returns a function ``(rows, text column, columns to keep)`` that adds ``SUMS`` and ``SCORE``."""
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -241,12 +259,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     else:
         share = learn.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0] or 0.0
         w = np.array([0.0, 0, 0, 0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
-    scored = source.mapInArrow(_score_task(ratios(True), ["doc_id"]), "doc_id long, " + sums)
-    n = F.greatest(F.col("words"), F.lit(1.0))
-    terms = [F.log(F.col("over_low") / n + 0.005), F.log(F.col("over_high") / n + 0.005), F.log(n + 1),
-             F.col("total") / F.greatest(F.col("bytes"), F.lit(1.0)), F.lit(1.0)]
+    n = F.greatest(F.col(SUMS[2]), F.lit(1.0))
+    terms = [F.log(F.col(SUMS[3]) / n + 0.005), F.log(F.col(SUMS[4]) / n + 0.005), F.log(n + 1),
+             F.col(SUMS[0]) / F.greatest(F.col(SUMS[1]), F.lit(1.0)), F.lit(1.0)]
     line = sum((t * float(x) for t, x in zip(terms, w)), F.lit(0.0))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
-    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), score.alias("score"),
-                         (score >= 0.5).cast("int").alias("predicted"), F.col("total").alias("log_ratio"),
-                         F.col("words").cast("long").alias("n_words"))
+
+    def judge(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
+        schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in SUMS])
+        return rows.mapInArrow(_score_task(ratios(True), keep, column), schema).withColumn(SCORE, score)
+
+    return judge

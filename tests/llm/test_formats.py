@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from fixtures import awkward, frame, sentence
@@ -42,6 +43,19 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, texts).limit(0), WORD).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    coder, plain, rng = packing.WordIds(WORD, most=500), Tokenizer.from_file(WORD), random.Random(3)
+    assert coder.cut
+    alphabet = [chr(c) for c in range(0x250)] + list("abcdefgh ABC'.,12 \n") * 20 + ["\u0301", "\u03a3", "\u4e2d", "'s", "'LL", "<|endoftext|>", "the", " and "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 200))) for _ in range(400)]
+    for i in range(0, len(texts), 50):
+        ids, bounds, _ = coder.encode(pa.array(texts[i:i + 50]))
+        got = [ids[bounds[k]:bounds[k + 1]].tolist() for k in range(50)]
+        assert got == [e.ids for e in plain.encode_batch(texts[i:i + 50], add_special_tokens=False)]
+
+
 def test_hilbert_visits_every_cell_by_neighbours():
     bits, dims = 3, 3
     axes = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
