@@ -72,16 +72,31 @@ def attach(df: DataFrame, one_row: DataFrame, names: list[str] | None = None) ->
     return df.withColumn("_one_row", value).select(*df.columns, *[F.col(f"_one_row.{n}").alias(n) for n in names])
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where two nulls are equal too."""
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    named = right.withColumnsRenamed({k: f"_by_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    return left.join(named, same, how).drop(*[f"_by_{k}" for k in keys])
+
+
 def exploded(df: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn struct columns of each row into rows; NULL structs vanish."""
     return df.select(F.explode(F.array_compact(F.array(*structs))).alias("_row")).select("_row.*")
 
 
 def long_counts(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Counts of every value of every column as text: ``by…, column, value, n`` (nulls and NaN are one value)."""
+    """Counts of every value of every column as text: ``by…, column, value, n`` (nulls and NaN are one value, and so are 0.0 and -0.0)."""
     by = by or []
+
+    def plain(c: str) -> Column:
+        return F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c)
+
     cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.when(~is_null(df, c), F.col(c).cast("string")).alias("value"))
+        F.struct(F.lit(c).alias("column"), F.when(~is_null(df, c), plain(c).cast("string")).alias("value"))
         for c in cols])).alias("cell")
     return df.select(*by, cells).select(*by, "cell.*").groupBy(*by, "column", "value").agg(
         F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from firmground.functions.columns import linear_bucket
+from firmground.functions.columns import join_by, linear_bucket
 
 CHUNK = "_chunk"
 
@@ -92,7 +92,7 @@ def running(
 
     The first order columns are numeric and cut the order into chunks (see :func:`with_order_chunk`). Inside a chunk
     a plain window runs; chunk totals (at most one row per group and chunk) are scanned separately and joined back
-    as the carry-in. ``by`` columns must not be null. Pass ``bounds`` to cut by given values of ``order[0]``, or
+    as the carry-in. Nulls in ``by`` form a group like any other. Pass ``bounds`` to cut by given values of ``order[0]``, or
     ``chunk_col`` when the chunk index is already a column, growing with the order inside each group.
     """
     by = by or []
@@ -110,7 +110,7 @@ def running(
     carry = totals.select(
         *by, chunk_col, *[_AGG[k](f"_t_{o}").over(before).alias(f"_c_{o}") for o, (k, _) in aggs.items()])
     local = df.select("*", *[_AGG[k](c).over(inside).alias(f"_l_{o}") for o, (k, c) in aggs.items()])
-    joined = local.join(carry, [*by, chunk_col], "left")
+    joined = join_by(local, carry, [*by, chunk_col], "left")
     keep = [c for c in df.columns if not (own and c == CHUNK)]
     return joined.select(
         *keep, *[_merge(k, F.col(f"_l_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in aggs.items()])
@@ -228,7 +228,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     group = [*by, "column"]
     ranked = running(counts, ["value"], {"_upto": ("sum", "n")}, group, chunk_col=CHUNK)
     totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
-    placed = ranked.join(totals, group)
+    placed = join_by(ranked, totals, group)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("total") - 1) * F.lit(float(p))

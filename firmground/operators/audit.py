@@ -189,9 +189,10 @@ def elapsed_profile(df: DataFrame, col: str, order: list[str], bins: int = 10) -
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.greatest(F.ceil(F.try_divide(F.col("x") - F.col("lo"), width)) - 1, F.lit(0)).cast("int")
     spread = attach(x, ends).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(
-        F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("n")).alias("_nn"))
+        F.sum("n").alias("_n"), F.count("n").alias("_k"), F.avg("n").alias("_avg"), F.var_pop("n").alias("_var"))
     mean = F.col("_n") / bins
-    cv = F.sqrt((F.col("_nn") - F.col("_n") * mean) / (bins - 1)) / mean
+    squares = F.col("_k") * (F.col("_var") + (F.col("_avg") - mean) * (F.col("_avg") - mean)) + (bins - F.col("_k")) * mean * mean
+    cv = F.sqrt(squares / (bins - 1)) / mean
     marks = quantiles(x, ["x"], [0.01, 0.25, 0.5, 0.75, 0.99]).select(
         *[F.col(f"q{i}").alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))])
     row = ends.select("rows", (F.col("hi") - F.col("lo")).alias("span"))

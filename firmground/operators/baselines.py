@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from firmground.functions.columns import as_double, is_null, is_numeric, micros, union_all
 from firmground.functions.ordering import framed, quantiles
 from firmground.operators import metrics as M
+from firmground.operators.splits import numbered
 
 METRICS = {"roc_auc": M.auc, "average_precision": M.average_precision, "f1": M.f1, "neg_rmse": M.neg_rmse}
 
@@ -153,10 +154,7 @@ def backtest(df: DataFrame, folds: DataFrame, series: str, period: str, y: str,
     Forecasts reach over the whole test window: the last train value, or the value at the same place of the last
     train season. Values are fetched by equi-joins on (series, period index).
     """
-    index = {r[0]: i for i, r in enumerate(folds.select(period).distinct().orderBy(period).collect())}
-    spark = df.sparkSession
-    kind = folds.schema[period].dataType.simpleString()
-    calendar = F.broadcast(spark.createDataFrame(list(index.items()), f"{period} {kind}, _i int"))
+    calendar = numbered(folds, period).select(period, "_i")
     values = df.join(calendar, period).select(series, "_i", y)
     plan = folds.join(calendar, period)
     ends = plan.where("role = 'train'").groupBy("fold").agg(F.max("_i").alias("_end"))

@@ -10,6 +10,7 @@ partition counts: chunks follow exact ranks, and random numbers are keyed by see
 """
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -26,7 +27,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELLS = 20_000
 BATCH = 250
-POISSON_CDF = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1, dtype=float))) for k in range(20)])
 
 
 def _rng(*parts: int) -> np.random.Generator:
@@ -140,19 +140,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _poisson_table(mean: int) -> tuple[int, np.ndarray]:
+    """The first count with any weight, and the distribution function from there on."""
+    reach = 12 * math.sqrt(mean) + 20
+    low = max(0, int(mean - reach))
+    k = np.arange(low + 1, int(mean + reach) + 1)
+    logs = np.concatenate([[low * math.log(mean) - mean - math.lgamma(low + 1)], np.log(mean / k)]).cumsum()
+    return low, np.exp(logs).cumsum()
+
+
 def poisson_weights(keys: np.ndarray, copies: np.ndarray, first: int, reps: int, seed: int) -> np.ndarray:
-    """Poisson(copies) weights, shape (reps, cells), a function of seed, cell key and replicate only."""
+    """Poisson(copies) weights, shape (reps, cells), a function of seed, cell key and replicate only.
+
+    Every weight is the inverse distribution function at one hashed uniform number, whatever the number of copies.
+    """
     out = np.zeros((reps, len(keys)), dtype=np.int64)
-    keys = keys.astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
         lanes = _mix(np.arange(first, first + reps, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        for k in range(int(min(copies.max(initial=0), 8))):
-            use = np.flatnonzero((copies > k) & (copies <= 8))
-            salted = _mix(keys[use] + np.uint64(k + 1) * np.uint64(0xD1B54A32D192ED03))
-            u = (_mix(lanes[:, None] ^ salted[None, :]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            out[:, use] += np.searchsorted(POISSON_CDF, u, side="right")
-    for i in np.flatnonzero(copies > 8):
-        out[:, i] = _rng(seed, int(keys[i]), first).poisson(copies[i], reps)
+        salted = _mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+        for n in np.unique(copies):
+            if n <= 0:
+                continue
+            low, cdf = _poisson_table(int(n))
+            use = np.flatnonzero(copies == n)
+            u = (_mix(lanes[:, None] ^ salted[use][None, :]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            out[:, use] = low + np.searchsorted(cdf, u, side="right")
     return out
 
 

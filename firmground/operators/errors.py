@@ -44,13 +44,16 @@ def slice_errors(df: DataFrame, y: str, pred: str, cols: list[str], metric: str
     rows, metric = _errors(df, y, pred, metric)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in cols])).alias("c")
-    sums = [F.count("_e").alias("n"), F.sum("_e").alias("s"), F.sum(F.col("_e") * F.col("_e")).alias("q")]
-    part = rows.select("_e", cells).where("c.value is not null").groupBy("c.column", "c.value").agg(*sums)
+    # numeric errors are centred on their mean, so that a small spread around a large error is not lost
+    mean = rows.agg(F.avg("_e")).scalar() if metric != "error_rate" else F.lit(0.0)
+    rows = rows.withColumn("_mean", mean).withColumn("_e", F.col("_e") - F.col("_mean"))
+    sums = [F.count("_e").alias("n"), F.sum("_e").alias("s"), F.sum(F.col("_e") * F.col("_e")).alias("q"), F.max("_mean").alias("m")]
+    part = rows.select("_e", "_mean", cells).where("c.value is not null").groupBy("c.column", "c.value").agg(*sums)
     total = rows.agg(F.struct(*sums)).scalar()
     full = part.where(F.col("n") >= min_n).withColumn("_t", total)
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     rn, rs, rq = F.col("_t.n") - n, F.col("_t.s") - s, F.col("_t.q") - q
-    rate, rest = s / n, F.try_divide(rs, rn)
+    rate, rest = s / n + F.col("_t.m"), F.try_divide(rs, rn) + F.col("_t.m")
     if metric == "error_rate":
         stat, dof = two_proportion_z(rate, n, rest, rn), F.lit(None).cast("double")
     else:

@@ -6,9 +6,9 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from firmground.functions.columns import (
-    as_double, attach, exploded, is_null, is_numeric, pearson, union_all, whole_days,
+    as_double, attach, exploded, is_null, is_numeric, micros, pearson, union_all, whole_days,
 )
-from firmground.functions.ordering import quantiles
+from firmground.functions.ordering import quantiles, running
 from firmground.operators.signal import coded_target, filled
 
 # Column-name vocabulary of things known only after the outcome.
@@ -22,7 +22,7 @@ def post_outcome_name(name: str) -> bool:
 def leak_scan(df: DataFrame, target: str, threshold: float = 0.98, null_threshold: float = 0.99) -> DataFrame:
     """``column, check, value, flag``: target correlation, null pattern against the target, post-outcome names.
 
-    Correlations fill nulls with the median first; text targets are numbered. The null pattern is the share of rows
+    Correlations fill nulls with the median first; class targets are numbered (see :func:`coded_target`). The null pattern is the share of rows
     where "has a value" agrees with "target is 1", and is read for columns with nulls and a 0/1 target.
     """
     coded = coded_target(df, target)
@@ -35,7 +35,8 @@ def leak_scan(df: DataFrame, target: str, threshold: float = 0.98, null_threshol
         rows.append(F.when(F.col(f"r{i}").isNotNull() & ~F.isnan(f"r{i}"), F.struct(
             F.lit(c).alias("column"), F.lit("corr").alias("check"), F.col(f"r{i}").alias("value"),
             (F.col(f"r{i}") >= threshold).alias("flag"))))
-    nulls = coded.select("_y", *[is_null(df, c).alias(c) for c in feats])
+    plain = F.col(target).cast("double") if is_numeric(df, target) else F.col("_y")
+    nulls = coded.select(plain.alias("_y"), *[is_null(df, c).alias(c) for c in feats])
     pattern, prow = [], []
     for i, c in enumerate(feats):
         pattern += [F.avg((~F.col(c) == (F.col("_y") == 1)).cast("int")).alias(f"p{i}"),
@@ -100,9 +101,19 @@ def feature_parity(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
 
 
 def pit_filter(spine: DataFrame, facts: DataFrame, key: str, decision: str, available: str) -> DataFrame:
-    """Source rows already known at their entity's decision time (the latest one where it has several)."""
-    last = spine.groupBy(key).agg(F.max(decision).alias("_decided"))
-    return facts.join(last, key).where(F.col(available) <= F.col("_decided")).select(*facts.columns)
+    """Source rows some decision of their entity may use, with ``first_decision``, the earliest that may.
+
+    Facts and decisions travel through one order by time, so no pairs of them are made, and an entity with very many is cut
+    into chunks. Facts without an entity or a time are never known.
+    """
+    ask = spine.where(F.col(key).isNotNull() & F.col(decision).isNotNull()).select(
+        F.col(key).alias("_key"), micros(decision).alias("_at"), F.lit(1).alias("_ask"), micros(decision).alias("_decided"), F.lit(None).alias("_fact"))
+    give = facts.where(F.col(key).isNotNull() & F.col(available).isNotNull()).select(
+        F.col(key).alias("_key"), micros(available).alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast("bigint").alias("_decided"),
+        F.struct(*facts.columns).alias("_fact"))
+    both = ask.withColumn("_fact", F.lit(None).cast(give.schema["_fact"].dataType)).union(give)
+    seen = running(both, ["_at", "_ask"], {"_first": ("min", "_decided")}, ["_key"], descending=True)
+    return seen.where("_ask = 0 and _first is not null").select("_fact.*", F.timestamp_micros("_first").alias("first_decision"))
 
 
 def availability_report(df: DataFrame, decision: str, sources: dict[str, str]) -> DataFrame:

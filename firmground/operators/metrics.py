@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from firmground.functions.columns import join_by
 from firmground.functions.ordering import CHUNK, chunk_bounds, running, value_counts
 
 
@@ -17,7 +18,7 @@ def score_counts(df: DataFrame, y: str, p: str, by: list[str] | None = None,
 def with_totals(df: DataFrame, source: DataFrame, by: list[str], sums: dict[str, str]) -> DataFrame:
     """Attach group totals ``{out: column}`` of ``source``; without groups they arrive as scalar subqueries."""
     if by:
-        return df.join(source.groupBy(*by).agg(*[F.sum(c).alias(o) for o, c in sums.items()]), by)
+        return join_by(df, source.groupBy(*by).agg(*[F.sum(c).alias(o) for o, c in sums.items()]), by)
     return df.select("*", *[source.agg(F.sum(c)).scalar().alias(o) for o, c in sums.items()])
 
 
@@ -143,7 +144,7 @@ def by_segment(df: DataFrame, y: str, p: str, segment: str, drop: float = 0.05,
     overall = ranking(df, y, p, cuts=cuts).select("auc")
     error = df.groupBy(segment).agg(F.avg((F.col(y) != F.bround(F.col(p), 0)).cast("int")).alias("error_rate"))
     return (
-        ranking(df, y, p, [segment], cuts).join(error, segment)
+        join_by(ranking(df, y, p, [segment], cuts), error, [segment])
         .withColumn("overall_auc", overall.scalar())
         .withColumn("collapsed", (F.col("n") >= min_n) & (F.col("auc") < F.col("overall_auc") - drop))
     )

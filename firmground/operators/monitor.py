@@ -115,15 +115,18 @@ def score_ks(ref: DataFrame, cur: DataFrame, p: str, alpha: float = 0.05) -> Dat
         "alert", F.col("p_value") < alpha)
 
 
-def decay(scores: DataFrame, period: str, value: str, baseline: float, se: float, run: int = 2) -> DataFrame:
-    """``period, value, below, trigger``: under baseline - 2 SE, and for ``run`` periods in a row.
+def decay(scores: DataFrame, period: str, value: str, baseline: float, se: float, run: int = 2,
+          step_days: int = 7) -> DataFrame:
+    """``period, value, below, trigger``: under baseline - 2 SE, and for ``run`` periods of the calendar in a row.
 
-    One row per period enters, so the ordering runs over a calendar, not over the scored rows.
+    One row per period enters, so the ordering runs over a calendar, not over the scored rows. Periods lie ``step_days``
+    apart; a missing one breaks a run.
     """
     below = F.col("value") < baseline - 2 * se
     w = Window.partitionBy(F.lit(0)).orderBy("period").rowsBetween(-(run - 1), 0)
     rows = scores.select(F.col(period).alias("period"), F.col(value).alias("value")).withColumn("below", below)
-    return rows.withColumn("trigger", (F.sum(F.col("below").cast("int")).over(w) == run))
+    whole = F.datediff("period", F.first("period").over(w)) == step_days * (run - 1)
+    return rows.withColumn("trigger", (F.sum(F.col("below").cast("int")).over(w) == run) & whole)
 
 
 def queue_size(df: DataFrame, ts: str, flagged: Column, capacity: int, launch: float) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from firmground.functions.columns import DAY_US, linear_bucket, micros
+from firmground.functions.columns import DAY_US, join_by, linear_bucket, micros
 from firmground.functions.ordering import CHUNK, framed, grouped_running, hot_keys, running, value_counts
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -92,7 +92,11 @@ def window_features(spine: DataFrame, facts: DataFrame, entity: str, decision: s
             elif kind == "mean":
                 value = F.when(enough, F.try_divide(v, n))
             else:
-                q = F.col(part("sum", (col * col).cast("double"), f"square {text}"))
+                # centred on the mean of all facts: raw sums of squares lose a small spread around a large mean
+                centre = facts.select(F.coalesce(F.avg(col.cast("double")), F.lit(0.0))).scalar()
+                off = col.cast("double") - centre
+                v = F.col(part("sum", off, f"off {text}"))
+                q = F.col(part("sum", off * off, f"square {text}"))
                 spread = F.greatest(q - v * v / F.greatest(n, F.lit(1)), F.lit(0.0))
                 value = F.when(enough & (n > 1), F.sqrt(spread / F.greatest(n - 1, F.lit(1))))
         outs.append(value.alias(name))
@@ -222,7 +226,7 @@ def peers(df: DataFrame, cohort: list[str], value: str, min_members: int = 20) -
         *cohort, F.col("value").alias("_v"), (F.col("_upto") - F.col("n")).alias("_below"))
     x = df.withColumn("_v", F.col(value).cast("double") + 0.0)
     enough = F.col("_m") >= min_members
-    return x.join(stats, cohort, "left").join(ranks, [*cohort, "_v"], "left").withColumns({
+    return join_by(join_by(x, stats, cohort, "left"), ranks, [*cohort, "_v"], "left").withColumns({
         "peer_rank": F.when(enough, F.try_divide("_below", F.col("_m") - 1)),
         "peer_z": F.when(enough, F.try_divide(F.col("_v") - F.col("_mu"), F.col("_sd"))),
     }).drop("_v", "_m", "_mu", "_sd", "_below")

@@ -17,11 +17,30 @@ READABLE = (
 )
 
 
+#: Fixed value: a target with more different values is continuous.
+MAX_CLASSES = 20
+
+
+def class_values(df: DataFrame, target: str) -> list[float]:
+    """Up to ``MAX_CLASSES + 1`` different values of a numeric column, in order."""
+    value = F.col(target).cast("double") + 0.0
+    return sorted(r[0] for r in df.where(~is_null(df, target)).select(value).distinct().limit(MAX_CLASSES + 1).collect())
+
+
 def coded_target(df: DataFrame, target: str, out: str = "_y") -> DataFrame:
-    """Rows with a known target and its numeric code: text is numbered in alphabetical order."""
+    """Rows with a known target and its numeric code.
+
+    Text is numbered in alphabetical order. A numeric target with at most ``MAX_CLASSES`` different values holds classes,
+    which are numbered in numeric order, so that the distance between two codes means nothing; others stay as they are.
+    """
     known = df.where(~is_null(df, target))
     if is_numeric(df, target):
-        return known.withColumn(out, F.col(target).cast("double"))
+        value = F.col(target).cast("double") + 0.0
+        few = class_values(known, target)
+        if len(few) > MAX_CLASSES:
+            return known.withColumn(out, value)
+        codes = F.array_position(F.array(*[F.lit(v) for v in few]).cast("array<double>"), value) - 1
+        return known.withColumn(out, codes.cast("double"))
     return StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc").fit(known).transform(known)
 
 
@@ -72,13 +91,13 @@ def signal(df: DataFrame, target: str, leak: float = 0.98, top: int = 15) -> Dat
     """Ranked signal of every column: ``column, kind, method, score, leak_suspect``.
 
     Numeric columns score |correlation|, or the univariate AUC when the target is binary with under 5% positives;
-    categorical columns score mutual information when the target is a class.
+    categorical columns score mutual information with the class, or with the exact decile of a continuous target.
     """
     coded = coded_target(df, target)
     stats = collect_stats(coded, [
         F.avg("_y").alias("rate"), F.size(F.collect_set(F.when(F.col("_y").isin(0.0, 1.0), F.col("_y")))).alias("k01"),
-        F.approx_count_distinct("_y", 0.01).alias("k"), F.max((~F.col("_y").isin(0.0, 1.0)).cast("int")).alias("other")])
-    classes = not is_numeric(df, target) or stats["k"] <= 20
+        F.max((~F.col("_y").isin(0.0, 1.0)).cast("int")).alias("other")])
+    classes = not is_numeric(df, target) or len(class_values(df, target)) <= MAX_CLASSES
     rare = classes and stats["k01"] == 2 and not stats["other"] and stats["rate"] < 0.05
     feats = [f for f in df.schema.fields if f.name != target]
     num = [f.name for f in feats if is_numeric(df, f.name)]
@@ -88,17 +107,29 @@ def signal(df: DataFrame, target: str, leak: float = 0.98, top: int = 15) -> Dat
         scored = auc_signal(coded, "_y", num) if rare else numeric_signal(coded, "_y", num)
         method = "auc" if rare else "corr"
         parts.append(scored.select("column", F.lit("numeric").alias("kind"), F.lit(method).alias("method"), "score"))
-    if cat and classes:
-        parts.append(mutual_information(coded, "_y", cat).select(
-            "column", F.lit("categorical").alias("kind"), F.lit("mi").alias("method"), "score"))
+    if cat:
+        of, method = (coded, "mi") if classes else (with_deciles(coded, "_y"), "mi_decile")
+        parts.append(mutual_information(of, "_y", cat).select(
+            "column", F.lit("categorical").alias("kind"), F.lit(method).alias("method"), "score"))
     ranked = union_all(parts).withColumn("leak_suspect", (F.col("kind") == "numeric") & (F.col("score") >= leak))
     return ranked.orderBy(F.desc("score"), "column").limit(top)
 
 
+def with_deciles(df: DataFrame, y: str) -> DataFrame:
+    """The column replaced by the number of exact decile marks below its value, 0 to 9."""
+    row = quantiles(df, [y], [i / 10 for i in range(1, 10)]).first()
+    marks = F.array(*[F.lit(row[f"q{i}"]) for i in range(9)])
+    return df.withColumn(y, F.size(F.filter(marks, lambda m: m < F.col(y))).cast("double"))
+
+
+# Stems of generic names, and the length up to which a name tells nothing.
+GENERIC, SHORT = ("col", "var", "x"), 3
+
+
 def opaque_name(name: str) -> bool:
     """A name that tells nothing: very short, a generic stem, or without any readable part."""
     low = name.lower()
-    return len(low) <= 3 or low.startswith(("col", "var", "x")) or not any(p in low for p in READABLE)
+    return len(low) <= SHORT or low.startswith(GENERIC) or not any(p in low for p in READABLE)
 
 
 def triage(df: DataFrame, target: str, key: list[str], near: float = 0.99, high_null: float = 0.95,

@@ -1,7 +1,7 @@
 """Train / test / fold assignment. Cuts are found once as (time, key) values; assigning a row is then a comparison."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmground.functions.columns import collect_stats, is_null, is_numeric, md5_bucket, micros
 from firmground.functions.ordering import at_or_after, order_cuts
@@ -77,15 +77,22 @@ def holdout(df: DataFrame, ts: str, key: str, frac: float = 0.15) -> DataFrame:
 
 def walk_forward(periods: DataFrame, period: str, train: int, test: int, expanding: bool = True) -> DataFrame:
     """``fold, period, role`` from a calendar of periods (one row each): train windows followed by their test window."""
-    days = [r[0] for r in periods.select(period).distinct().orderBy(period).collect()]
-    rows = []
-    fold, start = 1, train
-    while start + test <= len(days):
-        first = 0 if expanding else start - train
-        rows += [(fold, d, "train") for d in days[first:start]] + [(fold, d, "test") for d in days[start:start + test]]
-        fold, start = fold + 1, start + test
-    kind = periods.schema[period].dataType.simpleString()
-    return periods.sparkSession.createDataFrame(rows, f"fold int, {period} {kind}, role string")
+    days = numbered(periods, period)
+    i = F.col("_i")
+    last = F.floor((F.col("_n") - train) / F.lit(test)).cast("int")
+    behind = F.floor((i - train) / F.lit(test)).cast("int")  # complete test windows before the period
+    top = last if expanding else F.least(last, F.floor(i / F.lit(test)).cast("int") + 1)
+    lines = F.array(F.struct(F.greatest(behind + 2, F.lit(1)).alias("lo"), top.alias("hi"), F.lit("train").alias("role")),
+                    F.struct((behind + 1).alias("lo"), F.least(behind + 1, last).alias("hi"), F.lit("test").alias("role")))
+    spans = days.select(period, F.explode(lines).alias("s")).where("s.lo >= 1 and s.lo <= s.hi")
+    return spans.select(F.explode(F.sequence("s.lo", "s.hi")).alias("fold"), period, F.col("s.role").alias("role"))
+
+
+def numbered(periods: DataFrame, period: str) -> DataFrame:
+    """``period, _i, _n``: each different period with its place from 0 and their number. A calendar is small."""
+    every = Window.partitionBy(F.lit(0))
+    return periods.select(period).distinct().select(
+        period, (F.row_number().over(every.orderBy(period)) - 1).alias("_i"), F.count(F.lit(1)).over(every).alias("_n"))
 
 
 def contract(df: DataFrame, target: str, ts: str | None = None, entity: str | None = None,

@@ -122,8 +122,8 @@ def _(t):
 
 @query("ff11_peer_comparison", f"""
 with {SPINE}, v as (select s.user_id, s.user_id % 5 as cohort, s.d, count(e.ts) as n {JOIN} and e.ts >= s.d - interval 7 day group by all)
-select user_id, cohort, d::date as d, n, round(percent_rank() over (partition by cohort, d order by n), 6) as peer_rank,
-  round((n - avg(n) over (partition by cohort, d)) / stddev_samp(n) over (partition by cohort, d), 6) as peer_z from v""")
+select user_id, cohort, d::date as d, n, case when count(*) over g >= 20 then round(percent_rank() over (g order by n), 6) end as peer_rank,
+  case when count(*) over g >= 20 then round((n - avg(n) over g) / stddev_samp(n) over g, 6) end as peer_z from v window g as (partition by cohort, d)""")
 def _(t):
     v = P.window_features(spine(t), t.events, *ARGS, 7, {"n": ("count", F.col("ts"))}).withColumn(
         "cohort", F.col("user_id") % 5)

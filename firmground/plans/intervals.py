@@ -19,7 +19,7 @@ def _(t):
 
 @query("uc02_paired_bootstrap")
 def _(t):
-    return B.paired_bootstrap(predictions(t.lineitem), "y", "p", "p_base", "average_precision", 500, 0.9)
+    return B.paired_bootstrap(predictions(t.lineitem), "y", "p", "p_base", "average_precision", 2000, 0.9)
 
 
 @query("uc03_baseline_compare")
@@ -29,7 +29,7 @@ def _(t):
 
 @query("uc03_baseline_compare_auc")
 def _(t):
-    return B.paired_bootstrap(predictions(t.lineitem), "y", "p", "p_base", "roc_auc", 500, 0.95, 0)
+    return B.paired_bootstrap(predictions(t.lineitem), "y", "p", "p_base", "roc_auc", 2000, 0.95, 0)
 
 
 @query("uc04_row_comparison", "with " + PRED + """

@@ -63,7 +63,7 @@ def _(t):
 @query("bl06_boosted")
 def _(t):
     a, b = B.encode(*halves(t), ["l_quantity", "price", "status"])
-    return M.auc(B.boosted(a, b, "y", ["l_quantity", "price", "status"], trees=10), "_label", "_p")
+    return M.auc(B.boosted(a, b, "y", ["l_quantity", "price", "status"], trees=100), "_label", "_p")
 
 
 @query("bl07_ridge", f"""with {TT}, s as (select avg(l_quantity) as mx, avg(y) as my, regr_sxx(y, l_quantity) as sxx, regr_sxy(y, l_quantity) as sxy from tr),
@@ -106,7 +106,7 @@ def _(t):
 
 @query("bl10_baseline_table")
 def _(t):
-    return B.baselines(*halves(t), "y", ["l_quantity", "price", "status"], "average_precision", trees=10)
+    return B.baselines(*halves(t), "y", ["l_quantity", "price", "status"], "average_precision", trees=100)
 
 
 BACK = f"""{SERIES}, i as (select period, row_number() over (order by period) - 1 as i from (select distinct period from s)),

@@ -77,12 +77,12 @@ def _(t):
 
 
 @query("rl09_domain_union", """
-with a as (select p_size as v, count(*) as na from part where p_partkey % 2 = 0 and p_size < 40 group by 1),
-b as (select p_size as v, count(*) as nb from part where p_partkey % 2 = 1 and p_size > 10 group by 1)
+with a as (select p_size as v, count(*) as na from part where p_partkey % 2 = 0 group by 1),
+b as (select p_size + 10 as v, count(*) as nb from part where p_partkey % 2 = 1 group by 1)
 select v, coalesce(na, 0) as na, coalesce(nb, 0) as nb from a full join b using (v)""")
 def _(t):
-    a = t.part.where("p_partkey % 2 = 0 and p_size < 40").groupBy(F.col("p_size").alias("v")).agg(F.count(F.lit(1)).alias("na"))
-    b = t.part.where("p_partkey % 2 = 1 and p_size > 10").groupBy(F.col("p_size").alias("v")).agg(F.count(F.lit(1)).alias("nb"))
+    a = t.part.where("p_partkey % 2 = 0").groupBy(F.col("p_size").alias("v")).agg(F.count(F.lit(1)).alias("na"))
+    b = t.part.where("p_partkey % 2 = 1").groupBy((F.col("p_size") + 10).alias("v")).agg(F.count(F.lit(1)).alias("nb"))
     return a.join(b, "v", "full_outer").fillna(0, ["na", "nb"])
 
 

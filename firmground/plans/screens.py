@@ -124,7 +124,7 @@ def _(t):
 @query("fn06_importance")
 def _(t):
     return N.stage6_importance(wide(t).withColumn("_row", F.xxhash64(*KEY)), "y", ["l_quantity", "p_brand", "l_tax", "leak"],
-                               micros("l_shipdate"), "_row", folds=3, trees=5)
+                               micros("l_shipdate"), "_row", folds=5, trees=50)
 
 
 @query("fn07_stability", f"""with {FRAME}, z as (select *, case when l_shipdate < timestamp '1998-01-01' then y + l_tax else l_tax end as fading from w),
@@ -169,7 +169,7 @@ def _(t):
     df = wide(t)
     late = F.col("l_shipdate") >= F.to_timestamp(F.lit("2000-06-01"))
     path = f"{checkpoint_dir(t.spark).rstrip('/')}/holdout-scores-{uuid.uuid4().hex}"
-    return N.stage10_confirm(df.where(~late), df.where(late), "y", ["l_quantity", "p_brand", "l_tax"], "first", path, trees=5)
+    return N.stage10_confirm(df.where(~late), df.where(late), "y", ["l_quantity", "p_brand", "l_tax"], "first", path, trees=50)
 
 
 def _chain_sql():

@@ -54,7 +54,7 @@ def _(t):
 
 
 @query("mo04_score_ks", f"""
-with {PRED}, s as (select p, (ts < {CUT})::int as a, (ts >= {CUT} and l_linenumber <> 2)::int as b from pred),
+with {PRED}, s as (select p, (ts < {CUT})::int as a, (ts >= {CUT})::int as b from pred),
 c as (select p, sum(a) as a, sum(b) as b from s group by p),
 u as (select sum(a) over (order by p) as ua, sum(b) over (order by p) as ub, sum(a) over () as na, sum(b) over () as nb from c),
 k as (select max(abs(ua / na - ub / nb)) as ks, max(na)::double as na, max(nb)::double as nb from u),
@@ -64,13 +64,12 @@ select round(ks, 6) as ks, round(least(greatest(pv, 0), 1), 6) as p_value, pv <
 def _(t):
     cut = F.to_timestamp(F.lit("1998-01-01"))
     p = predictions(t.lineitem)
-    return rounded(W.score_ks(p.where(F.col("ts") < cut), p.where((F.col("ts") >= cut) & (F.col("l_linenumber") != 2)), "p"),
-                   "ks", "p_value")
+    return rounded(W.score_ks(p.where(F.col("ts") < cut), p.where(F.col("ts") >= cut), "p"), "ks", "p_value")
 
 
 WEEKLY = f"""with {PRED}, w as (select date_trunc('week', ts)::date as period, -avg(abs(y - p)) as value from pred group by 1),
 d as (select *, value < -0.4 - 2 * 0.005::double as below from w),
-dt as (select period, value, below, below and lag(below, 1, false) over (order by period) as trigger from d)"""
+dt as (select period, value, below, below and coalesce(lag(below) over (order by period) and period - lag(period) over (order by period) = 7, false) as trigger from d)"""
 
 
 def weekly(t):

@@ -1,6 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables."""
-import os
-
+"""Every registered query against its SQL twin, value by value, on the smallest tables."""
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -8,17 +6,14 @@ DATA = "/root/testdata/sf0.001"
 
 import __spark_entry__ as entry_point
 from firmground.plans import load
+from tools.compare import rows_of, views
 
 QUERIES, SQL = load()
-SLOW = {"fn06_importance", "fn10_confirmation", "uc02_paired_bootstrap", "uc03_baseline_compare_auc", "bl06_boosted", "bl10_baseline_table"}
 
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    for f in os.listdir(DATA):
-        c.execute(f"create view {f[:-8]} as select * from '{DATA}/{f}'")
-    return c
+    return views(duckdb.connect(), DATA)
 
 
 def test_entry(spark):
@@ -26,7 +21,7 @@ def test_entry(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, DATA)
     rows = df.collect()
@@ -34,4 +29,4 @@ def test_query(spark, con, name):
         cur = con.execute(SQL[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(df.columns)
-        assert len(cur.fetchall()) == len(rows)
+        assert rows_of(df.columns, [tuple(r) for r in rows]) == rows_of(names, cur.fetchall())
