@@ -11,8 +11,9 @@ else drown the few that do. A logistic curve, fitted on labelled rows left out o
 length-normalised differences to 0..1.
 
 Labels come from at most ``max_labels`` labelled rows (those with the smallest hash of their id), which bounds what is
-broadcast. The shared counts cover every document. Counts are summed in a fixed number of hash buckets, so the model
-that travels to the tasks does not grow with the vocabulary.
+broadcast. The shared counts cover every document. Counts are summed in a fixed number of hash buckets, and what travels to
+the tasks is one number per bucket, the difference of the two models for the commonest gram in it, so the model does not
+grow with the vocabulary.
 """
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from firmground.llm.store import Workspace, ragged, slices, text_bytes
 from firmground.llm.words import PUNCTUATED, mix, words
 
 ORDER = 7
-TOP_BITS, CONTEXT_BITS, LOW_BITS = 22, 21, 20
+TOP_BITS, CONTEXT_BITS, LOW_BITS = 21, 21, 20
 DISCOUNT, STRENGTH = 0.75, 40.0
 EXCESS = (2.0, 4.0)
 SUMS = ["_tox_total", "_tox_bytes", "_tox_words", "_tox_over_low", "_tox_over_high"]
@@ -100,17 +101,24 @@ def _fold_task(bits: int, names: list[str]):
     def run(batches):
         for batch in batches:
             key = bucket(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key)] + batch.columns[1:], names=["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", "gram", *names])
 
     return run
 
 
-def _table(df: DataFrame, bits: int) -> list[np.ndarray]:
-    """Sums of ``df(gram, measures…)`` by bucket, as arrays of ``2 ** bits`` numbers."""
+def _table(df: DataFrame, bits: int, commonest: bool = False) -> list[np.ndarray]:
+    """Sums of ``df(gram, measures…)`` by bucket, as arrays of ``2 ** bits`` numbers; before them, if wished, the gram with
+    the largest first measure."""
     names = df.columns[1:]
-    folded = df.mapInArrow(_fold_task(bits, names), "key long, " + ", ".join(f"{c} long" for c in names))
-    found = folded.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    out = []
+    folded = df.mapInArrow(_fold_task(bits, names), "key long, gram long, " + ", ".join(f"{c} long" for c in names))
+    most = [F.max(F.struct(names[0], "gram"))["gram"].alias("gram")] if commonest else []
+    found = folded.groupBy("key").agg(*[F.sum(c).alias(c) for c in names], *most).toArrow()  # 2 ** bits rows at most
+    if commonest:
+        grams = np.zeros(1 << bits, np.uint64)
+        grams[found.column("key").to_numpy()] = found.column("gram").to_numpy().view(np.uint64)
+        out = [grams]
+    else:
+        out = []
     for c in names:
         full = np.zeros(1 << bits, np.float32)
         full[found.column("key").to_numpy()] = found.column(c).to_numpy()
@@ -123,7 +131,7 @@ class Model:
 
     def __init__(self, grams: DataFrame, work: Workspace):
         one = F.lit(1).cast("long")
-        self.top = _table(grams.select("gram", *ALL), TOP_BITS)
+        self.grams, *self.top = _table(grams.select("gram", *ALL), TOP_BITS, True)
         types = [F.when(F.col(c) > 0, one).otherwise(0).alias(f"y_{c}") for c in ROUND]
         both = [F.when(F.col(a) + F.col(b) > 0, one).otherwise(0).alias(f"y_{n}") for a, b, n in (("t0", "t1", "t"), ("o0", "o1", "o"))]
         self.context = _table(grams.select(F.shiftrightunsigned("gram", 8).alias("gram"), *ALL, *types, *both, one.alias("y")), CONTEXT_BITS)
@@ -143,19 +151,19 @@ class Model:
             p = _backed_off(counts[bucket(part, LOW_BITS)], *(t[bucket(part >> np.uint64(8), LOW_BITS)] for t in (total, kinds)), p)
         return _backed_off(self.top[0][at], self.context[0][h], self.context[-1][h], p)
 
-    def ratios(self, whole: bool):
-        """A function from grams to the difference of the classes' log-probabilities."""
+    def ratios(self, whole: bool) -> np.ndarray:
+        """Per bucket: the difference of the classes' log-probabilities for its commonest gram."""
         _, t0, o0, t1, o1 = self.top
         _, ct0, co0, ct1, co1, yt0, yo0, _, _, yt, yo, _ = self.context
         sides = [(t0 + t1, ct0 + ct1, yt), (o0 + o1, co0 + co1, yo)] if whole else [(t0, ct0, yt0), (o0, co0, yo0)]
 
-        def of(grams: np.ndarray) -> np.ndarray:
-            at, h = bucket(grams, TOP_BITS), bucket(grams >> np.uint64(8), CONTEXT_BITS)
-            low = self.shared(grams, at, h)
-            toxic, ordinary = (np.log(_backed_off(count[at], total[h], kinds[h], low, STRENGTH)) for count, total, kinds in sides)
-            return toxic - ordinary
-
-        return of
+        out = np.zeros(len(self.grams), np.float32)
+        for part in np.array_split(np.flatnonzero(self.top[0]), 16):
+            h = bucket(self.grams[part] >> np.uint64(8), CONTEXT_BITS)
+            low = self.shared(self.grams[part], part, h)
+            toxic, ordinary = (np.log(_backed_off(count[part], total[h], kinds[h], low, STRENGTH)) for count, total, kinds in sides)
+            out[part] = toxic - ordinary
+        return out
 
 
 def _backed_off(count, total, kinds, lower, strength=0.0):
@@ -185,13 +193,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w / scale
 
 
-def _score_task(ratios, keep: list[str], text: str = "text"):
+def _score_task(shipped, keep: list[str], text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = ratios()
+        ratios = shipped.value
         for batch in slices(batches, text):
             inverse, bounds, grams, word = spelled(batch.column(text))
             m = int(word[-1]) + 1 if len(word) else 0
-            by_word = np.bincount(word, of(grams), m)
+            by_word = np.bincount(word, ratios[bucket(grams, TOP_BITS)], m)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             per_word = [by_word, np.bincount(word, minlength=m), np.ones(m), *(np.maximum(by_word - x, 0) for x in EXCESS)]
             sums = [np.bincount(rows, x[inverse], batch.num_rows).astype(float) for x in per_word]
@@ -239,19 +247,10 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counted = marked.mapInArrow(_count_task(), "gram long, " + ", ".join(f"{c} long" for c in ALL))
     grams = work.keep(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ALL]), "grams")
     model = Model(grams, work)
-    shipped = spark.sparkContext.broadcast((model.top, model.context, model.lower))
-
-    def ratios(whole):
-        def load():
-            m = Model.__new__(Model)
-            m.top, m.context, m.lower = shipped.value
-            return m.ratios(whole)
-
-        return load
-
+    part, whole = (spark.sparkContext.broadcast(model.ratios(x)) for x in (False, True))
     sums = ", ".join(f"{c} double" for c in SUMS)
     tried = source.join(F.broadcast(learn.where(fold == 4)), "doc_id").select("doc_id", "y", "text").mapInArrow(
-        _score_task(ratios(False), ["doc_id", "y"]), "doc_id long, y int, " + sums).groupBy("doc_id").agg(
+        _score_task(part, ["doc_id", "y"]), "doc_id long, y int, " + sums).groupBy("doc_id").agg(
         *[F.max(c).alias(c) for c in ["y", *SUMS]]).toPandas()  # max_labels rows at most
     y = (tried["y"].to_numpy() > 0).astype(float)
     if len(set(y)) == 2:
@@ -267,6 +266,6 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def judge(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
         schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in SUMS])
-        return rows.mapInArrow(_score_task(ratios(True), keep, column), schema).withColumn(SCORE, score)
+        return rows.mapInArrow(_score_task(whole, keep, column), schema).withColumn(SCORE, score)
 
     return judge

@@ -1,7 +1,6 @@
 """Packing round trip, edit-aware counts against full encoding, linked tool calls, and the pipeline."""
 import json
 import random
-import sys
 import zlib
 
 import duckdb
@@ -11,7 +10,6 @@ import pytest
 import regex
 from fixtures import awkward, frame, sentence
 
-sys.path.insert(0, "/root/repo")
 import public_tokenizers
 
 from firmground.llm import packing, token_counts, tool_calls

@@ -2,6 +2,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from fixtures import awkward, frame, sentence
@@ -56,32 +57,20 @@ def test_base_spans():
 
 
 def test_network_learns_and_windows_agree():
-    rng = np.random.default_rng(1)
-    rand = random.Random(6)
-    texts = []
-    for _ in range(300):
-        ip = ".".join(str(rand.randrange(256)) for _ in range(4))
-        texts.append(f"{sentence(rand, rand.randrange(1, 30))} {ip} {sentence(rand, 8)} me{rand.randrange(99)}@mail.example.com call +1 ({rand.randrange(100, 999)}) 555-{rand.randrange(1000, 9999)} {sentence(rand, 20)}")
-    rows = [r for t in texts[:200] for r in pii.training_rows(t)]
-    codes, tags = (np.stack([r[i] for r in rows]) for i in (0, 1))
-    model = pii.Tagger(hidden=16)
-    before, _ = model.gradients(codes[:64].T, tags[:64].T)
-    model.fit(codes, tags, epochs=6)
-    assert model.gradients(codes[:64].T, tags[:64].T)[0] < 0.2 * before
-    held = texts[200:]
-    right = total = 0
-    for text, found in zip(held, pii.decode_texts(model, held)):
-        want = pii.tags_of(len(text), pii.base_spans(text))
-        right += int(((found == want) & (want > 0)).sum())
-        total += int((want > 0).sum())
-    assert right > 0.9 * total
+    query = "select text from '/root/testdata/sf0.1/documents.parquet' where regexp_matches(text, '[0-9@]') order by doc_id"
+    texts = [t for (t,) in duckdb.sql(query).fetchall()]
+    windows = lambda some: (np.stack(x) for x in zip(*(r for t in some for r in pii.training_rows(t))))
+    codes, tags = windows(texts[:450])
+    model = pii.Tagger().fit(codes, tags)
+    held, want = windows(texts[450:])
+    found = np.concatenate([model.decode(held[i:i + 512]) for i in range(0, len(held), 512)])
+    right = ((found == want) & (want > 0)).sum()
+    assert right > 0.9 * (want > 0).sum() and right > 0.9 * (found > 0).sum()
     # a window border changes nothing: the same passage, shifted over the grid
     body = "reach me at (826) 555-4081 today"
     shifted = ["x " * k + body for k in range(0, 40)]
-    found = [pii.added_spans(t, tag, pii.base_spans(t)) for t, tag in zip(shifted, pii.decode_texts(model, shifted))]
-    caught = [bool(f) and shifted[i][f[0][1]:f[0][2]] == "(826) 555-4081" for i, f in enumerate(found)]
-    assert sum(caught) > 30
-    assert rng is not None
+    spans = [pii.added_spans(t, tag, pii.base_spans(t)) for t, tag in zip(shifted, pii.decode_texts(model, shifted))]
+    assert sum(bool(f) and shifted[i][f[0][1]:f[0][2]] == "(826) 555-4081" for i, f in enumerate(spans)) > 35
 
 
 def test_gradients_by_differences():
