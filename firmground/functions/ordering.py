@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from firmground.functions.columns import join_by, linear_bucket
+from firmground.functions.columns import join_by, linear_bucket, micros
 
 CHUNK = "_chunk"
 
@@ -116,43 +116,46 @@ def running(
         *keep, *[_merge(k, F.col(f"_l_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in aggs.items()])
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Values of a key too large for one task.
+def as_number(df: DataFrame, col: str) -> Column:
+    """A double that never falls while the column rises: for cutting an order, not for comparing values."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(col).cast("double")
+    if isinstance(kind, T.StringType):  # its first six bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(col).cast("double")
 
-    At most ``parallelism`` values are returned: the value ranked after that holds no more than an even share of
-    the rows. ``spark.firmground.hotRows`` is the number of rows one task handles comfortably.
+
+def with_group_chunk(df: DataFrame, key: str, at: str, out: str = CHUNK) -> DataFrame:
+    """Add a chunk index over the order (hash of the key, ``at``).
+
+    A chunk holds about an even share of the rows. The rows of an ordinary key lie in one chunk; a key with more than
+    such a share is cut along ``at``. The plan is the same whatever the sizes of the keys.
     """
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.firmground.hotRows", "2000000"))
-    counts = df.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull())
-    return [r[0] for r in counts.orderBy(F.desc("count"), key).limit(parallelism(spark)).collect()]
+    marked = df.withColumns({"_h": F.xxhash64(key).cast("double"), "_at_number": as_number(df, at)})
+    return with_order_chunk(marked, ["_h", "_at_number"], out=out).drop("_h", "_at_number")
 
 
 def grouped_running(
     df: DataFrame,
     key: str,
     by: list[str],
-    order: list[Column],
-    hot_order: list[str],
+    order: list[str],
     aggs: dict[str, tuple[str, str]],
     descending: bool = False,
     inclusive: bool = True,
-    hot: list | None = None,
+    chunk_col: str | None = None,
 ) -> DataFrame:
-    """Running aggregates per group: one plain window for ordinary keys, the chunked form for hot ones.
+    """Running aggregates per group ``by``, which includes the key, in chunks of :func:`with_group_chunk`.
 
-    ``order`` are the full sort columns of the plain window; ``hot_order`` the ascending column names for
-    :func:`running` (sorted the other way round when ``descending``).
+    Pass ``chunk_col`` where the index is a column already; then it stays.
     """
-    hot = hot_keys(df, key) if hot is None else hot
-    edge = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, edge)
-    cold = df if not hot else df.where(~F.col(key).isin(hot) | F.col(key).isNull())
-    out = cold.select("*", *[_AGG[k](c).over(w).alias(o) for o, (k, c) in aggs.items()])
-    if hot:
-        split = running(df.where(F.col(key).isin(hot)), hot_order, aggs, by, descending, inclusive)
-        out = out.unionByName(split.select(*out.columns))
-    return out
+    if chunk_col:
+        return running(df, order, aggs, by, descending, inclusive, chunk_col=chunk_col)
+    chunked = with_group_chunk(df, key, order[0], "_group_chunk")
+    return running(chunked, order, aggs, by, descending, inclusive, chunk_col="_group_chunk").drop("_group_chunk")
 
 
 def framed(
@@ -163,22 +166,15 @@ def framed(
     back: int = 1,
     ahead: int = 0,
     block: int = 500_000,
-    hot: list | None = None,
 ) -> DataFrame:
     """Apply window columns whose frame reaches at most ``back`` rows before and ``ahead`` rows after each row.
 
-    ``compute(frame, partition_columns)`` adds the columns with windows partitioned by ``partition_columns``. Rows
-    of hot keys are numbered, cut into blocks of ``block`` rows and given a halo of ``back`` / ``ahead``
-    neighbours, so no task holds a whole hot key and results equal those of the plain window.
+    ``compute(frame, partition_columns)`` adds the columns with windows partitioned by ``partition_columns``. The rows
+    of each key are numbered, cut into blocks of ``block`` rows and given a halo of ``back`` / ``ahead`` neighbours, so
+    no task holds a whole key with very many rows and results equal those of the plain window.
     """
-    hot = hot_keys(df, key) if hot is None else hot
-    cold = df if not hot else df.where(~F.col(key).isin(hot) | F.col(key).isNull())
-    out = compute(cold, [key])
-    if not hot:
-        return out
     block = max(block, back + ahead + 1)
-    numbered = running(
-        df.where(F.col(key).isin(hot)).withColumn("_one", F.lit(1)), order, {"_rn": ("sum", "_one")}, [key])
+    numbered = grouped_running(df.withColumn("_one", F.lit(1)), key, [key], order, {"_rn": ("sum", "_one")})
     home = linear_bucket(F.col("_rn"), block)
     pos = F.pmod(F.col("_rn"), F.lit(block))
     copies = F.array_compact(F.array(
@@ -188,8 +184,7 @@ def framed(
     ))
     spread = numbered.withColumn("_copy", F.explode(copies)).select(
         *df.columns, F.col("_copy.blk").alias("_blk"), F.col("_copy.own").alias("_own"))
-    done = compute(spread, [key, "_blk"]).where("_own").select(*out.columns)
-    return out.unionByName(done)
+    return compute(spread, [key, "_blk"]).where("_own").drop("_own", "_blk")
 
 
 def value_counts(df: DataFrame, cols: list[str], by: list[str] | None = None,

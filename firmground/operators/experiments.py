@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmground.functions.columns import exploded, micros, whole_days
-from firmground.functions.ordering import framed, grouped_running, hot_keys
+from firmground.functions.ordering import framed, grouped_running
 from firmground.functions.stats import normal_p, student_p, two_proportion_z, welch, z_value
 
 
@@ -169,9 +169,8 @@ def unit_sessions(df: DataFrame, unit: str, ts: str, key: str, gap_seconds: int)
         return frame.withColumn("_new", F.coalesce(late, F.lit(True)).cast("int"))
 
     rows = df.where(F.col(unit).isNotNull()).select(unit, key, micros(ts).alias("_at"))
-    hot = hot_keys(rows, unit)
-    marked = framed(rows, unit, ["_at", key], mark, hot=hot)
-    numbered = grouped_running(marked, unit, [unit], [F.asc("_at"), F.asc(key)], ["_at", key], {"_s": ("sum", "_new")}, hot=hot)
+    marked = framed(rows, unit, ["_at", key], mark)
+    numbered = grouped_running(marked, unit, [unit], ["_at", key], {"_s": ("sum", "_new")})
     return numbered.groupBy(unit, "_s").agg(
         F.timestamp_micros(F.min("_at")).alias("start"),
         F.timestamp_micros(F.max("_at") + gap_seconds * 1_000_000).alias("end"), F.count(F.lit(1)).alias("n")).drop("_s")

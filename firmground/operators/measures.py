@@ -68,7 +68,7 @@ def attribution(df: DataFrame, entity: str, ts: str, key: str, channel: str, con
     """
     rows = df.select(entity, micros(ts).alias("_at"), F.col(key).alias("_k"), F.col(channel).alias("channel"),
                      converted.cast("int").alias("_c"))
-    path = grouped_running(rows, entity, [entity], [F.asc("_at"), F.asc("_k")], ["_at", "_k"], {"_upto": ("sum", "_c")})
+    path = grouped_running(rows, entity, [entity], ["_at", "_k"], {"_upto": ("sum", "_c")})
     path = path.withColumn("_path", F.col("_upto") - F.col("_c"))
     closed = path.groupBy(entity, "_path").agg(
         F.max("_c").alias("done"), F.min_by("channel", F.when(F.col("_c") == 0, F.struct("_at", "_k"))).alias("first"),

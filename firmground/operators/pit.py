@@ -3,7 +3,7 @@
 The engine is linear in facts and decisions. Time is cut into blocks as wide as the window, so the window
 ``[d - w, d)`` is a suffix of one block plus a prefix of the next. Decisions travel through the same sort as the
 facts and read both running aggregates; no (fact, decision) pairs are ever made, whatever the number of facts or
-decisions of one entity. Facts of a hot entity are merged per timestamp and split further by time (see
+decisions of one entity. Facts are merged per timestamp, and an entity with very many is cut further by time (see
 ``functions.ordering``).
 """
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import DAY_US, join_by, linear_bucket, micros
-from firmground.functions.ordering import CHUNK, framed, grouped_running, hot_keys, running, value_counts
+from firmground.functions.ordering import CHUNK, framed, grouped_running, running, value_counts, with_group_chunk
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -39,19 +39,16 @@ def window_parts(spine: DataFrame, facts: DataFrame, entity: str, decision: str,
     if width:
         rows = rows.unionByName(ask(at - width, False))
     rows = rows.withColumn("_blk", linear_bucket(F.col("_t"), width) if width else F.lit(0).cast("bigint"))
-    hot = hot_keys(rows, entity)
-    if hot:
-        busy = (F.col("_kind") == 1) & F.col(entity).isin(hot)
-        merged = rows.where(busy).groupBy(entity, "_t", "_kind", "_pre", decision, "_blk").agg(
-            *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])
-        rows = rows.where(~busy).unionByName(merged.select(*rows.columns))
+    # facts of one entity at one time are one row, so not even a single timestamp is too large for a chunk
+    rows = rows.groupBy(entity, "_t", "_kind", "_pre", decision, "_blk").agg(
+        *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])
+    rows = with_group_chunk(rows, entity, "_t", "_cut")
     specs = {f"_p_{n}": (k, n) for n, (k, _) in parts.items()}
-    run = grouped_running(rows, entity, [entity, "_blk"], [F.asc("_t"), F.asc("_kind")], ["_t", "_kind"], specs, hot=hot)
+    run = grouped_running(rows, entity, [entity, "_blk"], ["_t", "_kind"], specs, chunk_col="_cut")
     if not width:
         return run.where("_kind = 0").select(entity, decision, *[F.col(f"_p_{n}").alias(n) for n in parts])
     specs = {f"_s_{n}": (k, n) for n, (k, _) in parts.items()}
-    run = grouped_running(run, entity, [entity, "_blk"], [F.desc("_t"), F.desc("_kind")], ["_t", "_kind"], specs,
-                          descending=True, hot=hot)
+    run = grouped_running(run, entity, [entity, "_blk"], ["_t", "_kind"], specs, descending=True, chunk_col="_cut")
     side = [F.when(F.col("_pre"), F.col(f"_p_{n}")).otherwise(F.col(f"_s_{n}")).alias(n) for n in parts]
     return run.where("_kind = 0").select(entity, decision, *side).groupBy(entity, decision).agg(
         *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])

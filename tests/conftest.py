@@ -15,7 +15,8 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Every key with more than 20 rows counts as hot, so the split paths run."""
-    spark.conf.set("spark.firmground.hotRows", "20")
+    """So many chunks that every key is cut into several."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
     yield spark
-    spark.conf.unset("spark.firmground.hotRows")
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -235,7 +235,7 @@ def test_features_do_not_see_the_future(spark):
 def test_hot_entities_get_the_same_features(spark, hot):
     sp, ev = spine(spark), events(spark)
     split = all_features(sp, ev)
-    spark.conf.set("spark.firmground.hotRows", "1000000")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     assert len(split) == 36
     pd.testing.assert_frame_equal(split, all_features(sp, ev))
 

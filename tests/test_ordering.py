@@ -36,7 +36,7 @@ def test_running_by_group_descending_min(spark, frame):
 
 def test_hot_keys_are_split_and_equal_plain_windows(hot, frame):
     df, _ = frame
-    assert 0 in O.hot_keys(df, "k")
+    assert O.with_group_chunk(df, "k", "t").where("k = 0").select(O.CHUNK).distinct().count() > 10
 
     def stats(d, part):
         w = Window.partitionBy(*part).orderBy("t", "id")
@@ -50,12 +50,20 @@ def test_hot_keys_are_split_and_equal_plain_windows(hot, frame):
 
 def test_grouped_running_hot_equals_plain(hot, frame):
     df, _ = frame
-    args = (df, "k", ["k"], [F.asc("t"), F.asc("id")], ["t", "id"], {"s": ("sum", "id"), "m": ("max", "v")})
-    split = O.grouped_running(*args).select("id", "s", "m").toPandas().sort_values("id")
-    plain = O.grouped_running(*args, hot=[]).select("id", "s", "m").toPandas().sort_values("id")
+    split = O.grouped_running(df, "k", ["k"], ["t", "id"], {"s": ("sum", "id"), "m": ("max", "v")}).select("id", "s", "m").toPandas().sort_values("id")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    plain = df.select("id", F.sum("id").over(w).alias("s"), F.max("v").over(w).alias("m")).toPandas().sort_values("id")
     pd.testing.assert_frame_equal(split.reset_index(drop=True), plain.reset_index(drop=True))
 
 
+def test_null_groups_carry_over_chunks(hot, frame):
+    df, pdf = frame
+    holed = df.withColumn("k", F.when(F.col("k") % 3 > 0, F.col("k")))
+    got = O.running(holed, ["t", "id"], {"s": ("sum", "id")}, ["k"]).where("k is null").toPandas().sort_values(["t", "id"])
+    want = pdf[pdf.k % 3 == 0].sort_values(["t", "id"])["id"].cumsum()
+    assert got["s"].tolist() == want.tolist()
+
+
 def test_quantiles_equal_numpy(spark, frame):
     df, pdf = frame
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
