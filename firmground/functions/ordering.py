@@ -239,44 +239,51 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     return found.select(*group, F.col("total").alias("n"), *outs)
 
 
-def order_cuts(df: DataFrame, ts: str, key: str, ranks_of: Callable[[int], list[int]]) -> list[tuple]:
-    """The (ts, key) at given zero-based ranks of the order by (ts, key); ``ranks_of`` maps the row count to ranks.
+def order_cuts(df: DataFrame, keys: list[str], ranks_of: Callable[[int], list[int]]) -> list[tuple | None]:
+    """Where zero-based ranks of the order by ``keys`` (integer columns) lie; ``ranks_of`` maps the row count to ranks.
 
-    Returned to the driver (one pair per rank; None when the rank is past the end), so a split becomes a plain
-    comparison on the scan and needs no shuffle of the table. ``ts`` and ``key`` are integer columns.
+    Returned to the driver, one ``(values, left)`` per rank (None past the end): the row of that rank has the ``values``
+    of the first keys, and ``left`` rows with the same values come before it. A further key is only looked at where
+    the ones before leave rows undecided. A split then is a plain comparison on the scan.
     """
-    per_ts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("n"))
-    upto = running(per_ts, [ts], {"upto": ("sum", "n")})
     n = df.count()
     ranks = ranks_of(n)
-    hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("upto") - F.col("n") <= r) & (F.lit(r) < F.col("upto")))
-    rows = upto.where(hit).select(ts, (F.col("upto") - F.col("n")).alias("before"), "upto").collect()
-    places = {}
-    for r in ranks:
-        for row in rows:
-            if row["before"] <= r < row["upto"]:
-                places[r] = (row[ts], r - row["before"])
-    inner = df.where(F.col(ts).isin([v for v, _ in places.values()])).select(ts, key)
-    per_key = inner.groupBy(ts, key).agg(F.count(F.lit(1)).alias("n"))
-    within = running(per_key, [key], {"upto": ("sum", "n")}, [ts])
-    hit = F.lit(False)
-    for value, left in places.values():
-        hit = hit | ((F.col(ts) == value) & (F.col("upto") - F.col("n") <= left) & (F.lit(left) < F.col("upto")))
-    keys = within.where(hit).select(ts, key, (F.col("upto") - F.col("n")).alias("before"), "upto").collect()
-    cuts: list[tuple] = []
-    for r in ranks:
-        found = None
-        if r in places:
-            value, left = places[r]
-            found = next((value, k[key]) for k in keys if k[ts] == value and k["before"] <= left < k["upto"])
-        cuts.append(found)
-    return cuts
-
-
-def at_or_after(ts: str, key: str, cut: tuple | None) -> Column:
-    """Whether a row lies at or after a cut of :func:`order_cuts`."""
+    places: dict[int, tuple[tuple, int]] = {r: ((), r) for r in ranks if 0 <= r < n}
+    for depth, key in enumerate(keys):
+        if not any(left for _, left in places.values()):
+            break
+        before = keys[:depth]
+
+        def within(values: tuple) -> Column:
+            same = F.lit(True)
+            for k, v in zip(before, values):
+                same = same & (F.col(k) == F.lit(v))
+            return same
+
+        wanted = F.lit(False)
+        for values, _ in places.values():
+            wanted = wanted | within(values)
+        counts = df.where(wanted).groupBy(*before, key).agg(F.count(F.lit(1)).alias("n"))
+        upto = running(counts, [key], {"upto": ("sum", "n")}, before)
+        hit = F.lit(False)
+        for values, left in places.values():
+            hit = hit | (within(values) & (F.col("upto") - F.col("n") <= left) & (F.lit(left) < F.col("upto")))
+        rows = upto.where(hit).select(*before, key, (F.col("upto") - F.col("n")).alias("start"), "upto").collect()
+        for r, (values, left) in places.items():
+            row = next(x for x in rows if tuple(x[k] for k in before) == values and x["start"] <= left < x["upto"])
+            places[r] = ((*values, row[key]), left - row["start"])
+    return [places.get(r) for r in ranks]
+
+
+def at_or_after(keys: list[str], cut: tuple | None, copy: str | None = None) -> Column:
+    """Whether a row lies at or after a cut of :func:`order_cuts`.
+
+    ``copy`` numbers the rows with equal keys from 1; it is only read where a cut falls between such rows.
+    """
     if cut is None:
         return F.lit(False)
-    return (F.col(ts) > F.lit(cut[0])) | ((F.col(ts) == F.lit(cut[0])) & (F.col(key) >= F.lit(cut[1])))
+    values, left = cut
+    after = F.col(copy) > left if left else F.lit(True)
+    for k, v in reversed(list(zip(keys, values))):
+        after = (F.col(k) > F.lit(v)) | ((F.col(k) == F.lit(v)) & after)
+    return after

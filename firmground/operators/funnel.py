@@ -5,6 +5,9 @@ rules are then replayed on those statistics. Every stage returns verdicts ``(fea
 """
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -257,13 +260,16 @@ def stage10_confirm(train: DataFrame, held: DataFrame, target: str, candidates:
                     scores_path: str, task: str = "classification", trees: int = 50, seed: int = 7) -> DataFrame:
     """Fit on train, score the holdout once per campaign: ``campaign, metric, score``.
 
-    The score table records the touch; a campaign already in it is refused before anything is read.
+    The touch is recorded before anything is read, in a folder that may be written once: a run that dies while scoring
+    has used the holdout, and a second run is refused.
     """
     spark = train.sparkSession
     schema = "campaign string, metric string, score double"
-    spark.createDataFrame([], schema).write.mode("append").parquet(scores_path)
-    if spark.read.schema(schema).parquet(scores_path).where(F.col("campaign") == campaign).limit(1).count():
-        raise RuntimeError(f"holdout already used by campaign {campaign}")
+    mark = hashlib.md5(campaign.encode()).hexdigest()
+    try:
+        spark.createDataFrame([(campaign,)], "campaign string").write.mode("error").parquet(f"{scores_path}-touched/{mark}")
+    except AnalysisException as e:
+        raise RuntimeError(f"holdout already used by campaign {campaign}") from e
     models, ready = encoded(train, candidates)
     model = boosted(task, trees, 3, seed).fit(_vectors(ready, candidates, target).select("_features", "_label"))
     scored = model.transform(_vectors(apply_encoding(held, candidates, models), candidates, target))

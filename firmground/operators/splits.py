@@ -1,30 +1,43 @@
 """Train / test / fold assignment. Cuts are found once as (time, key) values; assigning a row is then a comparison."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import collect_stats, is_null, is_numeric, md5_bucket, micros
-from firmground.functions.ordering import at_or_after, order_cuts
+from firmground.functions.ordering import at_or_after, order_cuts, running
 
 # Fixed value: below this positive rate, average precision replaces ROC AUC.
 RARE = 0.02
 
 
-def _with_order(df: DataFrame, order: Column, key: str) -> DataFrame:
-    return df.withColumns({"_t": order.cast("bigint"), "_k": F.col(key).cast("bigint")})
+KEYS = ["_t", "_k", "_r"]
 
 
 def _cut_split(df: DataFrame, order: Column, key: str, ranks_of, labels: list[str], out: str) -> DataFrame:
-    work = _with_order(df, order, key)
-    cuts = order_cuts(work.select("_t", "_k"), "_t", "_k", ranks_of)
+    """Cuts the order by (order, key, whole row). A key that is no integer is ordered by its hash, rows by theirs; of rows
+    alike in every column it does not matter which lies before a cut, only how many."""
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    work = df.withColumns({"_t": order.cast("bigint"), "_k": F.col(key).cast("bigint") if whole else F.xxhash64(key),
+                           "_r": F.xxhash64(*df.columns)})
+    cuts = order_cuts(work.select(*KEYS), KEYS, ranks_of)
+    split = [c for c in cuts if c and c[1]]
+    if split:
+        same = F.lit(False)
+        for values, _ in split:
+            same = same | ((F.col("_t") == values[0]) & (F.col("_k") == values[1]) & (F.col("_r") == values[2]))
+        same = F.coalesce(same, F.lit(False))
+        alike = work.where(same).withColumns({"_id": F.monotonically_increasing_id(), "_one": F.lit(1)})
+        numbered = running(alike, ["_id"], {"_copy": ("sum", "_one")}, KEYS).drop("_id", "_one")
+        work = work.where(~same).withColumn("_copy", F.lit(0).cast("bigint")).unionByName(numbered)
     side = F.lit(labels[0])
     for cut, label in zip(cuts, labels[1:]):
-        side = F.when(at_or_after("_t", "_k", cut), F.lit(label)).otherwise(side)
-    return work.withColumn(out, side).drop("_t", "_k")
+        side = F.when(at_or_after(KEYS, cut, "_copy"), F.lit(label)).otherwise(side)
+    return work.withColumn(out, side).drop(*KEYS, "_copy")
 
 
 def temporal_split(df: DataFrame, ts: str, key: str, frac: float = 0.2) -> DataFrame:
-    """``split``: the oldest int(n (1 - frac)) rows train, the rest test; equal times ordered by key."""
+    """``split``: the oldest int(n (1 - frac)) rows train, the rest test; equal times ordered by key,
+    then by a hash of the row."""
     return _cut_split(df, micros(ts), key, lambda n: [int(n * (1 - frac))], ["train", "test"], "split")
 
 

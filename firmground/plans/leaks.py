@@ -148,6 +148,21 @@ def _(t):
     return S.temporal_split(t.orders, "o_orderdate", "o_orderkey", 0.2).select("o_orderkey", "split")
 
 
+@query("sp01_temporal_split_ties", """
+with e as (select date_trunc('month', ts) as m, user_id % 3 as k from events),
+o as (select *, row_number() over (order by m, k) - 1 as r, count(*) over () as n from e)
+select m::date as month, k, case when r < floor(n * (1 - 0.2::double)) then 'train' else 'test' end as split, count(*) as n from o group by all""")
+def _(t):
+    e = t.events.select(F.date_trunc("month", "ts").alias("m"), (F.col("user_id") % 3).alias("k"))
+    return S.temporal_split(e, "m", "k").groupBy(F.to_date("m").alias("month"), "k", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sp01_temporal_split_text_key", f"with {SORTED} select case when r < floor(n * (1 - 0.2::double)) then 'train' else 'test' end as split, count(*) as n from o group by 1")
+def _(t):
+    x = t.orders.withColumn("name", F.concat("o_orderpriority", F.col("o_orderkey").cast("string")))
+    return S.temporal_split(x, "o_orderdate", "name").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
 HASH32 = "('0x' || substr(md5('{seed}' || {k}::varchar), 1, 8))::bigint"
 
 

@@ -204,6 +204,16 @@ def test_splits_cover_and_do_not_overlap(spark):
     assert sizes == [200, 200, 199, 199, 199]
 
 
+def test_splits_of_equal_rows_and_text_keys(spark):
+    one = spark.range(100).select(F.lit(5).cast("timestamp").alias("ts"), F.lit(1).alias("k"))
+    sizes = {r["split"]: r["count"] for r in SP.temporal_split(one, "ts", "k").groupBy("split").count().collect()}
+    assert sizes == {"train": 80, "test": 20}
+    assert [r["count"] for r in SP.kfold(one, F.unix_micros("ts"), "k", 7).groupBy("fold").count().orderBy("fold").collect()] == [15, 15, 14, 14, 14, 14, 14]
+    text = spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"), F.timestamp_seconds(F.col("id") % 2).alias("ts"))
+    got = SP.temporal_split(text, "ts", "k").toPandas()
+    assert (got["split"] == "test").sum() == 10 and got[got["split"] == "test"].ts.nunique() == 1
+
+
 def events(spark, n=1500):
     rng = np.random.default_rng(2)
     who = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 12, n))

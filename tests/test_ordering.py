@@ -76,9 +76,11 @@ def test_quantiles_equal_numpy(spark, frame):
 @pytest.mark.parametrize("parts", [1, 6])
 def test_order_cuts_with_ties(spark, frame, parts):
     df, pdf = frame
-    cuts = O.order_cuts(df.repartition(parts).select("t", "id"), "t", "id", lambda n: [0, n // 3, n - 1, n])
+    cuts = O.order_cuts(df.repartition(parts).select("t", "id"), ["t", "id"], lambda n: [0, n // 3, n - 1, n])
     line = pdf.sort_values(["t", "id"])[["t", "id"]].to_numpy()
-    assert cuts[:3] == [tuple(line[i]) for i in (0, len(line) // 3, len(line) - 1)]
+    assert [c[0] for c in cuts[1:3]] == [tuple(line[i]) for i in (len(line) // 3, len(line) - 1)]
+    assert cuts[0] == ((), 0) or cuts[0][0][0] == line[0][0]
+    assert all(c[1] == 0 for c in cuts[:3])
     assert cuts[3] is None
 
 
