@@ -1,7 +1,7 @@
 """Text jobs: recurring keywords, and whether claims and findings carry evidence."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Words that never form a group.
 STOP_WORDS = (
@@ -26,19 +26,26 @@ EVIDENCE = (
 )
 
 
+CHUNK_ROWS = 20_000
+
+
 def keyword_groups(df: DataFrame, key: str, text: str, min_count: int = 3, examples: int = 3) -> DataFrame:
     """``token, n, examples``: words of more than two letters that recur over rows, each row counting once.
 
-    Examples are the first keys in order; only that many rows per word leave each map task.
+    Examples are the first keys in order. Words are counted once per chunk of about ``CHUNK_ROWS`` rows, which bounds the
+    list of keys of a very common word, and chunks are merged by the thousand.
     """
     words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", " "), r"\s+")
     useful = F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
     tokens = df.select(key, F.explode(useful).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    first = tokens.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(key))).where(
-        F.col("_r") <= examples).groupBy("token").agg(
-        F.concat_ws(",", F.array_sort(F.collect_list(key)).cast("array<string>")).alias("examples"))
-    return counts.join(first, "token")
+    chunks = df.count() // CHUNK_ROWS + 1
+    part = tokens.groupBy("token", F.pmod(F.xxhash64(key), F.lit(chunks)).alias("_c")).agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(key)), 1, examples).alias("keys"))
+    while chunks > 1:
+        chunks = -(-chunks // 1000)
+        part = part.groupBy("token", F.floor(F.col("_c") / 1000).alias("_c")).agg(
+            F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, examples).alias("keys"))
+    return part.where(F.col("n") >= min_count).select("token", "n", F.concat_ws(",", F.col("keys").cast("array<string>")).alias("examples"))
 
 
 def _total(values: Column) -> Column:
