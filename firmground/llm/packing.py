@@ -48,10 +48,11 @@ class WordIds:
 
     White space separates pre-tokens and is itself dropped by this kind of tokenizer, so a text's ids are those of its
     words one after another. Latin words are cut into pre-tokens first, which many words share; a probe at the start makes
-    sure that this changes no id, else words are encoded whole. ``most`` words are remembered, then all are forgotten.
+    sure that this changes no id, else words are encoded whole. ``most`` words and twice as many pre-tokens are remembered,
+    then all are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,8 +62,9 @@ class WordIds:
         self.closes = np.zeros(max(names.values()) + 1, bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut, self.pieces = True, {}
-        self.cut = self._ids(_PROBE) == [e.ids for e in self.tokenizer.encode_batch(_PROBE, add_special_tokens=False)]
+        self.cut, self.pieces = True, {}  # pre-token to ids
+        plain = [e.ids for e in self.tokenizer.encode_batch(_PROBE, add_special_tokens=False)]
+        self.cut = [np.frombuffer(x, np.uint32).tolist() for x in self._ids(_PROBE)] == plain
         self._forget()
 
     def _pieces_of(self, word: str) -> list[str] | None:
@@ -70,24 +72,28 @@ class WordIds:
             return None
         return _PIECE.findall(word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower())
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as unsigned 32-bit numbers."""
+        if len(self.pieces) > 2 * self.most:
+            self.pieces = {}
         cut = [self._pieces_of(w) for w in words]
         fresh = list({p for ps in cut if ps for p in ps} - self.pieces.keys())
         if fresh:  # a pre-token ends where an id says so; many in one text spare the calls
             lines = [" ".join(fresh[i:i + 50]) for i in range(0, len(fresh), 50)]
-            ids = [i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(fresh) and ends[-1] == len(ids):
-                at = [0, *ends.tolist()]
-                self.pieces.update((p, ids[at[k]:at[k + 1]]) for k, p in enumerate(fresh))
+                at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+                self.pieces.update((p, raw[at[k]:at[k + 1]]) for k, p in enumerate(fresh))
             else:
-                self.pieces.update(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))))
+                each = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+                self.pieces.update((p, np.array(e.ids, np.uint32).tobytes()) for p, e in zip(fresh, each))
         whole = [w for w, ps in zip(words, cut) if ps is None]
         direct = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        return [next(direct).ids if ps is None else [i for p in ps for i in self.pieces[p]] for ps in cut]
+        get = self.pieces.__getitem__
+        return [np.array(next(direct).ids, np.uint32).tobytes() if ps is None else b"".join(map(get, ps)) for ps in cut]
 
     def _forget(self):
-        self.pieces: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -97,8 +103,8 @@ class WordIds:
 
     def _learn(self, fresh: list[str]):
         found = self._ids(fresh)
-        sizes = np.array([len(x) for x in found])
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.array([len(x) for x in found]) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         base, top = len(self.known), self.used + len(flat)
         while top > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
