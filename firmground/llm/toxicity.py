@@ -112,7 +112,7 @@ def _table(df: DataFrame, bits: int, commonest: bool = False) -> list[np.ndarray
     names = df.columns[1:]
     folded = df.mapInArrow(_fold_task(bits, names), "key long, gram long, " + ", ".join(f"{c} long" for c in names))
     most = [F.max(F.struct(names[0], "gram"))["gram"].alias("gram")] if commonest else []
-    found = folded.groupBy("key").agg(*[F.sum(c).alias(c) for c in names], *most).toArrow()  # 2 ** bits rows at most
+    found = folded.groupBy("key").agg(*[F.sum(c).cast("float").alias(c) for c in names], *most).toArrow()  # 2 ** bits rows at most
     if commonest:
         grams = np.zeros(1 << bits, np.uint64)
         grams[found.column("key").to_numpy()] = found.column("gram").to_numpy().view(np.uint64)
@@ -132,7 +132,7 @@ class Model:
     def __init__(self, grams: DataFrame, work: Workspace):
         one = F.lit(1).cast("long")
         self.grams, *self.top = _table(grams.select("gram", *ALL), TOP_BITS, True)
-        types = [F.when(F.col(c) > 0, one).otherwise(0).alias(f"y_{c}") for c in ROUND]
+        types = [F.when(F.col(c) > 0, one).otherwise(0).alias(f"y_{c}") for c in ROUND[:2]]
         both = [F.when(F.col(a) + F.col(b) > 0, one).otherwise(0).alias(f"y_{n}") for a, b, n in (("t0", "t1", "t"), ("o0", "o1", "o"))]
         self.context = _table(grams.select(F.shiftrightunsigned("gram", 8).alias("gram"), *ALL, *types, *both, one.alias("y")), CONTEXT_BITS)
         self.lower = []  # order k: continuation counts of grams; sums and types of their contexts
@@ -154,7 +154,7 @@ class Model:
     def ratios(self, whole: bool) -> np.ndarray:
         """Per bucket: the difference of the classes' log-probabilities for its commonest gram."""
         _, t0, o0, t1, o1 = self.top
-        _, ct0, co0, ct1, co1, yt0, yo0, _, _, yt, yo, _ = self.context
+        _, ct0, co0, ct1, co1, yt0, yo0, yt, yo, _ = self.context
         sides = [(t0 + t1, ct0 + ct1, yt), (o0 + o1, co0 + co1, yo)] if whole else [(t0, ct0, yt0), (o0, co0, yo0)]
 
         out = np.zeros(len(self.grams), np.float32)
