@@ -133,7 +133,7 @@ def _owner_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table()
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 50_000,
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4_000,
                  max_depth: int = 14, held_bytes: int = 64 << 20, hash_of=_hash) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``, plus the index ``bucket`` of repeated texts.
 
