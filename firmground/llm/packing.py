@@ -77,7 +77,7 @@ class WordIds:
         if len(self.pieces) > 2 * self.most:
             self.pieces = {}
         cut = [self._pieces_of(w) for w in words]
-        fresh = list({p for ps in cut if ps for p in ps} - self.pieces.keys())
+        fresh = list({p for ps in cut if ps for p in ps if p not in self.pieces})
         if fresh:  # a pre-token ends where an id says so; many in one text spare the calls
             lines = [" ".join(fresh[i:i + 50]) for i in range(0, len(fresh), 50)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])

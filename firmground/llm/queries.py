@@ -106,7 +106,7 @@ def op10(spark, folder):
     """Every document takes three edits whose places follow from its length and id: an insertion, a deletion, a replacement."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     n, spot = F.length(F.coalesce("text", F.lit(""))), F.pmod(F.xxhash64("doc_id"), F.lit(97))
     edit = lambda at, length, text: F.struct(F.floor(at).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), F.lit(text).alias("replacement"))
     edits = F.array(edit(n * spot / 97, 0, " (see 12.5% of it)"), edit(n * (96 - spot) / 97, 7, ""), edit(n / 2, 3, "\n\nit's"))

@@ -14,7 +14,7 @@ import public_tokenizers
 
 from firmground.llm import packing, token_counts, tool_calls
 
-WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
 
 def test_packing_round_trip(spark):
@@ -75,8 +75,8 @@ def test_edits_against_full_encoding():
             edit = (rng.randrange(n + 1), rng.randrange(0, 30), "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 6))))
             want = text[:edit[0]] + edit[2] + text[edit[0] + edit[1]:]
             text, _ = token_counts.apply_edit(text, tree, *edit, counter)
-            parts = counter.split.findall(text)
-            assert text == want and tree.tokens == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+            parts = counter.any.findall(text)
+            assert text == want and tree.tokens == len(counter.encoding.encode_ordinary(text)) and counter.pattern(text).findall(text) == parts
             assert [s for leaf in tree.leaves() for s in leaf.sizes] == [len(p) for p in parts] and tree.chars == len(text)
 
 
@@ -88,8 +88,14 @@ def test_edit_touches_little():
     assert encoded < 10
 
 
-def test_pattern_is_the_tokenizers_own():
-    assert regex.compile(token_counts.PATTERN).findall("it's  12\n\n x") == regex.compile(public_tokenizers.PATTERN).findall("it's  12\n\n x")
+def test_patterns_agree():
+    rng = random.Random(1)
+    alphabet = [chr(c) for c in range(0x250)] + list(" '\n\tsmd12ab") * 40
+    own, public = regex.compile(token_counts.PATTERN), regex.compile(public_tokenizers.PATTERN.replace(r"\s", f"[{token_counts._WHITE}]").replace(r"\S", f"[^{token_counts._WHITE}]").replace(
+        f"[^[{token_counts._WHITE}]", f"[^{token_counts._WHITE}"))
+    for _ in range(500):
+        text = "".join(rng.choice(alphabet) for _ in range(100))
+        assert own.findall(text) == token_counts._LATIN.findall(text) == public.findall(text)
 
 
 def test_counts_on_spark(spark):
