@@ -10,6 +10,11 @@
 4. Candidates are confirmed on the full sets, first those of each document with the longest common prefixes. A pair whose
    ends are joined by then needs no test; every other candidate is tested in a second round. At similarity 0.75 a pair shares the prefix of some tree with
    a probability of 1 - (1 - 0.75 ** 4) ** 32 > 0.99999.
+5. Where more rows share a prefix than neighbours reach, and are not all joined by then, no order can bring every pair together
+   (a family on one template holds far more rows at 0.6 than one can look through). The documents there are joined exactly:
+   in one order of all shingles, frequent ones last, two sets that are similar enough share one of their first shingles,
+   and the places of the first they share bound what they can have in common. The order comes from counts of a sample,
+   which changes only the work. All pairs that pass are confirmed on the full sets.
 """
 from __future__ import annotations
 
@@ -144,6 +149,17 @@ def _neighbour_task(reach: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.int32()), none, none, none, pa.array(np.minimum(a, b)),
                          pa.array(np.maximum(a, b)), pa.array(_common(rows[1][i], rows[2][i], rows[1][j], rows[2][j]))], schema=_PAIRS)
+            # rows of a run longer than neighbours reach, or of one that a batch border cuts
+            runs = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+            sizes = np.diff(np.append(runs, len(rows[0])))
+            wide = sizes > reach + 1
+            wide[[0, -1]] = True
+            crowd = np.repeat(wide, sizes)
+            m = int(crowd.sum())
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, pa.int32()), pa.array(np.full(m, 2, np.int32)), pa.array(rows[0][crowd]), none, none, pa.array(rows[3][crowd]),
+                 none, pa.nulls(m, pa.int32())], schema=_PAIRS)
             held = [x[-reach:] for x in rows]
         if held is not None and len(held[0]):
             yield edge(lead, 0)
@@ -178,6 +194,71 @@ def _confirm_task(size: int, share: float):
     return run
 
 
+def _shingle_task(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = shingle_sets(batch.column("text"), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+
+    return run
+
+
+def _first_task(shipped, size: int, share: float):
+    """The shingles of each set that two similar sets must share one of: the first ones, rare before frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = shipped.value
+        for batch in slices(batches, "text"):
+            ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "c"))
+            token, row, n, place = [], [], [], []
+            for i, found in enumerate(shingle_sets(batch.column("text"), size)):
+                often = np.zeros(len(found), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    often = np.where(common[at] == found, count[at], 0)
+                first = found[np.lexsort((found, often))[:len(found) - int(np.ceil(share * len(found) - 1e-9)) + 1]]
+                token.append(first.view(np.int64))
+                row.append(np.full(len(first), i))
+                n.append(np.full(len(first), len(found), np.int32))
+                place.append(np.arange(len(first), dtype=np.int32))
+            row = np.concatenate(row)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(token), ids[row], groups[row], np.concatenate(n), np.concatenate(place))],
+                                             names=["token", "id", "c", "n", "place"])
+
+    return run
+
+
+def _crowded_links(near: DataFrame, source: DataFrame, joined: DataFrame, work: Workspace, size: int, share: float,
+                   sampled: int = 8_000_000, most: int = 500_000) -> DataFrame | None:
+    """``a, b``: every pair over ``share`` of two components among the documents of crowded regions, or None if there are none."""
+    spark = source.sparkSession
+    crowd = near.where("edge = 2").select("prefix", F.col("a").alias("id")).distinct().join(joined, "id", "left").select(
+        "prefix", "id", F.coalesce("component", "id").alias("c"))
+    crowd = work.keep(crowd, "crowd")
+    split = crowd.groupBy("prefix").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l < h").select("prefix")
+    who = work.keep(crowd.join(split.hint("shuffle_hash"), "prefix", "left_semi").select(F.col("id").alias("doc_id"), "c").distinct(), "crowded")
+    if who.isEmpty():
+        return None
+    texts = work.keep(source.join(who.hint("shuffle_hash"), "doc_id").distinct(), "crowded-texts")
+    words_in = texts.agg(F.sum(F.length("text"))).first()[0] // 6
+    part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(int(words_in // sampled + 1))) == 0)
+    often = part.mapInArrow(_shingle_task(size), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(
+        F.desc("n"), "token").limit(most).toArrow()  # most rows
+    common, count = often.column("token").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(common)
+    shipped = spark.sparkContext.broadcast((common[order], count[order]))
+    firsts = work.keep(texts.mapInArrow(_first_task(shipped, size, share), "token long, id long, c long, n int, place int"), "firsts")
+    need = F.lit(share / (1 + share)) * (F.col("s.n") + F.col("t.n")) - 1e-6
+    # as the smaller set of a pair, a set must have the shingle early; a hot shingle is left to the skew handling of the join
+    small, large = firsts.where(f"n - place >= {2 * share / (1 + share)} * n - 1e-6").alias("s"), firsts.alias("t")
+    met = small.join(large.hint("merge"), (F.col("s.token") == F.col("t.token")) & (F.col("s.c") != F.col("t.c")) & (F.col("s.n") <= F.col("t.n")) & (
+        F.col("s.n") >= share * F.col("t.n") - 1e-6) & (F.col("s.n") - F.col("s.place") >= need) & (F.col("t.n") - F.col("t.place") >= need))
+    pairs = work.keep(met.select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b")).distinct(), "crowded-pairs")
+    bodies = texts.select("doc_id", "text")
+    return work.keep(pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
+        bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(
+        _confirm_task(size, share), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "crowded-links")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, share: float = 0.75,
                 trees: int = 32, reach: int = 2) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
@@ -198,7 +279,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     ordered = forest.repartitionByRange("prefix", "hi", "lo", "id").sortWithinPartitions("prefix", "hi", "lo", "id")
     near = work.keep(ordered.mapInArrow(_neighbour_task(reach), PAIRS), "near")
     across = _edge_pairs(near.where("part is not null").collect(), reach)  # 2 * reach rows per partition
-    pairs = near.where("part is null").select("a", "b", "lcp").union(
+    pairs = near.where("edge is null").select("a", "b", "lcp").union(
         docs.sparkSession.createDataFrame(across, "a long, b long, lcp int"))
     pairs = work.keep(pairs.groupBy("a", "b").agg(F.max("lcp").alias("lcp")), "pairs-0")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -228,6 +309,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         picks = 2 * reach * trees  # all that are left
     if joined is None:
         joined = components(links, work)
+    missed = _crowded_links(near, source, joined, work, size, share)
+    if missed is not None and not missed.isEmpty():
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(missed), work, "components-crowded")
     of_set = sets.join(joined, sets["rep"] == joined["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     rows = signed.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
