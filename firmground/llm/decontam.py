@@ -21,6 +21,8 @@ from firmground.llm.words import PUNCTUATED, mix, words
 #: Places of eight words that must agree. Any one substitution among eight words leaves at least one of them whole.
 MASKS = ("11101011", "11011101", "10110111", "11110000", "00001111")
 SPAN = 8
+#: Words of an item in a row that make an overlap, however long the item is.
+RUN = 13
 _STEPS = mix(np.arange(1001, 1001 + SPAN, dtype=np.uint64)) | np.uint64(1)
 HITS = "doc_id long, item_id long, item_words long, matched long, start long, length long"
 
@@ -35,10 +37,27 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, length: int, places: list[int]
     return mix(total), np.repeat(np.arange(len(counts)), counts), at
 
 
-def forms(lengths: set[int]) -> list[tuple[int, list[int], int]]:
-    """Masks as (words, places, tag); an item shorter than a mask is a seed of its own length."""
-    out = [(SPAN, [i for i, c in enumerate(m) if c == "1"], 1000 + k) for k, m in enumerate(MASKS)]
-    return out + [(n, list(range(n)), n) for n in sorted(lengths) if 0 < n < SPAN]
+def forms(lengths: set[int]) -> list[tuple[int, list[int], int, int]]:
+    """Masks as (words, places, tag, size of the items they serve or 0 for all). An item shorter than a mask has seeds of its own:
+    from four words on, one word may differ or be missing at an end; below, all must agree."""
+    out = [(SPAN, [i for i, c in enumerate(m) if c == "1"], 1000 + k, 0) for k, m in enumerate(MASKS)]
+    for n in sorted(lengths):
+        if 0 < n < 4:
+            out.append((n, list(range(n)), n, n))
+        elif n < SPAN and n:
+            out.append((n - 1, list(range(n - 1)), 10 * n, n))
+            out += [(n, [p for p in range(n) if p != i], 10 * n + i, n) for i in range(1, n - 1)]
+    return out
+
+
+def longest_run(at: np.ndarray, least: float) -> tuple[int, int]:
+    """First and last index of the longest stretch of the sorted places ``at`` that holds ``least`` of the places it spans."""
+    level = np.arange(len(at)) - least * at
+    low = np.minimum.accumulate(level)
+    first = np.searchsorted(-low, -(level + 1 - least + 1e-9))  # the earliest place low enough
+    span = at - at[np.minimum(first, np.arange(len(at)))]
+    last = int(np.argmax(span))
+    return int(first[last]), last
 
 
 class Block:
@@ -50,26 +69,27 @@ class Block:
         self.hashes, self.bounds, _, _ = words(data, offsets, PUNCTUATED)
         sizes = np.diff(self.bounds)
         self.forms, self.tables = forms(set(sizes.tolist())), []
-        for length, places, tag in self.forms:
+        for length, places, tag, only in self.forms:
             seed, row, at = seeds(self.hashes, self.bounds, length, places, tag)
-            if length < SPAN:  # only items of exactly this length
-                keep = sizes[row] == length
+            if only:  # items of exactly this size
+                keep = sizes[row] == only
                 seed, row, at = seed[keep], row[keep], at[keep]
             order = np.argsort(seed, kind="stable")
             self.tables.append((seed[order], row[order], at[order]))
 
 
-def search(block: Block, ids: list, column: pa.Array, least: float) -> tuple[list[tuple], np.ndarray]:
+def search(block: Block, ids: list, column: pa.Array, least: float, run: int = RUN) -> tuple[list[tuple], np.ndarray]:
     """``(doc_id, item_id, item_words, matched, start, length)`` of each document and item that overlap enough.
 
     Around every hit, up to two spans to each side, equal words on the alignment count; ``matched`` is the number of the
-    item's words so covered, over all hits. ``start`` and ``length`` give the words of the document that take part. The second
-    result holds the places of the documents concerned.
+    item's words so covered, over all hits. ``start`` and ``length`` give the words of the document that take part. A pair
+    below ``least`` counts too if on one alignment ``run`` words or more of the item stand in the document, ``least`` of them
+    equal; its numbers are those of the longest such run. The second result holds the places of the documents concerned.
     """
     data, offsets = text_bytes(column)
     hashes, bounds, _, _ = words(data, offsets, PUNCTUATED)
     found = []
-    for (length, places, tag), (table, row, at) in zip(block.forms, block.tables):
+    for (length, places, tag, _), (table, row, at) in zip(block.forms, block.tables):
         if not len(table) or not len(hashes):
             continue
         seed, doc, place = seeds(hashes, bounds, length, places, tag)
@@ -102,8 +122,22 @@ def search(block: Block, ids: list, column: pa.Array, least: float) -> tuple[lis
     np.minimum.at(lo, which, place)
     np.maximum.at(hi, which, place)
     size = np.diff(block.bounds)[pair[1]]
-    return [(ids[pair[0, i]], int(block.ids[pair[1, i]]), int(size[i]), int(matched[i]), int(lo[i] - bounds[pair[0, i]]), int(hi[i] - lo[i] + 1))
-            for i in np.flatnonzero(matched >= least * size)], pair[0, matched >= least * size]
+    first, length, enough = lo - bounds[pair[0]], hi - lo + 1, matched >= least * size
+    some = ~enough[which]  # runs of the pairs that are not covered as a whole
+    if some.any():
+        rows = np.unique(np.stack([which[some], (place - at)[some], at[some]]), axis=1)
+        cut = np.flatnonzero(np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)]))
+        ends = np.append(cut[1:], rows.shape[1])
+        best = np.zeros(pair.shape[1], np.int64)
+        for u, v in zip(cut[ends - cut >= least * run], ends[ends - cut >= least * run]):
+            w, shift, places = rows[0, u], rows[1, u], rows[2, u:v]
+            i, j = longest_run(places, least)
+            span = places[j] - places[i] + 1
+            if span >= run and span > best[w]:
+                best[w], enough[w], matched[w] = span, True, j - i + 1
+                first[w], length[w] = places[i] + shift - bounds[pair[0, w]], span
+    return [(ids[pair[0, i]], int(block.ids[pair[1, i]]), int(size[i]), int(matched[i]), int(first[i]), int(length[i]))
+            for i in np.flatnonzero(enough)], pair[0, enough]
 
 
 def _search_task(shipped, least: float):
@@ -120,7 +154,10 @@ def _search_task(shipped, least: float):
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
              least: float = 0.75, block_words: int = 2_000_000) -> DataFrame:
-    """One row per document and benchmark item of which it holds ``least`` of the words or more.
+    """One row per document and benchmark item of which it holds ``least`` of the words or more, or a run of ``RUN`` words or
+    more on one alignment with ``least`` of them equal (then ``matched, start, length`` are those of the run).
+
+    A run is found if eight of its words in a row agree but for one, or four in a row with four more beside them.
 
     Columns: ``doc_id, item_id, item_words, matched, start, length`` (words of the document). Words are runs of letters,
     digits and non-ASCII characters; A-Z count as a-z, so changed punctuation hides nothing. Null and empty texts and items

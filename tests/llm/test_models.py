@@ -127,3 +127,18 @@ def test_seeds_survive_a_substitution():
         text = " ".join([*words[:i], "zz", *words[i + 1:]])
         rows, _ = decontam.search(block, [5], pa.array([text]), 0.75)
         assert rows == [(5, 1, 8, 7, min(1, i == 0), 8 - (i in (0, 7)))]
+
+
+def test_parts_of_long_items_and_changed_short_ones(spark):
+    rng = random.Random(12)
+    fill = lambda n: sentence(rng, n, 10**6)
+    items = [(0, fill(59)), (1, fill(200)), (2, fill(7)), (3, fill(4)), (4, fill(100)), (5, fill(7))]
+    w = {i: t.split(" ") for i, t in items}
+    cut = w[0][10:50]
+    cut[20] = "changed"
+    texts = [(10, f"{fill(30)} {' '.join(cut)} {fill(9)}"), (11, f"{' '.join(w[1][60:])} {fill(40)}"), (12, " ".join([*w[2][:3], "other", *w[2][4:]])),
+             (13, f"{fill(8)} {' '.join(w[3][:2])} other {w[3][3]}"), (14, f"{fill(8)} {' '.join(w[4][50:62])} {fill(8)}"), (15, " ".join(w[5][1:]))]
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.start, r.length) for r in decontam.overlaps(docs, bench).collect()}
+    assert got == {(10, 0): (39, 30, 40), (11, 1): (140, 0, 140), (12, 2): (6, 0, 7), (13, 3): (3, 8, 4), (15, 5): (6, 0, 6)}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [14]
