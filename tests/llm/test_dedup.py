@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import SPACE, awkward, frame, sentence, shingle_set, words_of
 
@@ -180,3 +181,17 @@ def test_passages(spark):
     linked = {r.doc_id for r in got}
     assert set(range(2, 30)) <= linked and {41, 43, 95} <= linked
     assert passages.repeated_passages(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_exact_passage_beside_lightly_edited_text(spark):
+    rng = random.Random(13)
+    exact, around = sentence(rng, 60, 10**6), [sentence(rng, 100, 10**6).split(" ") for _ in range(2)]
+    other = [[f"e{k}" if k % 8 == 4 else v for k, v in enumerate(w)] for w in around]
+    one, two = (f"{' '.join(p)} {exact} {' '.join(q)}" for p, q in (around, other))
+    made, at = (passages.shingles(*passages.words(*passages.text_bytes(pa.array([one, two])))[:2], 5))
+    got = passages.common_passages(made[at[0]:at[1]], made[at[1]:at[2]], 5, 50, 0.75)
+    assert len(got) == 1
+    s, n, t, m, like = got[0]
+    assert s <= 100 and s + n >= 160 and t <= 100 and t + m >= 160 and like >= 0.75
+    found = passages.repeated_passages(frame(spark, [(1, one), (2, two)])).collect()
+    assert any(r.start <= 100 and r.start + r.length >= 160 for r in found)
