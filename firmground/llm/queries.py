@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firmground.llm import decontam, exact_dedup, lines, near_dedup, packing, passages, pii, token_counts, tool_calls, toxicity
+from firmground.llm import (
+    byte_bpe, decontam, divergence, exact_dedup, lines, near_dedup, packing, passages, pii, resampling, token_counts, tool_calls, toxicity,
+)
 
 QUERIES = {}
 SQL = {}
@@ -113,3 +115,64 @@ def op10(spark, folder):
     docs = table(spark, folder, "documents").withColumn("edits", edits)
     found = token_counts.edited_counts(token_counts.count_trees(docs, path, keep=["edits"]), path)
     return found.select("doc_id", "tokens_before", "n_tokens", "encoded")
+
+
+#: The CRC-32 of a word by its reversed polynomial (a fixed value), byte by byte; DuckDB has no such function.
+_CRC = r"""
+with recursive steps as (select i as b, i as c, 0 as k from range(256) t(i)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(c order by b) as tab from steps where k = 8),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+wd as (select doc_id, unnest(w) as word from d), wb as (select unnest(w) as word from b),
+words as (select word, hex(word) as h from (select word from wd union select word from wb)),
+hashed as (select word, xor(list_reduce([('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range(length(h) // 2)],
+  lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 10000 as bucket from words, crc)"""
+
+
+@query("op11_importance_resampling", _CRC + r""",
+s as (select bucket, count(*) as n from wd join hashed using (word) group by 1), t as (select bucket, count(*) as n from wb join hashed using (word) group by 1),
+g as (select k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (coalesce((select sum(n) from s), 0) + 10000)::double
+    / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t), 0) + 10000)::double)))::bigint as gain
+  from (select distinct bucket from hashed) k left join s on s.bucket = k.bucket left join t on t.bucket = k.bucket),
+v as (select doc_id, sum(gain)::bigint as weight from wd join hashed using (word) join g using (bucket) group by doc_id),
+x as (select d.doc_id, len(w) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from d left join v using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from x where n_features >= 20)
+select x.doc_id, n_features, weight, score, case when r.rank <= 10 * n // 100 then r.rank end as rank from x left join r using (doc_id)""")
+def op11(spark, folder):
+    found = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_byte_bpe")
+def op12(spark, folder):
+    """Every text is encoded, and its ids decoded again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, offsets=False)
+    found = byte_bpe.decode(encoded, path, keep=("doc_id", "n_tokens", "n_split", "ids"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"), "n_split")
+
+
+@query("op13_source_divergence", r"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+u as (select doc_id, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as n from u group by 1, 2 having count(distinct doc_id) >= 3),
+v as (select l.lang, count(term) as v, coalesce(sum(n), 0) as total from (select distinct lang from d) l left join kept using (lang) group by 1),
+g as (select distinct lang, source from d),
+c as (select u.lang, source, term, count(*) as n from u join kept using (lang, term) group by 1, 2, 3),
+t as (select g.lang, g.source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by 1, 2),
+p as (select t.lang, t.source, kept.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (t.total + v.v) as p,
+    1 + 1000000000::hugeint * (kept.n + 1) // (v.total + v.v) as q
+  from t join v using (lang) join kept on kept.lang = t.lang left join c on c.lang = t.lang and c.source = t.source and c.term = kept.term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from f)
+select * from r where part = 'pair' or rank <= 200""")
+def op13(spark, folder):
+    return divergence.divergence(table(spark, folder, "documents"))

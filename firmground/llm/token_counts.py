@@ -28,8 +28,8 @@ _WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 # The same pattern for text without characters beyond Latin: letters and numbers are spelled out.
 _L, _N = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_LATIN_ONLY = re.compile(r"[\x00-\u024f]*")
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WHITE}{_L}{_N}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+LATIN_ONLY = re.compile(r"[\x00-\u024f]*")
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_WHITE}{_L}{_N}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 EDITS = "array<struct<start: long, length: long, replacement: string>>"
 
 
@@ -49,7 +49,7 @@ class Counter:
         self.any, self.most, self.known = regex.compile(PATTERN), most, {}
 
     def pattern(self, text: str):
-        return _LATIN if text.isascii() or _LATIN_ONLY.fullmatch(text) else self.any
+        return LATIN if text.isascii() or LATIN_ONLY.fullmatch(text) else self.any
 
     def counts(self, parts: list[str]) -> list[int]:
         if len(self.known) > self.most:
