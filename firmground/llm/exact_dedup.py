@@ -22,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from firmground.llm.store import Workspace, slices
+from firmground.llm.store import Workspace, slices, unused
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LOG = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()),
@@ -180,11 +180,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts (see :func:`exact_groups`)."""
-    ident = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).alias("_stay_id")
+    id_, sha, turn = unused(["_stay_id", "_stay_sha", "_stay_turn"], docs.columns)
+    ident = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).alias(id_)
     stay = exact_groups(docs, doc_id, text, **how).where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_), F.col("text_sha256").alias(sha))
     body = F.translate(F.coalesce(F.col(text), F.lit("")), SPACE.decode(), "")
-    marked = docs.select("*", ident, F.sha2(body, 256).alias("_stay_sha")).join(stay.hint("merge"), ["_stay_id", "_stay_sha"])
+    marked = docs.select("*", ident, F.sha2(body, 256).alias(sha)).join(stay.hint("merge"), [id_, sha])
     # the join has brought repeated rows of one id and text together: the longest original stays
-    turn = Window.partitionBy("_stay_id", "_stay_sha").orderBy(F.desc(F.length(F.coalesce(F.col(text), F.lit("")))))
-    return marked.withColumn("_stay_turn", F.row_number().over(turn)).where("_stay_turn = 1").select(docs.columns)
+    order = Window.partitionBy(id_, sha).orderBy(F.desc(F.length(F.coalesce(F.col(text), F.lit("")))))
+    return marked.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(docs.columns)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from firmground.llm.graph import components
-from firmground.llm.store import Workspace, slices, text_bytes
+from firmground.llm.store import Workspace, slices, text_bytes, unused
 from firmground.llm.words import mix, shingles, words
 
 DEPTH = 4
@@ -170,14 +170,16 @@ def _neighbour_task(reach: int):
 
 def _edge_pairs(rows: list, reach: int) -> list[tuple]:
     """Pairs across partition borders. ``rows`` are at most ``2 * reach`` per partition."""
-    parts = sorted({r["part"] for r in rows})
-    by = {(p, e): sorted(((r["prefix"], r["hi"], r["lo"], r["a"]) for r in rows if r["part"] == p and r["edge"] == e)) for p in parts for e in (0, 1)}
+    by: dict[tuple, list] = {}
+    for r in rows:
+        by.setdefault((r["part"], r["edge"]), []).append((r["prefix"], r["a"]))
+    parts = sorted({p for p, _ in by})
     out = []
     for p, q in zip(parts, parts[1:]):
-        for x in by[p, 1]:
-            for y in by[q, 0]:
-                if x[0] == y[0] and x[3] != y[3]:
-                    out.append((min(x[3], y[3]), max(x[3], y[3]), DEPTH))
+        for x in by.get((p, 1), ()):
+            for y in by.get((q, 0), ()):
+                if x[0] == y[0] and x[1] != y[1]:
+                    out.append((min(x[1], y[1]), max(x[1], y[1]), DEPTH))
     return out
 
 
@@ -321,5 +323,6 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the smallest of its component; rows with a null id stay."""
-    gone = near_groups(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    (gone,) = unused(["_gone"], docs.columns)
+    found = near_groups(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(doc_id).cast("long") == F.col(gone), "left_anti")

@@ -42,6 +42,14 @@ class Workspace:
             pass  # the session is gone already
 
 
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with underscores put in front until none is a column of ``taken`` (as Spark compares names)."""
+    taken = {c.lower() for c in taken}
+    while any(n.lower() in taken for n in names):
+        names = [f"_{n}" for n in names]
+    return names
+
+
 def per_worker(key: tuple, build):
     """What ``build`` makes, kept by the Python worker from one task to the next. Only for things that change no result."""
     kept = sys.__dict__.setdefault("_firmground_kept", {})

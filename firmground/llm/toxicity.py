@@ -10,10 +10,10 @@ toxic model beats the ordinary one by more than ``EXCESS`` nats: in a long text
 else drown the few that do. A logistic curve, fitted on labelled rows left out of the counts it uses, maps these
 length-normalised differences to 0..1.
 
-Labels come from at most ``max_labels`` labelled rows (those with the smallest hash of their id), which bounds what is
-broadcast. The shared counts cover every document. Counts are summed in a fixed number of hash buckets, and what travels to
-the tasks is one number per bucket, the difference of the two models for the commonest gram in it, so the model does not
-grow with the vocabulary.
+Labels come from at most ``max_labels`` labelled rows (those with the smallest hash of their id). The shared counts cover every
+document and stay in Spark's tables. The two models can only differ on grams that labelled rows hold and after contexts that
+they hold, so what is gathered and travels to the tasks are these grams and contexts with the difference of the models, exactly
+and bounded by the labelled texts however large the corpus is.
 """
 from __future__ import annotations
 
@@ -21,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from firmground.llm.store import Workspace, ragged, slices, text_bytes
-from firmground.llm.words import PUNCTUATED, mix, words
+from firmground.llm.store import Workspace, ragged, slices, text_bytes, unused
+from firmground.llm.words import PUNCTUATED, words
 
 ORDER = 7
-TOP_BITS, CONTEXT_BITS, LOW_BITS = 21, 21, 20
 DISCOUNT, STRENGTH = 0.75, 40.0
 EXCESS = (2.0, 4.0)
 SUMS = ["_tox_total", "_tox_bytes", "_tox_words", "_tox_over_low", "_tox_over_high"]
@@ -93,84 +92,91 @@ def _batch(part) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64))] + [pa.array(c.astype(np.int64)) for c in part[1:]], schema=_GRAMS)
 
 
-def bucket(grams: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(grams + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def _backed_off(count: Column, total: Column, kinds: Column, lower: Column, strength: float = 0.0) -> Column:
+    """Interpolated absolute discounting; the lower order where nothing is counted."""
+    spare = F.least(DISCOUNT * F.greatest(kinds, F.lit(1)), total) + strength
+    p = (F.greatest(count - DISCOUNT, F.lit(0.0)) + spare * lower) / F.greatest(total + strength, F.lit(1.0))
+    return F.when(total + strength > 0, p).otherwise(lower)
 
 
-def _fold_task(bits: int, names: list[str]):
-    def run(batches):
-        for batch in batches:
-            key = bucket(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", "gram", *names])
+def _suffix(k: int, gram: str = "gram") -> Column:
+    """The last ``k`` bytes of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * k)) - 1))
 
-    return run
 
+def _context() -> Column:
+    """What stands before the last byte of a gram."""
+    return F.shiftrightunsigned("gram", 8)
 
-def _table(df: DataFrame, bits: int, commonest: bool = False) -> list[np.ndarray]:
-    """Sums of ``df(gram, measures…)`` by bucket, as arrays of ``2 ** bits`` numbers; before them, if wished, the gram with
-    the largest first measure."""
-    names = df.columns[1:]
-    folded = df.mapInArrow(_fold_task(bits, names), "key long, gram long, " + ", ".join(f"{c} long" for c in names))
-    most = [F.max(F.struct(names[0], "gram"))["gram"].alias("gram")] if commonest else []
-    found = folded.groupBy("key").agg(*[F.sum(c).cast("float").alias(c) for c in names], *most).toArrow()  # 2 ** bits rows at most
-    if commonest:
-        grams = np.zeros(1 << bits, np.uint64)
-        grams[found.column("key").to_numpy()] = found.column("gram").to_numpy().view(np.uint64)
-        out = [grams]
-    else:
-        out = []
-    for c in names:
-        full = np.zeros(1 << bits, np.float32)
-        full[found.column("key").to_numpy()] = found.column(c).to_numpy()
-        out.append(full)
-    return out
 
+def _shared(grams: DataFrame, seen: DataFrame, work: Workspace) -> DataFrame:
+    """``gram, low``: over all documents, the probability of the last byte of each gram in ``seen``.
 
-class Model:
-    """Hashed counts and the probabilities they give."""
-
-    def __init__(self, grams: DataFrame, work: Workspace):
-        one = F.lit(1).cast("long")
-        self.grams, *self.top = _table(grams.select("gram", *ALL), TOP_BITS, True)
-        types = [F.when(F.col(c) > 0, one).otherwise(0).alias(f"y_{c}") for c in ROUND[:2]]
-        both = [F.when(F.col(a) + F.col(b) > 0, one).otherwise(0).alias(f"y_{n}") for a, b, n in (("t0", "t1", "t"), ("o0", "o1", "o"))]
-        self.context = _table(grams.select(F.shiftrightunsigned("gram", 8).alias("gram"), *ALL, *types, *both, one.alias("y")), CONTEXT_BITS)
-        self.lower = []  # order k: continuation counts of grams; sums and types of their contexts
-        level = grams.select("gram")
-        for k in range(ORDER - 1, 0, -1):
-            level = work.keep(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")).agg(
-                F.count(F.lit(1)).alias("n")), f"order-{k}")
-            self.lower.append((k, _table(level, LOW_BITS)[0], _table(level.select(
-                F.shiftrightunsigned("gram", 8).alias("gram"), "n", one.alias("y")), LOW_BITS)))
-
-    def shared(self, grams: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The probability of the last byte over all documents: continuation counts, then the highest order."""
-        p = np.full(len(grams), 1 / 256)
-        for k, counts, (total, kinds) in reversed(self.lower):
-            part = grams & np.uint64((1 << (8 * k)) - 1)
-            p = _backed_off(counts[bucket(part, LOW_BITS)], *(t[bucket(part >> np.uint64(8), LOW_BITS)] for t in (total, kinds)), p)
-        return _backed_off(self.top[0][at], self.context[0][h], self.context[-1][h], p)
-
-    def ratios(self, whole: bool) -> np.ndarray:
-        """Per bucket: the difference of the classes' log-probabilities for its commonest gram."""
-        _, t0, o0, t1, o1 = self.top
-        _, ct0, co0, ct1, co1, yt0, yo0, yt, yo, _ = self.context
-        sides = [(t0 + t1, ct0 + ct1, yt), (o0 + o1, co0 + co1, yo)] if whole else [(t0, ct0, yt0), (o0, co0, yo0)]
-
-        out = np.zeros(len(self.grams), np.float32)
-        for part in np.array_split(np.flatnonzero(self.top[0]), 16):
-            h = bucket(self.grams[part] >> np.uint64(8), CONTEXT_BITS)
-            low = self.shared(self.grams[part], part, h)
-            toxic, ordinary = (np.log(_backed_off(count[part], total[h], kinds[h], low, STRENGTH)) for count, total, kinds in sides)
-            out[part] = toxic - ordinary
-        return out
-
-
-def _backed_off(count, total, kinds, lower, strength=0.0):
-    """Interpolated absolute discounting. Shared buckets may count a gram more often than its context: cut to it."""
-    count = np.minimum(count, total)
-    spare = np.minimum(DISCOUNT * np.maximum(kinds, 1), total) + strength
-    return np.where(total + strength > 0, (np.maximum(count - DISCOUNT, 0) + spare * lower) / np.maximum(total + strength, 1), lower)
+    Order by order from the shortest, continuation counts of all grams meet the suffixes asked for. A context has at most
+    256 grams and a suffix at most 256 longer ones, so no key of these windows and joins is hot.
+    """
+    levels = {ORDER: grams.select("gram", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        level = levels[k + 1].groupBy(_suffix(k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[k] = work.keep(level, f"order-{k}")
+    low = None
+    for k in range(1, ORDER + 1):
+        context = Window.partitionBy(_context())
+        counted = levels[k].select("gram", "n", F.sum("n").over(context).alias("total"), F.count(F.lit(1)).over(context).alias("kinds"))
+        counted = counted.join(seen.select(_suffix(k).alias("gram")).distinct(), "gram")
+        if low is None:
+            counted = counted.withColumn("low", F.lit(1 / 256))
+        else:
+            counted = counted.join(low.withColumnRenamed("gram", "shorter"), _suffix(k - 1) == F.col("shorter"))
+        counted = counted.select("gram", _backed_off(F.col("n"), F.col("total"), F.col("kinds"), F.col("low")).alias("low"))
+        low = work.keep(counted, f"shared-{k}") if k in (3, 5, ORDER) else counted
+    return low
+
+
+SIDES = [("fit", ["t0"], ["o0"]), ("all", ["t0", "t1"], ["o0", "o1"])]
+
+
+class Ratios:
+    """Differences of the classes' log-probabilities, exactly by gram: first of the grams that labelled rows hold, then of
+    any other gram after a context that they hold. Everywhere else the classes agree. The size is bounded by the texts of
+    at most ``max_labels`` rows."""
+
+    def __init__(self, grams: pa.Table, contexts: pa.Table, side: str):
+        self.known = [self._sorted(t, side) for t in (grams, contexts)]
+
+    @staticmethod
+    def _sorted(found: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray]:
+        keys = found.column("gram").to_numpy()
+        order = np.argsort(keys)
+        return keys[order], found.column(side).to_numpy()[order]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        keys, place = np.unique(grams.view(np.int64), return_inverse=True)
+        out = np.zeros(len(keys), np.float32)
+        for (known, values), wanted in zip(reversed(self.known), (keys >> 8, keys)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                out = np.where(known[at] == wanted, values[at], out)
+        return out[place]
+
+
+def learned_ratios(grams: DataFrame, work: Workspace) -> dict[str, Ratios]:
+    """The :class:`Ratios` of the rows that fit, and of all labelled rows, from the counts of every gram of the corpus."""
+    seen = work.keep(grams.where("t0 + o0 + t1 + o1 > 0").select("gram", *ROUND), "seen")
+    count = lambda names: sum((F.col(c) for c in names), F.lit(0))
+    sums = [(f"{kind}_{name}_{side}", agg) for name, *both in SIDES for side, names in zip("to", both)
+            for kind, agg in (("n", F.sum(count(names))), ("k", F.count_if(count(names) > 0)))]
+
+    def ratio(name: str, counts: list[Column], low: Column) -> Column:
+        p = [_backed_off(c, F.col(f"n_{name}_{side}"), F.col(f"k_{name}_{side}"), low, STRENGTH) for side, c in zip("to", counts)]
+        return F.log(p[0] / p[1]).cast("float").alias(name)
+
+    over = Window.partitionBy(_context())
+    told = seen.join(_shared(grams, seen, work), "gram").select("*", *[x.over(over).alias(n) for n, x in sums])
+    contexts = seen.groupBy(_context().alias("gram")).agg(*[x.alias(n) for n, x in sums])
+    by_gram = told.select("gram", *[ratio(name, [count(t), count(o)], F.col("low")) for name, t, o in SIDES]).toArrow()  # bounded by the labelled texts
+    by_context = contexts.select("gram", *[ratio(name, [F.lit(0), F.lit(0)], F.lit(1.0)) for name, _, _ in SIDES]).toArrow()
+    return {name: Ratios(by_gram, by_context, name) for name, _, _ in SIDES}
 
 
 def features(sums: np.ndarray) -> np.ndarray:
@@ -193,17 +199,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w / scale
 
 
-def _score_task(shipped, keep: list[str], text: str = "text"):
+def _score_task(shipped, keep: list[str], text: str = "text", sums: list[str] = SUMS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = shipped.value
         for batch in slices(batches, text):
             inverse, bounds, grams, word = spelled(batch.column(text))
             m = int(word[-1]) + 1 if len(word) else 0
-            by_word = np.bincount(word, ratios[bucket(grams, TOP_BITS)], m)
+            by_word = np.bincount(word, ratios.of(grams), m)
             rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             per_word = [by_word, np.bincount(word, minlength=m), np.ones(m), *(np.maximum(by_word - x, 0) for x in EXCESS)]
-            sums = [np.bincount(rows, x[inverse], batch.num_rows).astype(float) for x in per_word]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x) for x in sums], names=[*keep, *SUMS])
+            found = [np.bincount(rows, x[inverse], batch.num_rows).astype(float) for x in per_word]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(x) for x in found], names=[*keep, *sums])
 
     return run
 
@@ -221,7 +227,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     judge = fitted(docs, labels, doc_id, text, label, max_labels)
-    return judge(source, "text", ["doc_id"]).select(
+    return judge(source, "text", ["doc_id"], [*SUMS, SCORE]).select(
         "doc_id", F.coalesce(fold == 0, F.lit(True)).alias("held_out"), F.col(SCORE).alias("score"),
         (F.col(SCORE) >= 0.5).cast("int").alias("predicted"), F.col(SUMS[0]).alias("log_ratio"), F.col(SUMS[2]).cast("long").alias("n_words"))
 
@@ -229,12 +235,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def kept(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below one half (see :func:`toxicity`); no row is shuffled."""
     judge = fitted(docs, labels, doc_id, text, **how)
-    return judge(docs, text, docs.columns).where(F.col(SCORE) < 0.5).select(docs.columns)
+    names = unused([*SUMS, SCORE], docs.columns)
+    return judge(docs, text, docs.columns, names).where(F.col(names[-1]) < 0.5).select(docs.columns)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
            max_labels: int = 200_000):
-    """Fits the models and returns a function ``(rows, text column, columns to keep)`` that adds ``SUMS`` and ``SCORE``."""
+    """Fits the models and returns a function ``(rows, text column, columns to keep, names)`` that adds ``SUMS`` and ``SCORE`` by
+    those names."""
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -246,8 +254,8 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = source.join(F.broadcast(learn), "doc_id", "left").select("text", place.cast("int").alias("kind"))
     counted = marked.mapInArrow(_count_task(), "gram long, " + ", ".join(f"{c} long" for c in ALL))
     grams = work.keep(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ALL]), "grams")
-    model = Model(grams, work)
-    part, whole = (spark.sparkContext.broadcast(model.ratios(x)) for x in (False, True))
+    learned = learned_ratios(grams, work)
+    part, whole = (spark.sparkContext.broadcast(learned[x]) for x in ("fit", "all"))
     sums = ", ".join(f"{c} double" for c in SUMS)
     tried = source.join(F.broadcast(learn.where(fold == 4)), "doc_id").select("doc_id", "y", "text").mapInArrow(
         _score_task(part, ["doc_id", "y"]), "doc_id long, y int, " + sums).groupBy("doc_id").agg(
@@ -258,14 +266,15 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     else:
         share = learn.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0] or 0.0
         w = np.array([0.0, 0, 0, 0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))])
-    n = F.greatest(F.col(SUMS[2]), F.lit(1.0))
-    terms = [F.log(F.col(SUMS[3]) / n + 0.005), F.log(F.col(SUMS[4]) / n + 0.005), F.log(n + 1),
-             F.col(SUMS[0]) / F.greatest(F.col(SUMS[1]), F.lit(1.0)), F.lit(1.0)]
-    line = sum((t * float(x) for t, x in zip(terms, w)), F.lit(0.0))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
-
-    def judge(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
-        schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in SUMS])
-        return rows.mapInArrow(_score_task(whole, keep, column), schema).withColumn(SCORE, score)
+
+    def judge(rows: DataFrame, column: str, keep: list[str], names: list[str]) -> DataFrame:
+        *sums, out = names
+        schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in sums])
+        n = F.greatest(F.col(sums[2]), F.lit(1.0))
+        terms = [F.log(F.col(sums[3]) / n + 0.005), F.log(F.col(sums[4]) / n + 0.005), F.log(n + 1),
+                 F.col(sums[0]) / F.greatest(F.col(sums[1]), F.lit(1.0)), F.lit(1.0)]
+        line = sum((t * float(x) for t, x in zip(terms, w)), F.lit(0.0))
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
+        return rows.mapInArrow(_score_task(whole, keep, column, sums), schema).withColumn(out, score)
 
     return judge

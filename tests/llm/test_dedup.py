@@ -195,3 +195,21 @@ def test_exact_passage_beside_lightly_edited_text(spark):
     assert s <= 100 and s + n >= 160 and t <= 100 and t + m >= 160 and like >= 0.75
     found = passages.repeated_passages(frame(spark, [(1, one), (2, two)])).collect()
     assert any(r.start <= 100 and r.start + r.length >= 160 for r in found)
+
+
+def test_kept_with_columns_of_any_name(spark):
+    from firmground.llm import exact_dedup, near_dedup
+
+    docs = frame(spark, awkward())
+    docs = docs.withColumns({c: docs["n"] for c in ("_stay_id", "_stay_turn", "_gone", "__Gone", "component_id")})
+    for stage in (exact_dedup.kept, near_dedup.kept):
+        got = stage(docs)
+        assert got.columns == docs.columns and 0 < got.count() < docs.count()
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_edges_of_many_partitions():
+    from firmground.llm import near_dedup
+
+    rows = [{"part": p, "edge": e, "prefix": p // 2, "a": 10 * p + e, "hi": 0, "lo": 0} for p in range(20_000) for e in (0, 1)]
+    assert near_dedup._edge_pairs(rows, 2) == [(20 * i + 1, 20 * i + 10, near_dedup.DEPTH) for i in range(10_000)]

@@ -142,3 +142,68 @@ def test_parts_of_long_items_and_changed_short_ones(spark):
     got = {(r.doc_id, r.item_id): (r.matched, r.start, r.length) for r in decontam.overlaps(docs, bench).collect()}
     assert got == {(10, 0): (39, 30, 40), (11, 1): (140, 0, 140), (12, 2): (6, 0, 7), (13, 3): (3, 8, 4), (15, 5): (6, 0, 6)}
     assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [14]
+
+
+def plain_log_ratios(texts, classes, order=7, discount=0.75, strength=40.0):
+    """The difference of two Kneser-Ney models, with dictionaries: ``classes[i]`` is 1, 0 or None for text i."""
+    from collections import Counter
+
+    def grams(text):
+        for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or ""):
+            b = bytes(order - 1) + bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode()) + b" "
+            yield from (b[i:i + order] for i in range(len(b) - order + 1))
+
+    levels = {order: Counter(g for t in texts for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def tables(counts):
+        total, kinds = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        return counts, total, kinds
+
+    levels = {k: tables(c) for k, c in levels.items()}
+    sides = [tables(Counter(g for t, c in zip(texts, classes) if c == y for g in grams(t))) for y in (1, 0)]
+
+    def mixed(table, g, low, more=0.0):
+        counts, total, kinds = table
+        n = total[g[:-1]]
+        spare = min(discount * max(kinds[g[:-1]], 1), n) + more
+        return (max(counts[g] - discount, 0) + spare * low) / (n + more) if n + more else low
+
+    def ratio(g):
+        low = 1 / 256
+        for k in range(1, order + 1):
+            low = mixed(levels[k], g[-k:], low)
+        toxic, ordinary = (mixed(s, g, low, strength) for s in sides)
+        return np.log(toxic / ordinary)
+
+    known = {g: ratio(g) for g in levels[order][0]}
+    return [sum(known[g] for g in grams(t)) for t in texts]
+
+
+def test_toxicity_equals_plain_models(spark):
+    import zlib
+
+    rng = random.Random(21)
+    words = ["vile", "rotten", "nice", "zürich", "Calm", "x9", "aa", "the"]
+    word = lambda: rng.choice(words) + rng.choice(["", "ly", "s", "é", "ness"]) * rng.randrange(2)
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(300)] + [(300, None), (301, "vile " * 5000), (302, "!!")]
+    truth = {i: int("vile" in (t or "")) for i, t in texts if i % 3}
+    found = {r.doc_id: r for r in toxicity.toxicity(frame(spark, texts).repartition(3), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
+    free = [truth[i] if i in truth and zlib.crc32(str(i).encode()) % 5 else None for i, _ in texts]
+    want = plain_log_ratios([t for _, t in texts], free)
+    assert any(w > 5 for w in want) and any(w < -5 for w in want)
+    for (i, t), w in zip(texts, want):
+        assert abs(found[i].log_ratio - w) < 1e-4 * max(1, len(t or ""))
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    docs = frame(spark, awkward())
+    docs = docs.withColumns({c: docs["n"] for c in ("_tox_total", "_tox_score", "__TOX_score", "y", "gram")})
+    labels = spark.createDataFrame([(1, 0), (9, 1), (7, 0), (12, 1)], "doc_id long, toxic int")
+    kept = toxicity.kept(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+    assert toxicity.kept(docs.limit(0), labels).count() == 0
