@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from firmground.llm.graph import components
-from firmground.llm.store import Workspace, slices, text_bytes, unused
+from firmground.llm.store import Workspace, release, slices, text_bytes, unused
 from firmground.llm.words import mix, shingles, words
 
 DEPTH = 4
@@ -64,8 +64,9 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sign_task(size: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         a, b = _coefficients(DEPTH * trees)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             n, k1, k2, sig = [], [], [], []
             for found in shingle_sets(batch.column("text"), size):
                 n.append(len(found))

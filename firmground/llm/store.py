@@ -51,13 +51,21 @@ def unused(names: list[str], taken: list[str]) -> list[str]:
 
 
 def per_worker(key: tuple, build):
-    """What ``build`` makes, kept by the Python worker from one task to the next. Only for things that change no result."""
+    """What ``build`` makes, kept by the Python worker from one task to the next until it is asked for something else or
+    :func:`release` is called. Only for things that change no result."""
     kept = sys.__dict__.setdefault("_firmground_kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = build()
     return kept[key]
 
 
+def release() -> None:
+    """Give back what earlier tasks of other kinds have left in this Python worker."""
+    sys.__dict__.setdefault("_firmground_kept", {}).clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column (null as empty) and the offset of each row, without copying the text."""
     if isinstance(column, pa.ChunkedArray):

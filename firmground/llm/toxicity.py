@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from firmground.llm.store import Workspace, ragged, slices, text_bytes, unused
+from firmground.llm.store import Workspace, ragged, release, slices, text_bytes, unused
 from firmground.llm.words import PUNCTUATED, words
 
 ORDER = 7
@@ -68,10 +68,11 @@ def _summed(parts: list) -> list:
     return [(keys, *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(keys)) for i in range(1, 6)))]
 
 
-def _count_task(held: int = 1_500_000):
+def _count_task(held: int = 700_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         parts: list = []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             inverse, bounds, grams, of = spelled(batch.column("text"))
             kind = batch.column("kind").to_numpy(zero_copy_only=False)  # 0 unlabelled, else 1 + place in ROUND
             kinds = np.repeat(kind, np.diff(bounds))
@@ -201,8 +202,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
 
 def _score_task(shipped, keep: list[str], text: str = "text", sums: list[str] = SUMS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ratios = shipped.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1 << 20):
             inverse, bounds, grams, word = spelled(batch.column(text))
             m = int(word[-1]) + 1 if len(word) else 0
             by_word = np.bincount(word, ratios.of(grams), m)
