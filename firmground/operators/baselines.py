@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from firmground.functions.coding import label_codes, with_codes
 from firmground.functions.columns import as_double, is_null, is_numeric, micros, union_all
 from firmground.functions.ordering import framed, quantiles
 from firmground.operators import metrics as M
@@ -22,15 +23,12 @@ def encode(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[Data
     text = [c for c in features if c not in num]
     marks = {r["column"]: r["q0"] for r in quantiles(train, num, [0.5]).collect()} if num else {}
     sides = []
-    models = []
     named = [df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("__missing__")) for c in text})
              for df in (train, test)]
-    if text:
-        models = [StringIndexer(inputCols=text, outputCols=[f"_i_{c}" for c in text], handleInvalid="keep",
-                                stringOrderType="alphabetAsc").fit(named[0])]
+    codes = label_codes(named[0], text) if text else None
     for df in named:
-        for m in models:
-            df = m.transform(df)
+        if text:
+            df = with_codes(df, codes, {c: f"_i_{c}" for c in text})
         df = df.withColumns({c: F.col(f"_i_{c}").cast("double") for c in text} | {
             c: F.coalesce(as_double(df, c), F.lit(marks.get(c)).cast("double")) for c in num})
         sides.append(df.drop(*[f"_i_{c}" for c in text]))

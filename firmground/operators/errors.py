@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from firmground.functions.columns import as_double, is_null, is_numeric
 from firmground.functions.ordering import quantiles
-from firmground.functions.stats import normal_p, sample_var, student_p, two_proportion_z, welch
+from firmground.functions.stats import normal_p, student_p, two_proportion_z, welch
 
 
 def differs(df: DataFrame, y: str, pred: str) -> Column:
@@ -44,20 +44,19 @@ def slice_errors(df: DataFrame, y: str, pred: str, cols: list[str], metric: str
     rows, metric = _errors(df, y, pred, metric)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in cols])).alias("c")
-    # numeric errors are centred on their mean, so that a small spread around a large error is not lost
-    mean = rows.agg(F.avg("_e")).scalar() if metric != "error_rate" else F.lit(0.0)
-    rows = rows.withColumn("_mean", mean).withColumn("_e", F.col("_e") - F.col("_mean"))
-    sums = [F.count("_e").alias("n"), F.sum("_e").alias("s"), F.sum(F.col("_e") * F.col("_e")).alias("q"), F.max("_mean").alias("m")]
-    part = rows.select("_e", "_mean", cells).where("c.value is not null").groupBy("c.column", "c.value").agg(*sums)
+    # count, mean and spread around it, which Spark merges pairwise: a small spread around a large error is not lost
+    sums = [F.count("_e").alias("n"), F.avg("_e").alias("m"), (F.var_pop("_e") * F.count("_e")).alias("q")]
+    part = rows.select("_e", cells).where("c.value is not null").groupBy("c.column", "c.value").agg(*sums)
     total = rows.agg(F.struct(*sums)).scalar()
     full = part.where(F.col("n") >= min_n).withColumn("_t", total)
-    n, s, q = F.col("n"), F.col("s"), F.col("q")
-    rn, rs, rq = F.col("_t.n") - n, F.col("_t.s") - s, F.col("_t.q") - q
-    rate, rest = s / n + F.col("_t.m"), F.try_divide(rs, rn) + F.col("_t.m")
+    n, rate, q = F.col("n"), F.col("m"), F.col("q")
+    rn = F.col("_t.n") - n
+    rest = F.try_divide(F.col("_t.m") * F.col("_t.n") - rate * n, rn)
+    rq = F.greatest(F.col("_t.q") - q - (rate - rest) * (rate - rest) * n * rn / F.col("_t.n"), F.lit(0.0))
     if metric == "error_rate":
         stat, dof = two_proportion_z(rate, n, rest, rn), F.lit(None).cast("double")
     else:
-        stat, dof = welch(rate, sample_var(n, s, q), n, rest, sample_var(rn, rs, rq), rn)
+        stat, dof = welch(rate, F.try_divide(q, n - 1), n, rest, F.try_divide(rq, rn - 1), rn)
     table = full.select("column", "value", "n", rate.alias("rate"), rest.alias("rest_rate"), stat.alias("stat"),
                         dof.alias("df"))
     p = normal_p("stat") if metric == "error_rate" else student_p("stat", "df")

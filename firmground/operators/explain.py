@@ -1,12 +1,14 @@
 """Contributions of a linear score, their attribution to feature families, reason codes and permutation importance."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from firmground.functions.coding import numbered
 from firmground.functions.columns import attach, md5_bucket
-from firmground.functions.ordering import CHUNK, chunk_bounds, running, with_chunk
+from firmground.sources.scratch import stored
 
 
 def _contributions(df: DataFrame, coefs: dict[str, float]) -> DataFrame:
@@ -64,27 +66,32 @@ def wide_reasons(codes: DataFrame, key: list[str], k: int) -> DataFrame:
     return codes.groupBy(*key).agg(*cols)
 
 
-def _numbered(df: DataFrame, seed: str, keep: list[str]) -> DataFrame:
-    """Rows with a dense number along a hash order: a repeatable shuffle without one task sorting the table."""
-    hashed = df.select(*keep, md5_bucket("_text", 2**31 - 1, seed).alias("_h"), F.lit(1).alias("_one"))
-    bounds = chunk_bounds(hashed, ["_h"])[0]
-    return running(with_chunk(hashed, "_h", bounds), ["_h", "_key"], {"_n": ("sum", "_one")}, chunk_col=CHUNK).drop(
-        "_h", "_one", CHUNK)
+#: Factors of the bijection; the first one that shares no divisor with the number of rows is used.
+FACTORS = (1_000_003, 1_000_033, 1)
 
 
 def permutation_importance(df: DataFrame, key: list[str], features: list[str], score: Callable[[DataFrame], DataFrame],
                            metric: Callable[[DataFrame], DataFrame], seed: int = 7) -> DataFrame:
     """``feature, base, permuted, importance``: drop of the metric when one column is shuffled over all rows.
 
-    ``score`` adds the prediction to a frame, ``metric`` returns one row with ``value``.
+    ``score`` adds the prediction to a frame, ``metric`` returns one row with ``value``. Rows are numbered once, along a hash
+    of the key and then by all columns, so repeated keys have one defined order. A feature's values move by a bijection
+    of these numbers, ``(factor * number + shift) mod rows``, whose shift is keyed by the feature: rows stand in random order
+    already, so that no further sort is needed.
     """
-    rows = df.withColumns({"_key": F.struct(*key), "_text": F.concat_ws(",", *[F.col(k).cast("string") for k in key])})
+    plain = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
+    text = F.concat_ws(",", *[F.col(k).cast("string") for k in key])
+    hashed = df.withColumn("_h", md5_bucket(text, 2**31 - 1, f"{seed}:"))
+    home = stored(numbered(hashed, ["_h", *key, *[c for c in plain if c not in key]], "_n", "shuffled"), "rows").drop("_h")
+    rows = home.count()
     base = metric(score(df)).select(F.col("value").alias("base"))
-    home = _numbered(rows, f"{seed}:home", [*df.columns, "_key"])
+    factor = next(f for f in FACTORS if f == 1 or rows % f)
     out = None
     for f in features:
-        moved = _numbered(rows.select("_key", "_text", f), f"{seed}:{f}", ["_key", f]).select("_n", F.col(f).alias("_moved"))
-        mixed = home.join(moved, "_n").withColumn(f, F.col("_moved")).drop("_moved", "_n", "_key")
+        shift = int(hashlib.md5(f"{seed}:{f}".encode()).hexdigest()[:8], 16) % max(rows, 1)
+        to = (F.col("_n") * F.lit(factor) + F.lit(shift)) % F.lit(max(rows, 1))
+        moved = home.select(to.alias("_n"), F.col(f).alias("_moved"))
+        mixed = home.join(moved, "_n").withColumn(f, F.col("_moved")).drop("_moved", "_n")
         row = attach(metric(score(mixed)).select(F.lit(f).alias("feature"), F.col("value").alias("permuted")), base)
         row = row.select("feature", "base", "permuted", (F.col("base") - F.col("permuted")).alias("importance"))
         out = row if out is None else out.unionByName(row)

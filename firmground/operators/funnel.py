@@ -9,11 +9,12 @@ import hashlib
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from firmground.functions.coding import label_codes, with_codes
 from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, long_counts, micros, pearson
 from firmground.operators.audit import duplicate_columns, pair_correlations
 from firmground.operators.leakage import post_outcome_name
@@ -181,20 +182,17 @@ def stage_counts(trail: DataFrame) -> DataFrame:
     return trail.groupBy("stage").agg(F.count(F.lit(1)).alias("entered"), F.count_if("survived").alias("survivors"))
 
 
-def encoded(df: DataFrame, candidates: list[str]) -> tuple[list, DataFrame]:
-    """Fitted text indexers and the frame with one numeric column per candidate (text numbered, null as -1)."""
-    models = []
-    for c in [c for c in candidates if is_text(df, c)]:
-        models.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep").fit(
-            df.where(F.col(c).isNotNull())))
-    return models, apply_encoding(df, candidates, models)
+def encoded(df: DataFrame, candidates: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Codes of the text candidates (the most frequent label is 0) and the frame with one numeric column per candidate."""
+    text = [c for c in candidates if is_text(df, c)]
+    codes = label_codes(df, text, frequent_first=True) if text else None
+    return codes, apply_encoding(df, candidates, codes)
 
 
-def apply_encoding(df: DataFrame, candidates: list[str], models: list) -> DataFrame:
-    out = df
-    for m in models:
-        out = m.transform(out)
-    text = {m.getInputCol() for m in models}
+def apply_encoding(df: DataFrame, candidates: list[str], codes: DataFrame | None) -> DataFrame:
+    """Numbers as they are, text by its code, an unseen label as the next code, null as -1."""
+    text = [c for c in candidates if is_text(df, c)]
+    out = with_codes(df, codes, {c: f"_i_{c}" for c in text}) if text else df
     return out.withColumns({
         f"_x_{c}": F.when(is_null(df, c), F.lit(-1.0)).otherwise(
             (F.col(f"_i_{c}") if c in text else F.col(c)).cast("double")) for c in candidates})
@@ -270,9 +268,9 @@ def stage10_confirm(train: DataFrame, held: DataFrame, target: str, candidates:
         spark.createDataFrame([(campaign,)], "campaign string").write.mode("error").parquet(f"{scores_path}-touched/{mark}")
     except AnalysisException as e:
         raise RuntimeError(f"holdout already used by campaign {campaign}") from e
-    models, ready = encoded(train, candidates)
+    codes, ready = encoded(train, candidates)
     model = boosted(task, trees, 3, seed).fit(_vectors(ready, candidates, target).select("_features", "_label"))
-    scored = model.transform(_vectors(apply_encoding(held, candidates, models), candidates, target))
+    scored = model.transform(_vectors(apply_encoding(held, candidates, codes), candidates, target))
     if task == "classification":
         p = scored.select(F.col("_label").alias("y"), vector_to_array("probability")[1].alias("p"))
         result = ranking(p, "y", "p").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("score"))

@@ -7,7 +7,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from firmground.functions.columns import (
-    attach, exploded, is_null, is_numeric, md5_bucket, micros, union_all, whole_days,
+    attach, exploded, is_null, is_numeric, join_by, md5_bucket, micros, union_all, whole_days,
 )
 from firmground.functions.ordering import CHUNK, quantiles, running, value_counts
 from firmground.functions.stats import normal_p, two_proportion_z
@@ -220,10 +220,19 @@ def source_freshness(df: DataFrame, ts: str, now: str, hours: int, max_lag_hours
 
 
 def shadow(a: DataFrame, b: DataFrame, key: list[str], decision: str) -> DataFrame:
-    """``champion, challenger, n, share, disagreement`` cross-table of two models' decisions on the same cases."""
-    cells = a.select(*key, F.col(decision).alias("champion")).join(
-        b.select(*key, F.col(decision).alias("challenger")), key).groupBy("champion", "challenger").agg(
-        F.count(F.lit(1)).alias("n"))
+    """``champion, challenger, n, share, disagreement`` cross-table of two models' decisions on the same cases.
+
+    Where a key repeats, its copies are numbered on each side in the order of the decision and paired by number; copies
+    without a partner are left out. Decisions of a key are counted first, so a key with very many copies is a few rows.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        per = df.groupBy(*key, F.col(decision).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*key).orderBy(F.col(name).asc_nulls_last()))
+        return per.select(*key, name, (upto - F.col("_n")).alias(f"_from_{name}"), upto.alias(f"_to_{name}"))
+
+    met = join_by(counted(a, "champion"), counted(b, "challenger"), key)
+    both = F.least("_to_champion", "_to_challenger") - F.greatest("_from_champion", "_from_challenger")
+    cells = met.where(both > 0).groupBy("champion", "challenger").agg(F.sum(both).alias("n"))
     whole = Window.partitionBy(F.lit(0))
     return cells.select("champion", "challenger", "n", (F.col("n") / F.sum("n").over(whole)).alias("share"), (
         F.sum(F.when(~F.col("champion").eqNullSafe(F.col("challenger")), F.col("n")).otherwise(0)).over(whole)

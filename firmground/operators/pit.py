@@ -62,6 +62,7 @@ def window_features(spine: DataFrame, facts: DataFrame, entity: str, decision: s
     """
     parts: dict[str, tuple[str, Column]] = {}
     names: dict[tuple, str] = {}
+    centres: dict[str, tuple[str, Column]] = {}
 
     def part(kind: str, col: Column, of: str) -> str:
         """Name of an aggregate, shared by all features that need the same one."""
@@ -89,14 +90,17 @@ def window_features(spine: DataFrame, facts: DataFrame, entity: str, decision: s
             elif kind == "mean":
                 value = F.when(enough, F.try_divide(v, n))
             else:
-                # centred on the mean of all facts: raw sums of squares lose a small spread around a large mean
-                centre = facts.select(F.coalesce(F.avg(col.cast("double")), F.lit(0.0))).scalar()
-                off = col.cast("double") - centre
+                # centred on the entity's own mean: raw sums of squares lose a small spread around a large mean
+                centre = centres.setdefault(text, (f"_centre_{len(centres)}", col))[0]
+                off = col.cast("double") - F.coalesce(centre, F.lit(0.0))
                 v = F.col(part("sum", off, f"off {text}"))
                 q = F.col(part("sum", off * off, f"square {text}"))
                 spread = F.greatest(q - v * v / F.greatest(n, F.lit(1)), F.lit(0.0))
                 value = F.when(enough & (n > 1), F.sqrt(spread / F.greatest(n - 1, F.lit(1))))
         outs.append(value.alias(name))
+    if centres:
+        means = facts.groupBy(entity).agg(*[F.avg(c.cast("double")).alias(n) for n, c in centres.values()])
+        facts = facts.join(means, entity)
     got = window_parts(spine, facts, entity, decision, ts, window_days, parts)
     return spine.join(got.select(entity, decision, *outs), [entity, decision], "left")
 

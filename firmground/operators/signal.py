@@ -1,10 +1,10 @@
 """Univariate signal against a target, and the column triage table built on it."""
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from firmground.functions.columns import as_double, collect_stats, is_null, is_numeric, long_counts, pearson, union_all
+from firmground.functions.coding import label_codes, with_codes
 from firmground.functions.ordering import quantiles
 from firmground.operators.audit import duplicate_columns
 from firmground.operators.metrics import column_auc
@@ -41,7 +41,7 @@ def coded_target(df: DataFrame, target: str, out: str = "_y") -> DataFrame:
             return known.withColumn(out, value)
         codes = F.array_position(F.array(*[F.lit(v) for v in few]).cast("array<double>"), value) - 1
         return known.withColumn(out, codes.cast("double"))
-    return StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc").fit(known).transform(known)
+    return with_codes(known, label_codes(known, [target]), {target: out})
 
 
 def filled(df: DataFrame, cols: list[str]) -> DataFrame:

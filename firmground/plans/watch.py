@@ -180,9 +180,12 @@ def _(t):
 
 
 @query("mo14_shadow", f"""with {PRED}, d as (select case when p >= 0.7 then 'block' when p >= 0.4 then 'review' else 'pass' end as a,
-  case when p_base >= 0.7 then 'block' when p_base >= 0.4 then 'review' else 'pass' end as b from pred)
-select a as champion, b as challenger, count(*) as n, round(count(*) / (select count(*) from d)::double, 6) as share,
-  round((select avg((a <> b)::int) from d), 6) as disagreement from d group by all""")
+  case when p_base >= 0.7 then 'block' when p_base >= 0.4 then 'review' else 'pass' end as b, {', '.join(KEY)} from pred),
+da as (select *, row_number() over (partition by {', '.join(KEY)} order by a) as copy from d),
+db as (select *, row_number() over (partition by {', '.join(KEY)} order by b) as copy from d),
+e as (select da.a, db.b from da join db using ({', '.join(KEY)}, copy))
+select a as champion, b as challenger, count(*) as n, round(count(*) / (select count(*) from e)::double, 6) as share,
+  round((select avg((a <> b)::int) from e), 6) as disagreement from e group by all""")
 def _(t):
     bands = [(0.0, "pass"), (0.4, "review"), (0.7, "block")]
     p = predictions(t.lineitem)
