@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import (
-    as_double, attach, collect_stats, exploded, is_null, is_numeric, long_counts, micros, numeric_columns, pearson, union_all,
+    as_double, attach, collect_stats, exploded, is_null, is_numeric, micros, numeric_columns, pearson, union_all,
     whole_days,
 )
+from firmground.functions.gram import correlations
+from firmground.functions.heavy import repeated, top_counts
 from firmground.functions.ordering import framed, quantiles
 
 # Placeholders for "missing", and name parts of columns that should not be negative.
@@ -31,22 +33,15 @@ def grain_check(df: DataFrame, keys: list[str]) -> DataFrame:
     ).select("*", F.try_divide("dup_rows", "rows").alias("dup_rate"), (F.col("dup_rows") == 0).alias("passed"))
 
 
-def candidate_keys(df: DataFrame) -> DataFrame:
+def candidate_keys(df: DataFrame, slices: int = 64) -> DataFrame:
     """Columns whose distinct count (null as one value) equals the row count.
 
-    A sketch in one pass rules out most columns; only the rest are counted exactly.
+    A column is only excluded by a value seen twice. One hash slice of the values is looked at first: there most columns
+    show a repeat, and only the others are counted whole.
     """
-    sketch = collect_stats(df, [F.count(F.lit(1)).alias("#")] + [
-        F.approx_count_distinct(F.col(c), 0.05).alias(c) for c in df.columns])
-    rows = sketch.pop("#")
-    likely = [c for c, k in sketch.items() if k >= 0.7 * rows]
-    if not likely:
-        return df.sparkSession.createDataFrame([], "column string")
-    counts = df.agg(*[
-        (F.count_distinct(F.col(c)) + F.max(is_null(df, c).cast("int"))).alias(c) for c in likely],
-        F.count(F.lit(1)).alias("_rows"))
-    return exploded(counts, [
-        F.when(F.col(c) == F.col("_rows"), F.struct(F.lit(c).alias("column"))) for c in likely])
+    left = [c for c in df.columns if c not in repeated(df, df.columns, slices)] if df.columns else []
+    twice = repeated(df, left) if left else set()
+    return df.sparkSession.createDataFrame([(c,) for c in left if c not in twice], "column string")
 
 
 def null_rates(df: DataFrame) -> DataFrame:
@@ -61,19 +56,18 @@ def null_rates(df: DataFrame) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, exprs: dict[str, Column], size: int = 300) -> DataFrame:
-    """Pairwise-complete Pearson correlation of named expressions: ``col_a, col_b, r`` for each pair a before b."""
+    """Pairwise-complete Pearson correlation of named expressions: ``col_a, col_b, r`` for each pair a before b, in one scan.
+
+    As many pairs as one aggregation can hold are aggregates; more are sums of matrix products (``functions.gram``).
+    """
     names = list(exprs)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     wide = df.select(*[exprs[n].alias(f"c{i}") for i, n in enumerate(names)])
+    if len(pairs) > size:
+        return correlations(wide, names)
     at = {n: f"c{i}" for i, n in enumerate(names)}
-    parts = []
-    for i in range(0, len(pairs), size):
-        block = pairs[i:i + size]
-        row = wide.agg(*[pearson(at[a], at[b]).alias(f"r{k}") for k, (a, b) in enumerate(block)])
-        parts.append(exploded(row, [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r"))
-            for k, (a, b) in enumerate(block)]))
-    return union_all(parts)
+    row = wide.agg(*[pearson(at[a], at[b]).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    return exploded(row, [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
 
 
 def null_corr(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -306,8 +300,8 @@ def duplicate_columns(df: DataFrame, key: list[str], cols: list[str] | None = No
 
 def near_constant(df: DataFrame, cols: list[str] | None = None, limit: float = 0.99) -> DataFrame:
     """``column, top_share, near_constant``: share of the most frequent value, null being one value."""
-    return long_counts(df, cols or df.columns).groupBy("column").agg(
-        (F.max("n") / F.sum("n")).alias("top_share")).withColumn("near_constant", F.col("top_share") >= limit)
+    found = [(c, top / rows, top >= limit * rows) for c, (rows, top) in top_counts(df, cols or df.columns).items() if rows]
+    return df.sparkSession.createDataFrame(found, "column string, top_share double, near_constant boolean")
 
 
 def task_type(df: DataFrame, target: str, classes: int = 20) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from firmground.functions.coding import label_codes, with_codes
-from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, long_counts, micros, pearson
+from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, micros, pearson
+from firmground.functions.heavy import cell_counts, heavy_counts
 from firmground.operators.audit import duplicate_columns, pair_correlations
 from firmground.operators.leakage import post_outcome_name
 from firmground.operators.metrics import neg_rmse, ranking
@@ -52,23 +53,29 @@ def stage0_leakage(df: DataFrame, target: str, candidates: list[str], cutoff: fl
     return out
 
 
-def column_counts(df: DataFrame, cols: list[str]) -> dict:
-    """Row count, largest value count (null as a value), distinct known values and nulls of each column."""
+def column_counts(df: DataFrame, cols: list[str], near: float = 0.99) -> dict:
+    """Rows, nulls and the largest value count (null as a value) of each column, and the distinct known values of text.
+
+    ``top`` is exact where it is ``proved``, which it is at a share of ``near`` or more. Only text cells are shuffled.
+    """
     if not cols:
         return {}
-    rows = long_counts(df, cols).groupBy("column").agg(
-        F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("value").alias("distinct"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")).collect()
-    return {r["column"]: r for r in rows}
+    found = heavy_counts(df, cols, near)
+    text = [c for c in cols if is_text(df, c)]
+    for r in cell_counts(df, text).collect() if text else []:
+        found[r["column"]] |= {"top": r["top"], "distinct": r["distinct"], "proved": True}
+    return {c: x for c, x in found.items() if x["rows"]}
 
 
 def stage1_degenerate(df: DataFrame, candidates: list[str], key: list[str], near: float = 0.99,
                       stats: dict | None = None) -> list[Verdict]:
     """Evict near-constant columns, and columns identical to an earlier candidate that was kept."""
-    stats = stats or column_counts(df, candidates)
+    stats = stats or column_counts(df, candidates, near)
     share = {c: stats[c]["top"] / stats[c]["rows"] if c in stats else 1.0 for c in candidates}
     varied = [c for c in candidates if share[c] < near]
     dup = dict(duplicate_columns(df, key, varied)) if varied else {}
+    told = [c for c in varied if not stats[c]["proved"]]  # their share is only reported
+    share |= {r["column"]: r["top"] / r["rows"] for r in cell_counts(df, told).collect()} if told else {}
     return [(c, False, share[c], "near_constant") if share[c] >= near else
             (c, False, share[c], f"duplicate_of:{dup[c]}") if c in dup else (c, True, share[c], "")
             for c in candidates]

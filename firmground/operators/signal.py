@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from firmground.functions.columns import as_double, collect_stats, is_null, is_numeric, long_counts, pearson, union_all
 from firmground.functions.coding import label_codes, with_codes
+from firmground.functions.heavy import cell_counts
 from firmground.functions.ordering import quantiles
 from firmground.operators.audit import duplicate_columns
 from firmground.operators.metrics import column_auc
@@ -140,10 +141,7 @@ def triage(df: DataFrame, target: str, key: list[str], near: float = 0.99, high_
     """
     cols = [c for c in df.columns if c != target and c not in key]
     y_num = is_numeric(df, target)
-    counts = long_counts(df, cols).groupBy("column").agg(
-        F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("value").alias("cardinality"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
-    stats = {r["column"]: r for r in counts.collect()}
+    stats = {r["column"]: r for r in cell_counts(df, cols).collect()}
     dup = dict(duplicate_columns(df, key, cols))
     num = [c for c in cols if is_numeric(df, c)]
     scores: dict = {}
@@ -165,7 +163,7 @@ def triage(df: DataFrame, target: str, key: list[str], near: float = 0.99, high_
     for c in cols:
         s = stats[c]
         table.append((c, source, df.schema[c].dataType.simpleString(), round(s["nulls"] / s["rows"], 4),
-                      s["cardinality"], s["top"] >= near * s["rows"], dup.get(c, ""), round(scores.get(c) or 0.0, 4)))
+                      s["distinct"], s["top"] >= near * s["rows"], dup.get(c, ""), round(scores.get(c) or 0.0, 4)))
     line = sorted(r[7] for r in table)
     at = 0.9 * (len(line) - 1)
     low = int(at)

@@ -373,6 +373,46 @@ def _(t):
     return rounded(A.corr_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), "r")
 
 
+HOLED = """e as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as k from embeddings),
+h as (select vec_id, k, case when (vec_id * 7 + k * 13) % 11 > 0 then v end as v from e)"""
+
+
+def dimensions(t, holes=True):
+    """A wide table, one column per dimension, with a rule for what is unknown."""
+    known = lambda k: F.pmod(F.col("vec_id") * 7 + k * 13, F.lit(11)) > 0
+    return t.embeddings.select("vec_id", *[F.when(known(k), F.col("embedding")[k].cast("double")).alias(f"d{k:02d}") for k in range(64)])
+
+
+@query("au33_corr_matrix_wide", f"""with {HOLED}
+select 'd' || lpad(a.k::varchar, 2, '0') as col_a, 'd' || lpad(b.k::varchar, 2, '0') as col_b, round(corr(a.v, b.v), 6) as r, abs(corr(a.v, b.v)) > 0.7 as high
+from h a join h b on a.vec_id = b.vec_id and a.k < b.k and a.v is not null and b.v is not null group by a.k, b.k""")
+def _(t):
+    wide = dimensions(t)
+    return rounded(A.corr_matrix(wide, wide.columns[1:]), "r")
+
+
+@query("au04_null_corr_wide", f"""with {HOLED}
+select 'd' || lpad(a.k::varchar, 2, '0') as col_a, 'd' || lpad(b.k::varchar, 2, '0') as col_b, round(corr((a.v is null)::int, (b.v is null)::int), 6) as r
+from h a join h b on a.vec_id = b.vec_id and a.k < b.k group by a.k, b.k having abs(corr((a.v is null)::int, (b.v is null)::int)) > 0.5""")
+def _(t):
+    return rounded(A.null_corr(dimensions(t).drop("vec_id")), "r")
+
+
+@query("au02_candidate_keys_wide", """
+select * from (select unnest([case when count(distinct o_orderkey) = count(*) then 'o_orderkey' end,
+  case when count(distinct o_totalprice) = count(*) then 'o_totalprice' end, case when count(distinct o_orderkey // 2) = count(*) then 'pairs' end,
+  case when count(distinct case when o_orderkey > 0 then o_orderkey end) + 1 = count(*) then 'one_null' end]) as "column" from orders) where "column" is not null""")
+def _(t):
+    return A.candidate_keys(t.orders.select("o_orderkey", "o_totalprice", F.floor(F.col("o_orderkey") / 2).alias("pairs"),
+                                            F.when(F.col("o_orderkey") > 0, F.col("o_orderkey")).alias("one_null"), "o_orderstatus", "o_custkey"))
+
+
+@query("au26_triage_counts", "with r as (" + _triage_sql() + """)
+select triage_bucket, count(*) as n from r group by 1""")
+def _(t):
+    return S.triage_counts(S.triage(planted(t), "y", KEYS))
+
+
 @query("au34_class_conditional", """
 with u as (select l_returnflag as class, 'l_quantity' as feature, l_quantity as v from lineitem
            union all select l_returnflag, 'l_extendedprice', l_extendedprice from lineitem),

@@ -205,6 +205,11 @@ def _(t):
     return rounded(N.run(wide(t), "y", CANDS, KEY), "score")
 
 
+@query("fn11_stage_counts", "select stage, count(*) as entered, count(*) filter (survived) as survivors from (" + _chain_sql() + ") group by stage")
+def _(t):
+    return N.stage_counts(N.run(wide(t), "y", CANDS, KEY))
+
+
 @query("fn12_stop_rule", "with " + PRED + """
 , f as (select l_linenumber as fold, -avg(abs(y - p)) as score, -avg(abs(y - p)) + avg(abs(y - p_base)) as lift from pred group by 1)
 select round(max(lift), 6) as best_lift, round(stddev_samp(score) / sqrt(count(score)), 6) as se,
