@@ -63,7 +63,7 @@ class Counter:
 class Node:
     """A leaf with the lengths and counts of its pre-tokens, or an inner node with two children; both know their sums."""
 
-    __slots__ = ("left", "right", "sizes", "counts", "chars", "tokens")
+    __slots__ = ("left", "right", "sizes", "counts", "items", "chars", "tokens")
 
     def __init__(self, sizes: list[int], counts: list[int]):
         self.left = self.right = None
@@ -71,14 +71,22 @@ class Node:
         self._settle()
 
     def _settle(self):
+        """Split a leaf that has grown too large, rebuild a subtree that leans or has shrunk to a leaf, and add up. A side never
+        has much over three quarters of the pre-tokens, so the depth stays logarithmic whatever the edits are."""
+        if self.left is not None:
+            items = self.left.items + self.right.items
+            if items <= LEAF or max(self.left.items, self.right.items) > 0.75 * items + 2 * LEAF:
+                leaves = list(self.leaves())
+                self.sizes, self.counts = ([x for n in leaves for x in getattr(n, c)] for c in ("sizes", "counts"))
+                self.left = self.right = None
         if self.left is None and len(self.sizes) > 2 * LEAF:
             half = len(self.sizes) // 2
             self.left, self.right = Node(self.sizes[:half], self.counts[:half]), Node(self.sizes[half:], self.counts[half:])
             self.sizes = self.counts = None
         if self.left is None:
-            self.chars, self.tokens = sum(self.sizes), sum(self.counts)
+            self.items, self.chars, self.tokens = len(self.sizes), sum(self.sizes), sum(self.counts)
         else:
-            self.chars, self.tokens = self.left.chars + self.right.chars, self.left.tokens + self.right.tokens
+            self.items, self.chars, self.tokens = (getattr(self.left, c) + getattr(self.right, c) for c in ("items", "chars", "tokens"))
 
     def boundary(self, at: int) -> int:
         """Start of the pre-token that holds character ``at``; the end of the text for a place beyond it."""

@@ -88,6 +88,33 @@ def test_edit_touches_little():
     assert encoded < 10
 
 
+def depth(tree):
+    todo, most = [(tree, 1)], 0
+    while todo:
+        node, d = todo.pop()
+        most = max(most, d)
+        if node.left is not None:
+            todo += [(node.left, d + 1), (node.right, d + 1)]
+    return most
+
+
+def test_many_edits_at_one_place_keep_the_tree_flat():
+    counter, rng = token_counts.Counter(BYTE), random.Random(6)
+    text = "start " + " ".join(f"w{i}" for i in range(300))
+    tree = token_counts.build(text, counter)
+    for place in ("end", "start", "middle"):
+        for _ in range(10_000 if place == "end" else 2_000):
+            at = {"end": len(text), "start": 0, "middle": len(text) // 2}[place]
+            text, _ = token_counts.apply_edit(text, tree, at, 0, f" word{rng.randrange(1000)}", counter)
+    assert depth(tree) < 40 and tree.tokens == len(counter.encoding.encode_ordinary(text)) and tree.chars == len(text)
+    for _ in range(10_000):
+        text, _ = token_counts.apply_edit(text, tree, len(text) // 3, 9, "", counter)
+    assert depth(tree) < 40 and tree.tokens == len(counter.encoding.encode_ordinary(text)) and tree.chars == len(text)
+    while text:
+        text, _ = token_counts.apply_edit(text, tree, 0, 400, "", counter)
+    assert depth(tree) == 1 and tree.tokens == tree.items == 0
+
+
 def test_patterns_agree():
     rng = random.Random(1)
     alphabet = [chr(c) for c in range(0x250)] + list(" '\n\tsmd12ab") * 40
