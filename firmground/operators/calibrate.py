@@ -1,15 +1,24 @@
 """Reliability of predicted probabilities and their repair."""
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from firmground.functions.coding import numbered
 from firmground.functions.columns import attach
+from firmground.functions.ordering import CHUNK, chunk_bounds, running, with_chunk
 from firmground.operators.metrics import ranking, score_counts
+from firmground.sources.scratch import stored
+
+# Task functions of this module travel with the query, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Verdict limits on the expected and the largest calibration error, and isotonic's need of positives.
 LIMITS = ((0.02, 0.05, "well-calibrated"), (0.05, 0.10, "acceptable"), (0.10, None, "poor"))
@@ -54,14 +63,30 @@ class Platt:
         return df.withColumn(out, 1 / (1 + F.exp(-(F.lit(self.slope) * F.col(p) + F.lit(self.intercept)))))
 
 
+STEPS = "low double, high double, pos bigint, n bigint"
+
+
 @dataclass
 class Isotonic:
-    """Monotone step-and-line function of the score, clamped at both ends."""
-    model: IsotonicRegressionModel
+    """Monotone function of the score: ``steps`` of one value from ``low`` to ``high`` and lines between them, clamped at both
+    ends. The steps are a table; a score finds its own by the running maximum of the lower ends."""
+    steps: DataFrame
 
     def apply(self, df: DataFrame, p: str, out: str) -> DataFrame:
-        done = self.model.transform(df.withColumn("_score", F.col(p).cast("double")))
-        return done.withColumnRenamed("prediction", out).drop("_score")
+        score = (F.col(p).cast("double") + F.lit(0.0)).alias("_score")
+        asked = df.select(score).where("_score is not null and not isnan(_score)").distinct()
+        cuts = chunk_bounds(asked, ["_score"])[0]
+        both = asked.select("_score", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_low")).unionByName(
+            self.steps.select(F.col("low").alias("_score"), F.lit(0).alias("_kind"), F.col("low").alias("_low")))
+        placed = running(with_chunk(both, "_score", cuts), ["_score", "_kind"], {"_at": ("max", "_low")}, chunk_col=CHUNK).where("_kind = 1")
+        first = self.steps.agg(F.min(F.struct("low", "value"))["value"].alias("_first"))
+        x = F.col("_score")
+        share = (x - F.col("high")) / (F.col("next_low") - F.col("high"))
+        value = F.when(F.col("low").isNull(), F.col("_first")).when((x <= F.col("high")) | F.col("next_low").isNull(), F.col("value")).otherwise(
+            F.col("value") + share * (F.col("next_value") - F.col("value")))
+        told = attach(placed.join(self.steps, F.col("_at") == F.col("low"), "left"), first).select("_score", value.alias("_told"))
+        joined = df.withColumn("_mine", score).join(told, F.col("_mine") == F.col("_score"), "left")
+        return joined.select(*df.columns, F.col("_told").alias(out))
 
 
 def platt_fit(df: DataFrame, y: str, p: str) -> Platt:
@@ -79,17 +104,52 @@ def platt_fit(df: DataFrame, y: str, p: str) -> Platt:
     return Platt(float(model.coefficients[0]), float(model.intercept))
 
 
-def isotonic_fit(df: DataFrame, y: str, p: str) -> Isotonic:
-    """Pool-adjacent-violators fit, refused when positives are too few to carry steps."""
+def pool(pos: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Where blocks of never falling shares begin and end (the last member), by pooling adjacent violators."""
+    out: list[list] = []  # first, last, positives, rows
+    for i, (a, b) in enumerate(zip(pos.tolist(), n.tolist())):
+        out.append([i, i, a, b])
+        while len(out) > 1 and out[-2][2] * out[-1][3] > out[-1][2] * out[-2][3]:
+            _, last, a, b = out.pop()
+            out[-1][1:] = [last, out[-1][2] + a, out[-1][3] + b]
+    return [(x[0], x[1]) for x in out]
+
+
+def _pool_task(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("low", ignore_index=True)
+    first, last = (np.array(x) for x in zip(*pool(rows["pos"], rows["n"])))
+    sums = {c: np.add.reduceat(rows[c].to_numpy(), first) for c in ("pos", "n")}
+    return pd.DataFrame({"low": rows["low"].to_numpy()[first], "high": rows["high"].to_numpy()[last], **sums, "_chunk": rows["_chunk"].iloc[0]})
+
+
+def isotonic_fit(df: DataFrame, y: str, p: str, size: int = 20_000) -> Isotonic:
+    """Pool-adjacent-violators fit, refused when positives are too few to carry steps.
+
+    Violators may be pooled in any order. Chunks of ``size`` neighbouring blocks are pooled by themselves; as long as values
+    fall between two chunks, the blocks are numbered anew and pooled in chunks shifted by a half.
+    """
     counts = score_counts(df, y, p).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     positives = counts.agg(F.sum("pos")).first()[0] or 0
     if positives < MIN_POSITIVES:
         raise ValueError(f"isotonic calibration needs {MIN_POSITIVES} positives, found {positives}")
-    n = F.col("pos") + F.col("neg")
-    rows = counts.select("score", (F.col("pos") / n).alias("label"), n.cast("double").alias("weight"))
-    fit = IsotonicRegression(featuresCol="_score", labelCol="label", weightCol="weight").fit(
-        rows.withColumnRenamed("score", "_score"))
-    return Isotonic(fit)
+    blocks = counts.select(F.col("score").alias("low"), F.col("score").alias("high"), "pos", (F.col("pos") + F.col("neg")).alias("n"))
+    turn = 0
+    while True:
+        placed = numbered(blocks, ["low"], "_i", "isotonic")
+        chunk = F.floor((F.col("_i") + F.lit(turn % 2 * (size // 2))) / size)
+        pooled = placed.withColumn("_chunk", chunk).groupBy("_chunk").applyInPandas(_pool_task, STEPS + ", _chunk bigint")
+        blocks = stored(pooled, "isotonic-steps")
+        value = F.col("pos") / F.col("n")
+        ends = blocks.groupBy("_chunk").agg(F.min(F.struct("low", value.alias("v"))).alias("a"), F.max(F.struct("low", value.alias("v"))).alias("b")).orderBy("_chunk").collect()  # a row per chunk
+        if all(x["b"]["v"] <= y["a"]["v"] for x, y in zip(ends, ends[1:])):
+            break
+        blocks, turn = blocks.drop("_chunk"), turn + 1
+    follows = Window.partitionBy("_chunk").orderBy("low")
+    starts = df.sparkSession.createDataFrame([(x["_chunk"], y["a"]["low"], y["a"]["v"]) for x, y in zip(ends, ends[1:])], "_chunk bigint, _low double, _value double")
+    steps = blocks.withColumn("value", value).withColumns({"next_low": F.lead("low").over(follows), "next_value": F.lead("value").over(follows)})
+    steps = steps.join(F.broadcast(starts), "_chunk", "left").select(
+        "low", "high", "value", F.coalesce("next_low", "_low").alias("next_low"), F.coalesce("next_value", "_value").alias("next_value"))
+    return Isotonic(stored(steps, "isotonic"))
 
 
 def rank_check(df: DataFrame, y: str, before: str, after: str, tolerance: float = 0.01) -> DataFrame:

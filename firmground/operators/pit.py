@@ -281,6 +281,60 @@ def sharing(spine: DataFrame, edges: DataFrame, entity: str, decision: str, ts:
     return spine.join(out.select(entity, decision, *keep), [entity, decision], "left")
 
 
+def sharing_union(spine: DataFrame, edges: DataFrame, entity: str, decision: str, ts: str, attributes: list[str],
+                  hub: int = 50, outcome: str | None = None) -> DataFrame:
+    """``shared_with``: other entities that, before the decision, had used a value of any attribute the entity had used.
+
+    A value used by more than ``hub`` entities before the decision is a hub, such as a shared employer, and links nobody
+    from then on. With an outcome column on the edges also ``neighbour_rate``: the share of them with an outcome of 1 on any
+    edge before the decision.
+
+    Only first uses matter, and of a value only those of its first ``hub`` entities. Each pair among them is linked from the
+    later first use until the value becomes a hub; the union of a pair's spans turns into +1 and -1 at their ends, which
+    one running sum reads at all decisions. Pairs are bounded by ``hub`` per use and are not repeated per decision.
+    """
+    used = None
+    for a in attributes:
+        part = edges.where(F.col(entity).isNotNull() & F.col(a).isNotNull()).groupBy(entity, F.col(a).cast("string").alias("_value")).agg(F.min(ts).alias("_from"))
+        part = part.withColumn("_attribute", F.lit(a))
+        used = part if used is None else used.unionByName(part)
+    order = Window.partitionBy("_attribute", "_value").orderBy("_from", entity)
+    first = used.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= hub + 1)
+    until = first.withColumn("_until", F.max(F.when(F.col("_turn") == hub + 1, F.col("_from"))).over(Window.partitionBy("_attribute", "_value")))
+    until = until.where(F.col("_turn") <= hub)
+    other = until.select("_attribute", "_value", F.col(entity).alias("_other"), F.col("_from").alias("_other_from"))
+    spans = until.join(other, ["_attribute", "_value"]).where(F.col(entity) != F.col("_other")).select(
+        entity, "_other", F.greatest("_from", "_other_from").alias("_start"), "_until").where("_until is null or _start < _until")
+    # the union of the spans of a pair; a pair has at most one per value
+    last = F.lit("9999-12-31").cast(edges.schema[ts].dataType)
+    w = Window.partitionBy(entity, "_other").orderBy("_start", "_end")
+    spans = spans.withColumn("_end", F.coalesce("_until", last))
+    spans = spans.withColumn("_reach", F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("_island", F.count_if(F.col("_reach").isNull() | (F.col("_start") > F.col("_reach"))).over(w))
+    links = spans.groupBy(entity, "_other", "_island").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"))
+    if outcome:
+        bad = edges.where(F.col(outcome) == 1).groupBy(F.col(entity).alias("_other")).agg(F.min(ts).alias("_bad"))
+        links = links.join(bad, "_other", "left")
+    else:
+        links = links.withColumn("_bad", F.lit(None).cast(edges.schema[ts].dataType))
+    since = F.greatest("_start", "_bad")  # null without an outcome: greatest skips nulls, so it is asked for below
+    worse = F.col("_bad").isNotNull() & (since < F.col("_end"))
+    one, none = F.lit(1), F.lit(0)
+
+    def mark(at: Column, n: Column, b: Column) -> Column:
+        return F.struct(at.alias("_at"), n.alias("_n"), b.alias("_b"))
+
+    marks = F.array(mark(F.col("_start"), one, none), F.when(worse, mark(since, none, one)),
+                    F.when(F.col("_end") < last, mark(F.col("_end"), -one, F.when(worse, -one).otherwise(none))))
+    facts = links.select(entity, F.explode(F.array_compact(marks)).alias("m")).select(entity, "m.*").groupBy(entity, "_at").agg(
+        F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
+    got = window_features(spine.select(entity, decision).distinct(), facts, entity, decision, "_at", None,
+                          {"_n": ("sum", F.col("_n")), "_b": ("sum", F.col("_b"))})
+    n = F.coalesce("_n", F.lit(0)).cast("bigint")
+    keep = [n.alias("shared_with")] + ([F.try_divide("_b", n).alias("neighbour_rate")] if outcome else [])
+    return spine.join(got.select(entity, decision, *keep), [entity, decision], "left")
+
+
 def interaction(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.col(a) * F.col(b))
 

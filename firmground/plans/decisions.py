@@ -39,11 +39,23 @@ def _(t):
     return C.reliability(done, "y", "p_cal")
 
 
-@query("ca04_isotonic")
+EARLY = "ts < timestamp '1999-01-01'"
+
+
+@query("ca04_isotonic", "with " + PRED + f""", c as (select p, sum(y) as pos, count(*) as n, row_number() over (order by p) as i from pred where {EARLY} group by p),
+s as (select *, sum(pos) over (order by p) as up, sum(n) over (order by p) as un from c),
+pairs as (select a.i as j, b.i as k, (b.up - a.up + a.pos) / (b.un - a.un + a.n)::double as v from s a join s b on a.i <= b.i),
+low as (select j, k, min(v) over (partition by j order by k desc) as v from pairs),
+fit as (select s.p, max(low.v) as v from low join s on s.i = low.k group by s.p),
+rest as (select y, p from pred where not ({EARLY})),
+told as (select r.y, case when a.p is null then b.v when b.p is null or a.p = b.p then a.v else a.v + (r.p - a.p) / (b.p - a.p) * (b.v - a.v) end as q
+  from rest r asof left join fit a on r.p >= a.p asof left join fit b on r.p <= b.p),
+g as (select least(floor(round(q, 9) * 10), 9)::int as bin, avg(q) as predicted, avg(y) as observed, count(*) as n from told group by 1)
+select bin, round((bin * 2 + 1) / 20.0::double, 6) as center, round(predicted, 6) as predicted, round(observed, 6) as observed, n as "count" from g""")
 def _(t):
     fit, rest = halves(t)
     done = C.isotonic_fit(fit, "y", "p").apply(rest, "p", "p_cal")
-    return C.reliability(done, "y", "p_cal")
+    return rounded(C.reliability(done, "y", "p_cal"), "center", "predicted", "observed")
 
 
 @query("ca05_rank_check", GLOBAL_CURVE + """

@@ -165,6 +165,23 @@ def _(t):
     return out(P.sharing(spine(t), edges, *ARGS, "event_id", "device", "bad"), "neighbour_rate")
 
 
+@query("ff13_graph_union", f"""
+with {SPINE}, e as (select user_id, ts, (event_id * 7919) % 997 as device, (event_id * 104729) % 1499 as address,
+  (event_type = 'error' and value > 100)::int as bad from events),
+u as (select 'device' as a, device as v, user_id, min(ts) as t from e group by all union all select 'address', address, user_id, min(ts) from e group by all),
+asked as (select s.user_id, s.d, u.a, u.v from spine s join u on u.user_id = s.user_id and u.t < s.d),
+met as (select k.user_id, k.d, k.a, k.v, o.user_id as other, count(*) over (partition by k.user_id, k.d, k.a, k.v) as users
+  from asked k join u o on o.a = k.a and o.v = k.v and o.t < k.d),
+near as (select distinct user_id, d, other from met where users <= 8 and other <> user_id),
+b as (select user_id, min(ts) as t from e where bad = 1 group by 1),
+n as (select near.user_id, near.d, count(*) as n, count(*) filter (b.t < near.d) as nb from near left join b on b.user_id = near.other group by all)
+select user_id, d::date as d, coalesce(n, 0) as shared_with, case when n > 0 then round(nb / n::double, 6) end as neighbour_rate from spine left join n using (user_id, d)""")
+def _(t):
+    edges = t.events.select("user_id", "ts", ((F.col("event_id") * 7919) % 997).alias("device"), ((F.col("event_id") * 104729) % 1499).alias("address"),
+                            F.when((F.col("event_type") == "error") & (F.col("value") > 100), 1).otherwise(0).alias("bad"))
+    return out(P.sharing_union(spine(t), edges, *ARGS, ["device", "address"], 8, "bad"), "neighbour_rate")
+
+
 @query("ff14_interaction", """
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * l_discount, 6) as qty_x_discount from lineitem""")
 def _(t):
