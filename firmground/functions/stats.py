@@ -5,6 +5,7 @@ import math
 import sys
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
@@ -27,31 +28,50 @@ def normal_p(z: Column | str) -> Column:
     return F.pandas_udf(_normal_tail, "double")(z)
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_tail(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
-    total = d
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after moving the argument beyond 10 by the recurrence."""
+    shift = np.zeros_like(x)
+    x = x.copy()
+    for _ in range(10):
+        small = x < 10
+        shift = np.where(small, shift - np.log(x), shift)
+        x = np.where(small, x + 1, x)
+    y = 1 / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188 - y * 691 / 360360))))) / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+
+
+def _beta_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function at ``x = 1 - other``, by its continued fraction for all rows at once."""
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x, other = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, other, x), np.where(turn, x, other)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log(other)) / a
+    tiny = lambda v: np.where(v == 0, 1e-300, v)
+    c, d = np.ones_like(x), 1 / tiny(1 - (a + b) * x / (a + 1))
+    total = d.copy()
     for m in range(1, 300):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for k in (even, odd):
-            d = 1 / (1 + k * d or 1e-300)
-            c = 1 + k / c or 1e-300
+            d = 1 / tiny(1 + k * d)
+            c = tiny(1 + k / c)
             total *= c * d
-        if abs(c * d - 1) < 1e-14:
+        if np.nanmax(np.abs(c * d - 1), initial=0.0) < 1e-14:
             break
-    return front * total
+    part = np.where(x <= 0, 0.0, front * total)
+    return np.where(turn, 1 - part, part)
 
 
 def _student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if v is None or k is None or v != v or k != k or k <= 0 else _beta_tail(k / 2, 0.5, k / (k + v * v))
-        for v, k in zip(t, df)], dtype="float64")
+    v, k = t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
+    known = ~np.isnan(v) & ~np.isnan(k) & (k > 0)
+    v, k = v[known], k[known]
+    out = np.full(len(t), np.nan)
+    with np.errstate(invalid="ignore"):
+        x, other = np.where(np.isinf(v), 0.0, k / (k + v * v)), np.where(np.isinf(v), 1.0, v * v / (k + v * v))
+    out[known] = _beta_tail(k / 2, np.full_like(k, 0.5), x, other)
+    return pd.Series(out).where(known)
 
 
 def student_p(t: Column | str, df: Column | str) -> Column:

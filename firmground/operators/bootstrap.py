@@ -5,7 +5,8 @@ draws the weights of one chunk for one batch of replicates and returns a few num
 partition counts: chunks follow exact ranks, and random numbers are keyed by seed and position in the data.
 
 * One score, stratified: multinomial counts per class, exactly as resampling rows. A task finds its chunk's share of
-  each replicate by walking a binary tree of binomial splits whose draws are keyed by tree node, so all tasks agree.
+  each replicate by walking a binary tree of binomial splits whose draws are keyed by tree node, so all tasks agree. The
+  totals along its path are joined to it; nobody sees those of all chunks.
 * Two scores on the same rows: Poisson(1) weights per row, keyed by cell, so that both orders see the same resample.
 """
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from firmground.functions.columns import attach, linear_bucket
 from firmground.functions.ordering import CHUNK, chunk_bounds, running, with_chunk
 from firmground.operators import metrics as M
+from firmground.sources.scratch import stored
 
 # Task functions of this module travel with the query, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,24 +35,39 @@ def _rng(*parts: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([p & 0xFFFFFFFFFFFFFFFF for p in parts])))
 
 
-def chunk_draws(totals: np.ndarray, chunk: int, reps: int, key: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Per replicate: draws falling below the chunk and inside it, out of a multinomial over chunk totals."""
-    ends = np.concatenate([[0], np.cumsum(totals)])
-    left, right, node = 0, len(totals), 1
-    inside = np.full(reps, ends[-1], dtype=np.int64)
+def chunk_draws(whole: np.ndarray, left: np.ndarray, chunk: int, reps: int, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Per replicate: draws falling below the chunk and inside it, out of a multinomial over all chunks.
+
+    ``whole`` and ``left`` are the totals of the tree's nodes above the chunk, from the root, and of their left halves.
+    """
+    depth, node = len(whole) - 1, 1
+    inside = np.full(reps, whole[0], dtype=np.int64)
     below = np.zeros(reps, dtype=np.int64)
-    while right - left > 1:
-        mid = (left + right) // 2
-        whole = ends[right] - ends[left]
-        share = (ends[mid] - ends[left]) / whole if whole else 0.0
-        low = _rng(*key, node).binomial(inside, share)
-        if chunk < mid:
-            inside, right, node = low, mid, 2 * node
+    for level in range(depth):
+        low = _rng(*key, node).binomial(inside, left[level] / whole[level] if whole[level] else 0.0)
+        if chunk >> (depth - 1 - level) & 1:
+            below, inside, node = below + low, inside - low, 2 * node + 1
         else:
-            below, inside, left, node = below + low, inside - low, mid, 2 * node + 1
+            inside, node = low, 2 * node
     return below, inside
 
 
+def tree_paths(chunks: DataFrame, last: int, sums: list[str]) -> DataFrame:
+    """``chunk, {sum}_whole, {sum}_left``: for each chunk 0..last, the totals of the nodes above it in a binary tree over the
+    chunks, and of their left halves; as many numbers as the tree has levels, not one per chunk."""
+    depth = max(last, 0).bit_length()
+    levels = F.sequence(F.lit(0), F.lit(depth))
+    node = lambda level: F.expr(f"shiftright(chunk, {depth} - {level})")
+    spread = chunks.withColumn("_level", F.explode(levels)).withColumn("_node", node("_level"))
+    totals = spread.groupBy("_level", "_node").agg(*[F.sum(c).alias(c) for c in sums])
+    half = totals.where("_level > 0 and _node % 2 = 0").select(
+        (F.col("_level") - 1).alias("_level"), F.shiftright("_node", 1).alias("_node"), *[F.col(c).alias(f"_left_{c}") for c in sums])
+    nodes = totals.join(half, ["_level", "_node"], "left")
+    path = F.sort_array(F.collect_list(F.struct("_level", *sums, *[F.coalesce(f"_left_{c}", F.lit(0)).alias(f"_left_{c}") for c in sums])))
+    found = spread.select("chunk", "_level", "_node").join(nodes, ["_level", "_node"]).groupBy("chunk").agg(path.alias("p"))
+    return found.select("chunk", *[F.col(f"p.{k}{c}").alias(f"{c}_{n}") for c in sums for k, n in (("", "whole"), ("_left_", "left"))])
+
+
 def _multinomial(weights: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     total = weights.sum()
     if total == 0:
@@ -58,16 +75,15 @@ def _multinomial(weights: np.ndarray, n: np.ndarray, rng: np.random.Generator) -
     return rng.multinomial(n, weights / total)
 
 
-def _stratified_task(metric: str, pos_totals: np.ndarray, neg_totals: np.ndarray, n_boot: int, seed: int, threshold: float):
-    pos_all, neg_all = float(pos_totals.sum()), float(neg_totals.sum())
-
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+def _stratified_task(metric: str, pos_all: float, neg_all: float, n_boot: int, seed: int, threshold: float):
+    def run(key: tuple, cells: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         chunk, batch = int(key[0]), int(key[1])
         first = batch * BATCH
         reps = min(BATCH, n_boot - first)
         cells = cells.sort_values("score")
-        p_below, p_in = chunk_draws(pos_totals, chunk, reps, (seed, 1, batch))
-        n_below, n_in = chunk_draws(neg_totals, chunk, reps, (seed, 0, batch))
+        path = paths.iloc[0]
+        p_below, p_in = chunk_draws(path["pos_whole"], path["pos_left"], chunk, reps, (seed, 1, batch))
+        n_below, n_in = chunk_draws(path["neg_whole"], path["neg_left"], chunk, reps, (seed, 0, batch))
         pos = _multinomial(cells["pos"].to_numpy(dtype=float), p_in, _rng(seed, 3, batch, chunk))
         neg = _multinomial(cells["neg"].to_numpy(dtype=float), n_in, _rng(seed, 2, batch, chunk))
         b = np.zeros(reps)
@@ -98,14 +114,15 @@ def replicates(df: DataFrame, y: str, p: str, metric: str, n_boot: int = 2000, s
     cells = M.score_counts(df, y, p)
     ranked = running(cells.withColumn("_one", F.lit(1)), ["score"], {"_i": ("sum", "_one")}, chunk_col=CHUNK)
     placed = ranked.select(linear_bucket(F.col("_i") - 1, CELLS).alias("chunk"), "score", "pos", "neg")
-    sums = placed.groupBy("chunk").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy("chunk").collect()
-    pos, neg = (np.array([r[k] for r in sums], dtype=np.int64) for k in ("pos", "neg"))
-    n_pos, n_neg = int(pos.sum()), int(neg.sum())
+    placed = stored(placed, "score-chunks")
+    sums = placed.groupBy("chunk").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    n_pos, n_neg, last = (x or 0 for x in sums.agg(F.sum("pos"), F.sum("neg"), F.max("chunk")).first())
     if n_pos == 0 or n_neg == 0:
         return None, n_pos, n_neg
-    batches = F.sequence(F.lit(0), F.lit((n_boot - 1) // BATCH))
-    parts = placed.withColumn("batch", F.explode(batches)).groupBy("chunk", "batch").applyInPandas(
-        _stratified_task(metric, pos, neg, n_boot, seed, threshold), "rep int, a double, b double")
+    batches = F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BATCH)))
+    paths = tree_paths(sums, last, ["pos", "neg"]).withColumnRenamed("chunk", "_of").withColumn("_of", F.col("_of") + 0).withColumn("_batch", batches)
+    parts = placed.withColumn("batch", batches).groupBy("chunk", "batch").cogroup(paths.groupBy("_of", "_batch")).applyInPandas(
+        _stratified_task(metric, float(n_pos), float(n_neg), n_boot, seed, threshold), "rep int, a double, b double")
     a, b = F.sum("a"), F.sum("b")
     value = a if metric != "f1" else F.coalesce(F.try_divide(2 * a, a + b + F.lit(float(n_pos))), F.lit(0.0))
     return parts.groupBy("rep").agg(value.alias("value")), n_pos, n_neg

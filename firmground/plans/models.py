@@ -47,10 +47,10 @@ def _(t):
     return rounded(B.mean_predictor(*halves(t), "l_quantity"), "score")
 
 
-@query("bl04_last_value", f"""with {TT}, l as (select l_quantity as v from tr order by l_shipdate desc, l_orderkey * 10 + l_linenumber desc limit 1)
+@query("bl04_last_value", f"""with {TT}, l as (select l_quantity as v from tr order by l_shipdate desc, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 10000 + l_suppkey desc limit 1)
 select round(-sqrt(avg((l_quantity - (select v from l)) ** 2)), 6) as score from te""")
 def _(t):
-    a, b = (x.withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")) for x in halves(t))
+    a, b = (x.withColumn("row", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")) for x in halves(t))
     return rounded(B.last_value(a, b, "l_quantity", "l_shipdate", "row"), "score")
 
 
@@ -95,10 +95,10 @@ def _(t):
 
 
 @query("bl10_bar_to_beat", f"""with {TT}, p as (select 'mean' as baseline, -sqrt(avg((l_quantity - (select avg(l_quantity) from tr)) ** 2)) as score from te
- union all select 'last_value', -sqrt(avg((l_quantity - (select l_quantity from tr order by l_shipdate desc, l_orderkey * 10 + l_linenumber desc limit 1)) ** 2)) from te)
+ union all select 'last_value', -sqrt(avg((l_quantity - (select l_quantity from tr order by l_shipdate desc, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 10000 + l_suppkey desc limit 1)) ** 2)) from te)
 select baseline, 'neg_rmse' as metric, round(score, 6) as score, score = max(score) over () as is_bar from p""")
 def _(t):
-    a, b = (x.withColumn("row", F.col("l_orderkey") * 10 + F.col("l_linenumber")) for x in halves(t))
+    a, b = (x.withColumn("row", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")) for x in halves(t))
     rows = B.mean_predictor(a, b, "l_quantity").select(F.lit("mean").alias("baseline"), F.lit("neg_rmse").alias("metric"), "score").unionByName(
         B.last_value(a, b, "l_quantity", "l_shipdate", "row").select(F.lit("last_value").alias("baseline"), F.lit("neg_rmse").alias("metric"), "score"))
     return rounded(B.with_bar(rows), "score")

@@ -128,7 +128,7 @@ def _(t):
 
 
 @query("fn07_stability", f"""with {FRAME}, z as (select *, case when l_shipdate < timestamp '1998-01-01' then y + l_tax else l_tax end as fading from w),
-s as (select *, ntile(3) over (order by l_shipdate, l_orderkey * 10 + l_linenumber) as sl from z),
+s as (select *, ntile(3) over (order by l_shipdate, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 10000 + l_suppkey) as sl from z),
 c as (select sl, abs(corr(l_quantity, y)) as q, abs(corr(fading, y)) as f from s group by sl),
 b as (select sl, stddev_samp(m) as m from (select sl, p_brand, avg(y) as m from s group by all) group by sl)
 select 'l_quantity' as feature, max(q) - min(q) < 0.4 as survived, round(max(q) - min(q), 6) as score,
@@ -138,7 +138,7 @@ union all select 'p_brand', max(m) - min(m) < 0.4, round(max(m) - min(m), 6), ca
 def _(t):
     early = F.col("l_shipdate") < F.to_timestamp(F.lit("1998-01-01"))
     df = wide(t).withColumn("fading", F.when(early, F.col("y") + F.col("l_tax")).otherwise(F.col("l_tax"))).withColumn(
-        "_row", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+        "_row", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     return frame(t, N.stage7_stability(df, "y", ["l_quantity", "fading", "p_brand"], "l_shipdate", "_row"))
 
 

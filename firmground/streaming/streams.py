@@ -69,3 +69,19 @@ def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append
 def run_each(sdf: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Run a stream over everything available now through a batch function."""
     sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_restarted(arrivals: DataFrame, slice_: str, parts: int, make: Callable[[DataFrame], DataFrame], ts: str, folder: str) -> DataFrame:
+    """Replay a table as it arrived: rows of slice 0, 1, … become new files of one folder, and after each the stream is
+    started anew from its checkpoint, so that state, watermark and the list of read files are carried over restarts.
+
+    ``make`` turns the source stream into the result, which is appended to a table below ``folder`` and read back. Rows of a
+    slice are one micro-batch however many files it has; what is late is decided by the slices before.
+    """
+    spark, source = arrivals.sparkSession, f"{folder}/source"
+    out = None
+    for k in range(parts):
+        arrivals.where(F.col(slice_) == k).drop(slice_).write.mode("append").parquet(source)
+        stream = read_files(spark, source, "*.parquet", arrivals.drop(slice_).schema, ts)
+        out = run_to_table(make(stream), f"{folder}/table", f"{folder}/state")
+    return out
