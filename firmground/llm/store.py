@@ -51,11 +51,12 @@ def unused(names: list[str], taken: list[str]) -> list[str]:
 
 
 def per_worker(key: tuple, build):
-    """What ``build`` makes, kept by the Python worker from one task to the next until it is asked for something else or
+    """What ``build`` makes, kept by the Python worker from one task to the next until it is asked for two other things or
     :func:`release` is called. Only for things that change no result."""
     kept = sys.__dict__.setdefault("_firmground_kept", {})
     if key not in kept:
-        kept.clear()
+        while len(kept) > 1:
+            kept.pop(next(iter(kept)))
         kept[key] = build()
     return kept[key]
 
