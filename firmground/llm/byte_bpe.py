@@ -38,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Ids and offsets of pre-tokens; what it remembers, up to ``most`` characters, changes no result."""
 
-    def __init__(self, path: str, most: int = 4_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -70,8 +70,9 @@ class Coder:
         parts = list(chain.from_iterable(cut))
         if self.size > self.most:
             self._forget()
-        if new := [p for p in set(parts) if p not in self.known]:
-            self._learn(new)
+        new = [p for p in set(parts) if p not in self.known]
+        for at in range(0, len(new), 2000):
+            self._learn(new[at:at + 2000])
         at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         per_text = np.array([len(c) for c in cut], np.int64)
