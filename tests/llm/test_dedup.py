@@ -197,6 +197,56 @@ def test_exact_passage_beside_lightly_edited_text(spark):
     assert any(r.start <= 100 and r.start + r.length >= 160 for r in found)
 
 
+def frequent_lines(rng, docs: int, pairs: int):
+    """Texts made of 40 lines that hundreds of documents hold, and pairs that share seven of them in a row."""
+    lines = [sentence(rng, 10, 10**6) for _ in range(40)]
+    draw = lambda n: [rng.choice(lines) for _ in range(n)]
+    texts = [(i, "\n".join(draw(30))) for i in range(docs)]
+    for k in range(pairs):
+        shared = draw(7)
+        texts += [(1000 + 2 * k + side, "\n".join(draw(12) + [sentence(rng, 7, 10**6)] + shared + [sentence(rng, 4, 10**6)] + draw(10))) for side in (0, 1)]
+    return texts
+
+
+def test_links_follow_from_the_windows_alone(spark):
+    """Streams over 1, 7 and 60 slots, some of them within one key or run, against the rule on sorted windows."""
+    rng = random.Random(21)
+    common = sentence(rng, 60, 9000)
+    texts = [(i, f"{sentence(rng, 20, 9000)} {common} {sentence(rng, 20, 9000)}") for i in range(60)] + frequent_lines(rng, 60, 5)
+    docs = frame(spark, texts + texts[:3]).select("doc_id", "text")
+    none = [np.zeros(0, np.int64)] * 4
+    rows = sorted((r.key, r.near, r.doc, r.place) for r in docs.mapInArrow(passages._window_task(5, 5, 46, none), passages.WINDOWS).collect())
+    wanted, key_first, run_first = set(), None, None
+    for before, row in zip([None, *rows], rows):
+        if before is None or before[0] != row[0]:
+            key_first = run_first = row
+            continue
+        if before[1] != row[1]:
+            run_first, tops = row, [(key_first, False), (before, False)]
+        else:
+            tops = [(run_first, True), (before, True)]
+        for to, same in tops:
+            if to[2] != row[2]:
+                one, two = sorted([to[2:], row[2:]])
+                spans = [v for _, p in (one, two) for v in (p >> 32, (p >> 32) + (p & 0xFFFFFFFF) - 1)]
+                wanted.add((one[0], two[0], (1 << (row[0] & 15)) * (32769 if same else 1), *spans))
+    for parts in (1, 7, 60):
+        at = np.linspace(0, len(rows), parts + 1)[1:-1].astype(int)
+        cuts = [np.array([rows[i][c] for i in at], np.int64) for c in range(4)]
+        made = docs.mapInArrow(passages._window_task(5, 5, 46, cuts), passages.WINDOWS)
+        streamed = made.repartitionById(parts, "slot").sortWithinPartitions("key", "near", "doc", "place").select(
+            "key", "near", "doc", "place").mapInArrow(passages._stream, passages.STREAMED).cache()
+        assert {tuple(r) for r in passages._links(streamed).collect()} == wanted
+
+
+def test_passages_of_frequent_lines(spark):
+    texts = frequent_lines(random.Random(22), 400, 40)
+    found = [{tuple(r) for r in passages.repeated_passages(frame(spark, texts).repartition(n)).collect()} for n in (2, 23)]
+    assert found[0] == found[1]
+    caught = {(r[3], r[0]) for r in found[0]}
+    assert sum((1000 + 2 * k, 1001 + 2 * k) in caught for k in range(40)) >= 36
+
+
 def test_kept_with_columns_of_any_name(spark):
     from firmground.llm import exact_dedup, near_dedup
 
