@@ -222,14 +222,14 @@ def test_links_follow_from_the_windows_alone(spark):
             key_first = run_first = row
             continue
         if before[1] != row[1]:
-            run_first, tops = row, [(key_first, False), (before, False)]
+            run_first, tops = row, (key_first, before)
         else:
-            tops = [(run_first, True), (before, True)]
-        for to, same in tops:
+            tops = (run_first, before)
+        for to in tops:
             if to[2] != row[2]:
                 one, two = sorted([to[2:], row[2:]])
                 spans = [v for _, p in (one, two) for v in (p >> 32, (p >> 32) + (p & 0xFFFFFFFF) - 1)]
-                wanted.add((one[0], two[0], (1 << (row[0] & 15)) * (32769 if same else 1), *spans))
+                wanted.add((one[0], two[0], 1 << (row[0] & 15), *spans))
     for parts in (1, 7, 60):
         at = np.linspace(0, len(rows), parts + 1)[1:-1].astype(int)
         cuts = [np.array([rows[i][c] for i in at], np.int64) for c in range(4)]
