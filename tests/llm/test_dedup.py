@@ -230,12 +230,12 @@ def test_links_follow_from_the_windows_alone(spark):
                 one, two = sorted([to[2:], row[2:]])
                 spans = [v for _, p in (one, two) for v in (p >> 32, (p >> 32) + (p & 0xFFFFFFFF) - 1)]
                 wanted.add((one[0], two[0], 1 << (row[0] & 15), *spans))
-    for parts in (1, 7, 60):
+    for parts, least in ((1, 4), (7, 1), (60, 1), (60, 2), (60, 4)):
         at = np.linspace(0, len(rows), parts + 1)[1:-1].astype(int)
-        cuts = [np.array([rows[i][c] for i in at], np.int64) for c in range(4)]
+        cuts = passages.whole_runs([np.array([rows[i][c] for i in at], np.int64) for c in range(4)], least)
         made = docs.mapInArrow(passages._window_task(5, 5, 46, cuts), passages.WINDOWS)
         streamed = made.repartitionById(parts, "slot").sortWithinPartitions("key", "near", "doc", "place").select(
-            "key", "near", "doc", "place").mapInArrow(passages._stream, passages.STREAMED).cache()
+            "key", "near", "doc", "place").mapInArrow(passages._stream_task(cuts), passages.STREAMED).cache()
         assert {tuple(r) for r in passages._links(streamed).collect()} == wanted
 
 
