@@ -7,6 +7,7 @@ bounds steer balance only; results never depend on them.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
@@ -49,24 +50,38 @@ def with_order_chunk(df: DataFrame, order: list[str], chunks: int | None = None,
     A first value so frequent that it fills several quantiles is cut further by the second column, so not even one
     timestamp with a third of the rows is a single chunk.
     """
+    return order_chunks(df, order, chunks, out)[0]
+
+
+def order_chunks(df: DataFrame, order: list[str], chunks: int | None = None, out: str = CHUNK,
+                 judged_by: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """:func:`with_order_chunk`, and the first values that lie in several chunks. The bounds come from ``judged_by``,
+    a frame with the same order columns and about the same shares, where that is cheaper to read."""
     chunks = chunks or parallelism(df.sparkSession)
+    judged = df if judged_by is None else judged_by
     if chunks == 1:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0.0)), []
     probs = [i / chunks for i in range(1, chunks)]
-    marks = sorted(df.select(F.col(order[0]).cast("double").alias("o")).approxQuantile("o", probs, 0.5 / chunks))
-    heavy = {v: marks.count(v) for v in set(marks) if marks.count(v) > 1} if len(order) > 1 else {}
+    marks = judged.select(F.col(order[0]).cast("double").alias("o")).approxQuantile("o", probs, 0.5 / chunks)
+    heavy = {v: n for v, n in Counter(marks).items() if n > 1} if len(order) > 1 else {}
     df = with_chunk(df, order[0], sorted(set(marks)), out)
     if not heavy:
-        return df
+        return df, []
     first, second = F.col(order[0]).cast("double"), F.col(order[1]).cast("double")
-    wanted = [F.lit(i / (max(heavy.values()) + 1)) for i in range(1, max(heavy.values()) + 1)]
-    found = df.where(first.isin(list(heavy))).groupBy(first.alias("v")).agg(
-        F.percentile_approx(second, F.array(*wanted), 10 * chunks).alias("cuts")).collect()
-    part = F.lit(len(wanted) + 1)
-    for r in found:
-        cuts = F.array(*[F.lit(c) for c in sorted(set(r["cuts"]))])
-        part = F.when(first == r["v"], F.size(F.filter(cuts, lambda c: c <= second))).otherwise(part)
-    return df.withColumn(out, F.col(out) * (len(wanted) + 2) + part)
+    most = max(heavy.values()) + 1
+    part = None
+    # values of about one size are cut together, so a value gets at most twice the cuts that its rows call for
+    for size in sorted({n.bit_length() for n in heavy.values()}):
+        alike = [v for v, n in heavy.items() if n.bit_length() == size]
+        pieces = max(heavy[v] for v in alike) + 2
+        wanted = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+        for r in judged.where(first.isin(alike)).groupBy(first.alias("v")).agg(
+                F.percentile_approx(second, wanted, 10 * chunks).alias("cuts")).collect():
+            cuts = F.array(*[F.lit(c) for c in sorted(set(r["cuts"] or []))]).cast("array<double>")
+            value = F.size(F.filter(cuts, lambda c: c <= second))
+            part = F.when(first == r["v"], value) if part is None else part.when(first == r["v"], value)
+    part = F.lit(most) if part is None else part.otherwise(most)
+    return df.withColumn(out, F.col(out) * (most + 1) + part), list(heavy)
 
 
 _AGG: dict[str, Callable] = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -132,10 +147,23 @@ def with_group_chunk(df: DataFrame, key: str, at: str, out: str = CHUNK) -> Data
     """Add a chunk index over the order (hash of the key, ``at``).
 
     A chunk holds about an even share of the rows. The rows of an ordinary key lie in one chunk; a key with more than
-    such a share is cut along ``at``. The plan is the same whatever the sizes of the keys.
+    such a share is cut along ``at``.
+    """
+    return group_chunks(df, key, at, out)[0]
+
+
+def group_chunks(df: DataFrame, key: str, at: str, out: str = CHUNK,
+                 judged_by: DataFrame | None = None) -> tuple[DataFrame, Column | None]:
+    """:func:`with_group_chunk`, and the condition that the key of a row is cut; None where no key is.
+
+    Chunks are ranges of the order, and only keys whose hash fills several of them are cut, so this condition is exact.
     """
-    marked = df.withColumns({"_h": F.xxhash64(key).cast("double"), "_at_number": as_number(df, at)})
-    return with_order_chunk(marked, ["_h", "_at_number"], out=out).drop("_h", "_at_number")
+    def marked(x: DataFrame) -> DataFrame:
+        return x.withColumns({"_h": F.xxhash64(key).cast("double"), "_at_number": as_number(x, at)})
+
+    chunked, heavy = order_chunks(marked(df), ["_h", "_at_number"], out=out,
+                                  judged_by=None if judged_by is None else marked(judged_by))
+    return chunked.drop("_h", "_at_number"), F.xxhash64(key).cast("double").isin(heavy) if heavy else None
 
 
 def grouped_running(
@@ -147,15 +175,36 @@ def grouped_running(
     descending: bool = False,
     inclusive: bool = True,
     chunk_col: str | None = None,
+    cut: Column | None = None,
 ) -> DataFrame:
-    """Running aggregates per group ``by``, which includes the key, in chunks of :func:`with_group_chunk`.
+    """Running aggregates per group ``by``: the key, and columns that do not fall along ``order[0]``.
 
-    Pass ``chunk_col`` where the index is a column already; then it stays.
+    Pass ``chunk_col`` and ``cut`` of :func:`group_chunks` where the index is a column already; then it stays. A group that
+    is not cut lies in one chunk, so its plain window is the result. Of the others, only one begins before each border
+    of chunks (per equal hash), so what is carried in has fewer rows than there are chunks and is broadcast.
     """
-    if chunk_col:
-        return running(df, order, aggs, by, descending, inclusive, chunk_col=chunk_col)
-    chunked = with_group_chunk(df, key, order[0], "_group_chunk")
-    return running(chunked, order, aggs, by, descending, inclusive, chunk_col="_group_chunk").drop("_group_chunk")
+    own = chunk_col is None
+    if own:
+        chunk_col = "_group_chunk"
+        df, cut = group_chunks(df, key, order[0], chunk_col)
+    turn = F.desc if descending else F.asc
+    parts = by if cut is None else [*by, chunk_col]
+    inside = Window.partitionBy(*parts).orderBy(*[turn(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = df.select("*", *[_AGG[k](c).over(inside).alias(f"_l_{o}") for o, (k, c) in aggs.items()])
+    keep = [c for c in df.columns if not (own and c == chunk_col)]
+    if cut is None:
+        return local.select(*keep, *[F.col(f"_l_{o}").alias(o) for o in aggs])
+    line = Window.partitionBy(*by).orderBy(turn(chunk_col))
+    carry = df.where(cut).groupBy(*by, chunk_col).agg(
+        *[_AGG[k](c).alias(f"_t_{o}") for o, (k, c) in aggs.items()]
+    ).select(
+        *by, chunk_col, F.row_number().over(line).alias("_piece"),
+        *[_AGG[k](f"_t_{o}").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{o}") for o, (k, _) in aggs.items()],
+    ).where("_piece > 1").drop("_piece")
+    joined = join_by(local, F.broadcast(carry), [*by, chunk_col], "left")
+    return joined.select(
+        *keep, *[_merge(k, F.col(f"_l_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in aggs.items()])
 
 
 def framed(
@@ -169,12 +218,17 @@ def framed(
 ) -> DataFrame:
     """Apply window columns whose frame reaches at most ``back`` rows before and ``ahead`` rows after each row.
 
-    ``compute(frame, partition_columns)`` adds the columns with windows partitioned by ``partition_columns``. The rows
-    of each key are numbered, cut into blocks of ``block`` rows and given a halo of ``back`` / ``ahead`` neighbours, so
-    no task holds a whole key with very many rows and results equal those of the plain window.
+    ``compute(frame, partition_columns)`` adds the columns with windows partitioned by ``partition_columns``. Where no key
+    holds more than a partition's share, these are the windows of the keys. Else the rows of each key are numbered,
+    cut into blocks of ``block`` rows and given a halo of ``back`` / ``ahead`` neighbours, so no task holds a whole key
+    with very many rows, and results equal those of the plain window.
     """
+    chunked, cut = group_chunks(df, key, order[0], "_group_chunk")
+    if cut is None:
+        return compute(df, [key])
     block = max(block, back + ahead + 1)
-    numbered = grouped_running(df.withColumn("_one", F.lit(1)), key, [key], order, {"_rn": ("sum", "_one")})
+    numbered = grouped_running(chunked.withColumn("_one", F.lit(1)), key, [key], order, {"_rn": ("sum", "_one")},
+                               chunk_col="_group_chunk", cut=cut)
     home = linear_bucket(F.col("_rn"), block)
     pos = F.pmod(F.col("_rn"), F.lit(block))
     copies = F.array_compact(F.array(

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from firmground.functions.columns import DAY_US, join_by, linear_bucket, micros
-from firmground.functions.ordering import CHUNK, framed, grouped_running, running, value_counts, with_group_chunk
+from firmground.functions.ordering import CHUNK, framed, group_chunks, grouped_running, running, value_counts
 
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -40,15 +40,15 @@ def window_parts(spine: DataFrame, facts: DataFrame, entity: str, decision: str,
         rows = rows.unionByName(ask(at - width, False))
     rows = rows.withColumn("_blk", linear_bucket(F.col("_t"), width) if width else F.lit(0).cast("bigint"))
     # facts of one entity at one time are one row, so not even a single timestamp is too large for a chunk
-    rows = rows.groupBy(entity, "_t", "_kind", "_pre", decision, "_blk").agg(
+    merged = rows.groupBy(entity, "_t", "_kind", "_pre", decision, "_blk").agg(
         *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])
-    rows = with_group_chunk(rows, entity, "_t", "_cut")
+    rows, cut = group_chunks(merged, entity, "_t", "_cut", judged_by=rows)
     specs = {f"_p_{n}": (k, n) for n, (k, _) in parts.items()}
-    run = grouped_running(rows, entity, [entity, "_blk"], ["_t", "_kind"], specs, chunk_col="_cut")
+    run = grouped_running(rows, entity, [entity, "_blk"], ["_t", "_kind"], specs, chunk_col="_cut", cut=cut)
     if not width:
         return run.where("_kind = 0").select(entity, decision, *[F.col(f"_p_{n}").alias(n) for n in parts])
     specs = {f"_s_{n}": (k, n) for n, (k, _) in parts.items()}
-    run = grouped_running(run, entity, [entity, "_blk"], ["_t", "_kind"], specs, descending=True, chunk_col="_cut")
+    run = grouped_running(run, entity, [entity, "_blk"], ["_t", "_kind"], specs, descending=True, chunk_col="_cut", cut=cut)
     side = [F.when(F.col("_pre"), F.col(f"_p_{n}")).otherwise(F.col(f"_s_{n}")).alias(n) for n in parts]
     return run.where("_kind = 0").select(entity, decision, *side).groupBy(entity, decision).agg(
         *[_COMBINE[k](n).alias(n) for n, (k, _) in parts.items()])

@@ -94,3 +94,45 @@ def test_one_timestamp_with_most_rows_is_cut_by_the_key(spark):
     assert line[O.CHUNK].is_monotonic_increasing
     got = O.running(spark.createDataFrame(pdf).withColumn("one", F.lit(1)), ["t", "id"], {"rn": ("sum", "one")}).toPandas()
     assert got.sort_values(["t", "id"])["rn"].tolist() == list(range(1, n + 1))
+
+
+def test_blocks_of_cut_keys_in_both_directions(hot, frame):
+    df, pdf = frame
+    rows = df.withColumn("b", F.floor(F.col("t") / 100))
+    chunked, cut = O.group_chunks(rows, "k", "t", "c", judged_by=df)
+    assert cut is not None and chunked.where(cut).select("k").distinct().count() < 40
+    # the condition names exactly the keys that lie in several chunks
+    inside = chunked.where(~cut).groupBy("k").agg(F.count_distinct("c").alias("n")).where("n > 1")
+    assert inside.count() == 0
+    pdf = pdf.assign(b=pdf.t // 100)
+    for down in (False, True):
+        got = O.grouped_running(chunked, "k", ["k", "b"], ["t", "id"], {"s": ("sum", "id"), "m": ("min", "v")}, descending=down,
+                                inclusive=False, chunk_col="c", cut=cut).toPandas().sort_values("id")
+        line = pdf.sort_values(["t", "id"], ascending=not down)
+        sums = line.groupby(["k", "b"])["id"].cumsum() - line["id"]
+        mins = line.groupby(["k", "b"])["v"].transform(lambda s: s.cummin().shift())
+        first = line.groupby(["k", "b"]).cumcount() == 0
+        assert np.array_equal(got["s"].to_numpy(float), sums.where(~first).sort_index().to_numpy(), equal_nan=True)
+        assert np.array_equal(got["m"].to_numpy(), mins.sort_index().to_numpy(), equal_nan=True)
+
+
+def test_even_keys_need_one_shuffle_and_no_join(spark):
+    df = spark.range(4000).select((F.col("id") % 400).alias("k"), F.col("id").alias("t"))
+    assert O.group_chunks(df, "k", "t")[1] is None
+    got = O.framed(df, "k", ["t"], lambda d, part: d.withColumn("p", F.lag("t").over(Window.partitionBy(*part).orderBy("t"))), back=1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert got.where("p is null and t >= 400 or p <> t - 400").count() == 0
+
+
+def test_a_key_whose_times_are_all_null_is_one_piece(hot):
+    df = hot.range(500).select(F.lit(1).alias("k"), F.lit(None).cast("double").alias("t"), "id")
+    got = O.grouped_running(df, "k", ["k"], ["t", "id"], {"s": ("sum", "id")}).toPandas().sort_values("id")
+    assert got["s"].tolist() == got["id"].cumsum().tolist()
+
+
+def test_each_of_many_large_keys_gets_cuts_for_its_own_size(spark):
+    pdf = pd.DataFrame({"k": np.r_[np.zeros(4000), np.repeat(np.arange(1, 21), 200)], "t": np.arange(8000)})
+    chunked, heavy = O.order_chunks(spark.createDataFrame(pdf), ["k", "t"], 60)
+    pieces = chunked.groupBy("k").agg(F.count_distinct(O.CHUNK).alias("n")).toPandas().set_index("k")["n"]
+    assert pieces[0] >= 30 and pieces.drop(0).max() <= 8 and set(pieces[pieces > 1].index) <= set(heavy)
