@@ -1,17 +1,19 @@
 """Simple predictors a model has to beat, forecasts that need no model, and series checks."""
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from firmground.functions.boosting import Boosted
 from firmground.functions.coding import label_codes, with_codes
 from firmground.functions.columns import as_double, is_null, is_numeric, micros, union_all
 from firmground.functions.ordering import framed, quantiles
 from firmground.operators import metrics as M
 from firmground.operators.splits import numbered
+from firmground.sources.scratch import stored
 
 METRICS = {"roc_auc": M.auc, "average_precision": M.average_precision, "f1": M.f1, "neg_rmse": M.neg_rmse}
 
@@ -77,15 +79,14 @@ def logistic(train: DataFrame, test: DataFrame, y: str, features: list[str], bal
 
 
 def boosted(train: DataFrame, test: DataFrame, y: str, features: list[str], task: str = "classification",
-            trees: int = 100, seed: int = 0) -> DataFrame:
-    """``_label, _p`` of gradient-boosted trees of depth 3."""
-    cls = GBTClassifier if task == "classification" else GBTRegressor
-    fit = cls(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed).fit(
-        _vectors(train, features, y).select("_features", "_label"))
-    test = _vectors(test, features, y)
+            trees: int = 100, seed: int = 0, counted: bool = False) -> DataFrame:
+    """``_label, _p`` of gradient-boosted trees of depth 3; with ``counted``, a classifier's equal rows are one with a ``_weight``."""
+    grown = Boosted(train, features, y, task)
+    counted = counted and task == "classification"
+    scored = grown.score(grown.fit(trees, seed), test, y, counted)
     if task == "classification":
-        return _probability(fit, test)
-    return fit.transform(test).select("_label", F.col("prediction").alias("_p"))
+        return scored.select("_label", vector_to_array("probability")[1].alias("_p"), *["_weight"] * counted)
+    return scored.select("_label", F.col("prediction").alias("_p"))
 
 
 def ridge(train: DataFrame, test: DataFrame, y: str, features: list[str], alpha: float = 1.0) -> DataFrame:
@@ -112,13 +113,14 @@ def baselines(train: DataFrame, test: DataFrame, y: str, features: list[str], me
     """``baseline, metric, score, is_bar`` of every baseline that fits the task (read from the metric)."""
     metric = metric or "roc_auc"
     a, b = encode(train, test, features)
-    a, b = a.where(~is_null(train, y)), b.where(~is_null(test, y))
+    used = list(dict.fromkeys([*features, y]))  # read again and again
+    a, b = (stored(x.where(~is_null(train, y)).select(*used), "encoded") for x in (a, b))
 
     def line(name: str, score: DataFrame) -> DataFrame:
         return score.select(F.lit(name).alias("baseline"), F.lit(metric).alias("metric"), "score")
 
-    def scored(pred: DataFrame) -> DataFrame:
-        return METRICS[metric](pred, "_label", "_p").select(F.col("value").alias("score"))
+    def scored(pred: DataFrame, **weight) -> DataFrame:
+        return METRICS[metric](pred, "_label", "_p", **weight).select(F.col("value").alias("score"))
 
     if metric == "neg_rmse":
         rows = [line("mean", mean_predictor(a, b, y)),
@@ -127,9 +129,10 @@ def baselines(train: DataFrame, test: DataFrame, y: str, features: list[str], me
         if ts and key:
             rows.append(line("last_value", last_value(train, test, y, ts, key)))
     else:
+        counts = metric in ("roc_auc", "average_precision")  # these take counted rows
         rows = [line("trivial", trivial(a, b, y, metric)),
                 line("logistic", scored(logistic(a, b, y, features, balanced))),
-                line("boosted", scored(boosted(a, b, y, features, "classification", trees)))]
+                line("boosted", scored(boosted(a, b, y, features, trees=trees, counted=counts), **{"weight": "_weight"} if counts else {}))]
     return with_bar(union_all(rows))
 
 

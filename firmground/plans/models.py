@@ -63,7 +63,7 @@ def _(t):
 @query("bl06_boosted")
 def _(t):
     a, b = B.encode(*halves(t), ["l_quantity", "price", "status"])
-    return M.auc(B.boosted(a, b, "y", ["l_quantity", "price", "status"], trees=100), "_label", "_p")
+    return M.auc(B.boosted(a, b, "y", ["l_quantity", "price", "status"], trees=100, counted=True), "_label", "_p", weight="_weight")
 
 
 @query("bl07_ridge", f"""with {TT}, s as (select avg(l_quantity) as mx, avg(y) as my, regr_sxx(y, l_quantity) as sxx, regr_sxy(y, l_quantity) as sxy from tr),
