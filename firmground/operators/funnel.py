@@ -8,12 +8,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from firmground.functions.boosting import Boosted
 from firmground.functions.coding import label_codes, with_codes
 from firmground.functions.columns import as_double, attach, collect_stats, is_null, is_numeric, micros, pearson
 from firmground.functions.heavy import cell_counts, heavy_counts
@@ -22,6 +20,7 @@ from firmground.operators.leakage import post_outcome_name
 from firmground.operators.metrics import neg_rmse, ranking
 from firmground.operators.signal import auc_signal
 from firmground.operators.splits import kfold
+from firmground.sources.scratch import stored
 
 Verdict = tuple[str, bool, float | None, str]
 TRAIL = "stage int, feature string, survived boolean, score double, reason string"
@@ -205,26 +204,16 @@ def apply_encoding(df: DataFrame, candidates: list[str], codes: DataFrame | None
             (F.col(f"_i_{c}") if c in text else F.col(c)).cast("double")) for c in candidates})
 
 
-def boosted(task: str, trees: int, depth: int, seed: int, features: str = "_features", label: str = "_label"):
-    cls = GBTClassifier if task == "classification" else GBTRegressor
-    return cls(featuresCol=features, labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-
-
-def _vectors(df: DataFrame, candidates: list[str], target: str) -> DataFrame:
-    vec = VectorAssembler(inputCols=[f"_x_{c}" for c in candidates], outputCol="_features")
-    return vec.transform(df.withColumn("_label", F.col(target).cast("double")))
-
-
 def stage6_importance(df: DataFrame, target: str, candidates: list[str], order: Column, key: str,
                       task: str = "classification", folds: int = 5, trees: int = 50, seed: int = 7) -> DataFrame:
     """``feature, importance``: boosted-tree importance averaged over contiguous folds; ranks only."""
-    _, ready = encoded(kfold(df, order, key, folds, "_fold"), candidates)
-    data = _vectors(ready, candidates, target).select("_features", "_label", "_fold").persist()
+    used = stored(df.select(*dict.fromkeys([*candidates, target, key]), order.alias("_order")), "folds")
+    _, ready = encoded(kfold(used, F.col("_order"), key, folds, "_fold"), candidates)
+    grown = Boosted(ready, [f"_x_{c}" for c in candidates], target, task, ["_fold"])
     total = [0.0] * len(candidates)
     for f in range(1, folds + 1):
-        model = boosted(task, trees, 3, seed).fit(data.where(F.col("_fold") != f))
+        model = grown.fit(trees, seed, part=F.col("_fold") != f)
         total = [a + b for a, b in zip(total, model.featureImportances.toArray())]
-    data.unpersist()
     return df.sparkSession.createDataFrame(
         [(c, float(v) / folds) for c, v in zip(candidates, total)], "feature string, importance double")
 
@@ -275,12 +264,12 @@ def stage10_confirm(train: DataFrame, held: DataFrame, target: str, candidates:
         spark.createDataFrame([(campaign,)], "campaign string").write.mode("error").parquet(f"{scores_path}-touched/{mark}")
     except AnalysisException as e:
         raise RuntimeError(f"holdout already used by campaign {campaign}") from e
-    codes, ready = encoded(train, candidates)
-    model = boosted(task, trees, 3, seed).fit(_vectors(ready, candidates, target).select("_features", "_label"))
-    scored = model.transform(_vectors(apply_encoding(held, candidates, codes), candidates, target))
+    codes, ready = encoded(stored(train.select(*dict.fromkeys([*candidates, target])), "train"), candidates)
+    grown = Boosted(ready, [f"_x_{c}" for c in candidates], target, task)
+    scored = grown.score(grown.fit(trees, seed), apply_encoding(held, candidates, codes), target, task == "classification")
     if task == "classification":
-        p = scored.select(F.col("_label").alias("y"), vector_to_array("probability")[1].alias("p"))
-        result = ranking(p, "y", "p").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("score"))
+        p = scored.select(F.col("_label").alias("y"), vector_to_array("probability")[1].alias("p"), "_weight")
+        result = ranking(p, "y", "p", weight="_weight").select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("score"))
     else:
         p = scored.select(F.col("_label").alias("y"), F.col("prediction").alias("p"))
         result = neg_rmse(p, "y", "p").select("metric", F.col("value").alias("score"))
