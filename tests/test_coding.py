@@ -101,3 +101,14 @@ def test_spread_of_a_far_slice(spark):
     a, b = [i % 5 for i in range(60)], [i % 4 for i in range(50)]
     want = (statistics.mean(a) - statistics.mean(b)) / (statistics.variance(a) / 60 + statistics.variance(b) / 50) ** 0.5
     assert one.stat == pytest.approx(want) and v1 > 0 and v2 > 0
+
+
+def test_every_feature_is_shuffled_along_an_order_of_its_own(spark):
+    """The distance between a row and where its value goes is not one number for all rows, as it is in a rotation of one order."""
+    df = spark.range(500).select(F.col("id").alias("k"), F.col("id").alias("u"), F.col("id").alias("v"))
+    seen = []
+    explain.permutation_importance(df, ["k"], ["u", "v"], lambda d: d, lambda d: (seen.append(d), d.agg(F.sum("u").alias("value")))[1])
+    order = {name: [r.k for r in df.orderBy(F.expr(f"conv(substring(md5(concat('7:{name}', k)), 1, 8), 16, 10)").cast("bigint") % (2**31 - 1), "k").collect()]
+             for name in ("home", "u", "v")}
+    for f, d in zip(("u", "v"), seen[1:]):
+        assert {r.k: r[f] for r in d.select("k", f).collect()} == dict(zip(order["home"], order[f]))
