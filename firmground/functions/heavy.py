@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from firmground.functions.columns import collect_stats, is_null
+from firmground.functions.columns import collect_stats, is_null, union_all
 
 WHOLE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 SKETCHED = (*WHOLE, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -39,13 +39,30 @@ def known() -> Column:
     return F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
 
 
-def cell_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+def cell_counts(df: DataFrame, cols: list[str], block: int = 50) -> DataFrame:
     """``column, rows, top, distinct, nulls`` by counting every value: ``top`` is the count of the most frequent one, null being
-    a value, ``distinct`` the number of known values."""
-    counts = cells(df, cols).groupBy("column", *CELL).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.max("n").alias("top"), F.count_if(known()).alias("distinct"),
-        F.coalesce(F.sum(F.when(~known(), F.col("n"))), F.lit(0)).alias("nulls"))
+    a value, ``distinct`` the number of known values.
+
+    A column is counted by its own values, in its own type: cells of all columns in one shuffle would be wider and more. Many
+    columns go through such a shuffle, as a plan with a branch for each would not be small.
+    """
+    if len(cols) > block:
+        counts = cells(df, cols).groupBy("column", *CELL).agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("column").agg(
+            F.sum("n").alias("rows"), F.max("n").alias("top"), F.count_if(known()).alias("distinct"),
+            F.coalesce(F.sum(F.when(~known(), F.col("n"))), F.lit(0)).alias("nulls"))
+
+    def one(c: str) -> DataFrame:
+        value = F.when(~is_null(df, c), F.col(c))
+        if not isinstance(df.schema[c].dataType, SKETCHED):
+            value = value.cast("string")
+        counts = df.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        return counts.agg(
+            F.sum("n").alias("rows"), F.max("n").alias("top"), F.count("v").alias("distinct"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls")).where("rows > 0").select(
+                F.lit(c).alias("column"), "rows", "top", "distinct", "nulls")
+
+    return union_all([one(c) for c in cols])
 
 
 def heavy_counts(df: DataFrame, cols: list[str], least: float = 0.5, block: int = 50) -> dict[str, dict]:

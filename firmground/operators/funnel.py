@@ -167,8 +167,10 @@ def stage5_redundancy(df: DataFrame, candidates: list[str], cutoff: float = 0.9)
 
 
 def run(df: DataFrame, target: str, candidates: list[str], key: list[str]) -> DataFrame:
-    """Stages 0 to 5 in order; the trail has one row per stage and candidate that reached it."""
+    """Stages 0 to 5 in order; the trail has one row per stage and candidate that reached it. Stages read a stored copy of
+    the columns concerned, so what makes the frame (joins, often) runs once."""
     trail: list[tuple] = []
+    df = stored(df.select(*dict.fromkeys([*key, target, *candidates])), "screened")
 
     def note(stage: int, verdicts: list[Verdict]) -> list[str]:
         trail.extend((stage, *v) for v in verdicts)

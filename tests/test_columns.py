@@ -143,3 +143,12 @@ def test_funnel_counts_shuffle_text_only(spark):
     assert stats["five"]["distinct"] == 5 and "distinct" not in stats["real"]
     verdicts = {v[0]: v[1:] for v in funnel.stage1_degenerate(df.withColumn("id", F.monotonically_increasing_id()), ["near", "five", "real", "twos", "hollow"], ["id"])}
     assert verdicts == {c: (s := want[c][1] / want[c][0], ) and (s < 0.99, s, "near_constant" if s >= 0.99 else "") for c in verdicts}
+
+
+def test_counts_by_column_equal_counts_of_cells(spark):
+    nan = float("nan")
+    rows = [(0.0, "x", None, [1]), (-0.0, "x", 3, [1]), (nan, None, 3, [2]), (None, "y", 4, None), (2.5, "y", None, None)]
+    df = spark.createDataFrame(rows, "a double, b string, c int, d array<int>")
+    got = lambda block: sorted(tuple(r) for r in heavy.cell_counts(df, ["a", "b", "c", "d"], block).collect())
+    assert got(50) == got(0) == [("a", 5, 2, 2, 2), ("b", 5, 2, 2, 1), ("c", 5, 2, 2, 2), ("d", 5, 2, 2, 2)]
+    assert heavy.cell_counts(df.limit(0), ["a"]).count() == 0

@@ -58,3 +58,19 @@ def test_shared_values_with_hubs(spark):
             assert got[u, d][1] == (pytest.approx(bad / len(near)) if near else None)
     assert pit.sharing_union(s, e.limit(0), "u", "d", "ts", ["device"], 5).where("shared_with = 0").count() == len(spine)
     assert "neighbour_rate" not in pit.sharing_union(s, e, "u", "d", "ts", ["device"], 5).columns
+
+
+def test_screen_makes_its_frame_once(spark):
+    from firmground.operators import funnel
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    df = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("y"), F.udf(seen, "long")(F.col("id") % 7).alias("a"),
+                                 F.concat(F.lit("t"), F.col("id") % 3).alias("b"))
+    trail = funnel.run(df, "y", ["a", "b"], ["id"]).collect()
+    assert {(r.stage, r.feature) for r in trail} == {(k, c) for k in range(6) for c in "ab"}
+    assert made.value == 300
