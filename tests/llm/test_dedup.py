@@ -247,6 +247,41 @@ def test_passages_of_frequent_lines(spark):
     assert sum((1000 + 2 * k, 1001 + 2 * k) in caught for k in range(40)) >= 36
 
 
+def alike_pairs(texts):
+    """Pairs of documents that share a passage, by comparing all whole texts."""
+    ids, column = zip(*[(i, t) for i, t in texts if t])
+    made, at = passages.shingles(*passages.words(*passages.text_bytes(pa.array(column)))[:2], 5)
+    rows = [made[at[n]:at[n + 1]] for n in range(len(ids))]
+    return {(ids[a], ids[b]) for a in range(len(ids)) for b in range(a + 1, len(ids)) if passages.common_passages(rows[a], rows[b], 5, 50, 0.75)}
+
+
+def test_passages_of_documents_unlike_the_first_of_their_key(spark):
+    rng = random.Random(31)
+    line, texts = sentence(rng, 12, 10**6), []
+    for k in range(8):  # the members of a family stand apart, and all families hold one line
+        one, two = sentence(rng, 50, 10**6), sentence(rng, 50, 10**6)
+        for n in range(4):
+            texts.append((8 * n + k + 1, f"{sentence(rng, 20, 10**6)} {one} {line} {edited(rng, two, 1)} {sentence(rng, 20, 10**6)}"))
+    texts = sorted(texts) + [(100 + i, t) for i, t in texts[:6]]
+    wanted = {(a, b) for a, b in alike_pairs(texts) if b < 100}
+    for most in (64, 8, 1):  # keys that are compared whole, and keys told apart by what stands around the line
+        found = passages.repeated_passages(frame(spark, texts).repartition(3), most=most).collect()
+        got = {(r.other_id, r.doc_id) for r in found}
+        assert len(wanted) > 20 and (most == 1 or wanted <= got) and len(wanted - got) <= 2
+        assert {(r.other_id, r.start, r.other_start, r.length == r.other_length, r.similarity) for r in found if r.doc_id == 100 + texts[0][0]} == {(texts[0][0], 0, 0, True, 1.0)}
+
+
+def test_pairs_of_small_keys():
+    made = {(int(i), int(j)) for a, b in passages.all_pairs(np.array([0, 3, 4]), np.array([3, 1, 2])) for i, j in zip(a, b)}
+    assert made == {(1, 0), (2, 1), (2, 0), (5, 4)}
+    none = [np.zeros(0, np.int64)] * 4
+    rows = [(1, 0, d, 9) for d in range(3)] + [(2, 0, 5, 9)] + [(3, d % 2, d, 9) for d in range(9)] + [(4, 0, 7, 9), (4, 0, 7, 9), (4, 0, 8, 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i:i + 4])], names=["key", "near", "doc", "place"]) for i in range(0, len(rows), 4)]
+    parts = [(small, x[0].tolist()) for small, x in passages._by_size(iter(batches), none, 4)]
+    assert sorted(k for small, keys in parts if small for k in keys) == [1, 1, 1, 4, 4]
+    assert [k for small, keys in parts if not small for k in keys] == [3] * 9
+
+
 def test_kept_with_columns_of_any_name(spark):
     from firmground.llm import exact_dedup, near_dedup
 
