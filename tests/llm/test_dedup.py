@@ -1,6 +1,7 @@
 """Exact and near deduplication, lines and passages against plain versions."""
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -298,3 +299,27 @@ def test_edges_of_many_partitions():
 
     rows = [{"part": p, "edge": e, "prefix": p // 2, "a": 10 * p + e, "hi": 0, "lo": 0} for p in range(20_000) for e in (0, 1)]
     assert near_dedup._edge_pairs(rows, 2) == [(20 * i + 1, 20 * i + 10, near_dedup.DEPTH) for i in range(10_000)]
+
+
+def test_of_a_text_only_the_words_of_the_place_are_sent_on():
+    texts = {7: " ".join(f"Wört{i}" for i in range(300)), 9: "\n".join(f"x{i}" for i in range(90))}
+    places = [(7, 0, 45), (7, 100, 160), (7, 250, 295), (9, 3, 85)]  # the last shingle of a place has five words
+    batch = pa.RecordBatch.from_pylist([{"b": n, "id_a": a, "la": la, "ra": ra, "lb": 1, "rb": 2, "a": a, "text": texts[a]} for n, (a, la, ra) in enumerate(places)])
+    got = [r for b in passages._passage_task(5)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert [r["passage"].split() for r in got] == [texts[a].split()[la:ra + 5] for a, la, ra in places]
+    assert [(r["b"], r["id_a"], r["la"], r["ra"]) for r in got] == [(n, *p) for n, p in enumerate(places)]
+
+
+def test_shuffle_files_of_a_kept_table_go_when_it_is_written(spark):
+    files = lambda: set(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    work = passages.Workspace(spark, "tidy")
+    before = files()
+    kept = work.keep(spark.range(5000).repartition(7, "id"), "kept", tidy=True)
+    deadline = time.time() + 20
+    while (left := {f for f in files() - before if "shuffle_" in f}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left and kept.count() == 5000
+    work.drop("kept")
+    with pytest.raises(Exception):
+        kept.count()
