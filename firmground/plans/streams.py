@@ -18,6 +18,10 @@ def spot(t, what):
     return f"{base}/table", f"{base}/state"
 
 
+def to_sessions(sdf, table, state):
+    return S.run_sessions(sdf, "user_id", "ts", "2 hours", "2 hours", table, state)
+
+
 CLOSED = "(select max(ts) - interval 2 hour from events)"
 
 
@@ -69,7 +73,7 @@ def _(t):
 
 @query("st05_sessions_stream", SESS + f" having max(ts) + interval 2 hour <= {CLOSED}")
 def _(t):
-    return S.run_to_table(S.sessions(stream(t), "user_id", "ts", "2 hours", "2 hours"), *spot(t, "sessions"))
+    return to_sessions(stream(t), *spot(t, "sessions"))
 
 
 # --- The event log as it may arrive: in four deliveries, every 50th event three days late, every 20th delivered once more.
@@ -93,8 +97,8 @@ def delivered(t, late=True, repeats=True):
     return at.withColumn("_k", sum(((F.col("_at") >= c).cast("int") for c in cuts), F.lit(0))).drop("_at")
 
 
-def replay(t, what, arrivals, make):
-    return S.run_restarted(arrivals, "_k", len(CUTS) + 1, make, "ts", f"{checkpoint_dir(t.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+def replay(t, what, arrivals, make, run=S.run_to_table):
+    return S.run_restarted(arrivals, "_k", len(CUTS) + 1, make, "ts", f"{checkpoint_dir(t.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}", run)
 
 
 @query("st01_daily_load_restarted", f"""with {ARRIVED}, f as (select * from w where value > 80),
@@ -124,4 +128,4 @@ def _(t):
 
 @query("st05_sessions_restarted", SESS + f" having max(ts) + interval 2 hour <= {CLOSED}")
 def _(t):
-    return replay(t, "sessions-restarted", delivered(t, late=False, repeats=False), lambda s: S.sessions(s, "user_id", "ts", "2 hours", "2 hours"))
+    return replay(t, "sessions-restarted", delivered(t, late=False, repeats=False), lambda s: s, to_sessions)

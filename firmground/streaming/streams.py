@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -66,16 +66,52 @@ def run_to_table(sdf: DataFrame, path: str, checkpoint: str, mode: str = "append
     return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
 
 
+def run_sessions(sdf: DataFrame, entity: str, ts: str, gap: str, late: str, path: str, checkpoint: str) -> DataFrame:
+    """Run :func:`sessions` over everything available now into a table and read it back; ``gap`` and ``late`` are of fixed length.
+
+    Each micro-batch is a plain job over its rows and the sessions still open, so that sessions which begin and close within
+    a batch are no state. Open ones go to the next batch as rows of the table; the newest event's session is always among
+    them, so the watermark follows from them. Each batch writes a folder of its own, overwritten on a retry.
+    """
+    spark = sdf.sparkSession
+    rows = sdf.where(F.col(ts).isNotNull()).select(entity, F.col(ts).cast("timestamp").alias("start"))
+    columns = [f"`{entity}` {rows.schema[entity].dataType.simpleString()}", "start timestamp", "end timestamp", "n long"]
+    schema = ", ".join([*columns, "open string"])
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        held = session.read.schema(schema).parquet(f"{path}/batch={number - 1}").where("open = 'true'").drop("open")
+        events = batch.select(entity, "start", F.expr(f"start + interval {gap}").alias("end"), F.lit(1).cast("long").alias("n"))
+        passed = lambda frame: frame.agg(F.unix_micros(F.expr(f"max(end) - interval {gap} - interval {late}"))).first()[0]
+        before, now = passed(held), passed(events)
+        if before is not None:
+            events = events.where(F.unix_micros("end") > before)
+        mark = max((m for m in (before, now) if m is not None), default=0)
+        w = Window.partitionBy(entity).orderBy("start", "end")
+        apart = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        numbered = held.unionByName(events).withColumn("_new", apart.cast("int")).withColumn(
+            "_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        found = numbered.groupBy(entity, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_s")
+        found.withColumn("open", (F.unix_micros("end") > mark).cast("string")).write.mode("overwrite").partitionBy("open").parquet(
+            f"{path}/batch={number}")
+
+    # before the first batch nothing is open
+    spark.createDataFrame([], ", ".join(columns)).write.mode("ignore").parquet(f"{path}/batch=-1/open=true")
+    run_each(rows, step, checkpoint)
+    return spark.read.schema(schema).parquet(path).where("open = 'false'").select(entity, "start", "end", "n")
+
+
 def run_each(sdf: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Run a stream over everything available now through a batch function."""
     sdf.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_restarted(arrivals: DataFrame, slice_: str, parts: int, make: Callable[[DataFrame], DataFrame], ts: str, folder: str) -> DataFrame:
+def run_restarted(arrivals: DataFrame, slice_: str, parts: int, make: Callable[[DataFrame], DataFrame], ts: str, folder: str,
+                  run: Callable[[DataFrame, str, str], DataFrame] = run_to_table) -> DataFrame:
     """Replay a table as it arrived: rows of slice 0, 1, … become new files of one folder, and after each the stream is
     started anew from its checkpoint, so that state, watermark and the list of read files are carried over restarts.
 
-    ``make`` turns the source stream into the result, which is appended to a table below ``folder`` and read back. Rows of a
+    ``make`` turns the source stream into the result, which ``run`` appends to a table below ``folder`` and reads back. Rows of a
     slice are one micro-batch however many files it has; what is late is decided by the slices before.
     """
     spark, source = arrivals.sparkSession, f"{folder}/source"
@@ -83,5 +119,5 @@ def run_restarted(arrivals: DataFrame, slice_: str, parts: int, make: Callable[[
     for k in range(parts):
         arrivals.where(F.col(slice_) == k).drop(slice_).write.mode("append").parquet(source)
         stream = read_files(spark, source, "*.parquet", arrivals.drop(slice_).schema, ts)
-        out = run_to_table(make(stream), f"{folder}/table", f"{folder}/state")
+        out = run(make(stream), f"{folder}/table", f"{folder}/state")
     return out

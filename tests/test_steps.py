@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmground.operators import calibrate, pit
+from firmground.streaming import streams
 
 
 def plain_isotonic(rows):
@@ -74,3 +75,24 @@ def test_screen_makes_its_frame_once(spark):
     trail = funnel.run(df, "y", ["a", "b"], ["id"]).collect()
     assert {(r.stage, r.feature) for r in trail} == {(k, c) for k in range(6) for c in "ab"}
     assert made.value == 300
+
+
+def test_streaming_sessions_carry_only_what_is_open(spark, tmp_path):
+    """Against Spark's own session window over the same deliveries: late rows, rows without a user or time."""
+    at = lambda hours: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hours)
+    rows = [(0, u, at(h + u / 60)) for u in range(40) for h in (0, 1, 3.25, 5.5, 20, 21.9)] + [(0, 50, at(22)), (0, 60, at(1)), (0, None, at(2)), (0, 3, None)]
+    rows += [(1, 1, at(22.5)), (1, 50, at(23.9)), (1, 60, at(2)), (1, 60, at(21)), (1, None, at(23)), (1, 2, at(19.5)), (1, 70, at(30))]
+    rows += [(2, 70, at(31)), (2, 50, at(20)), (2, 71, at(28.5)), (2, 1, at(60))]
+    arrivals = spark.createDataFrame(rows, "k int, user_id long, ts timestamp")
+    take = lambda df: sorted(((r.user_id, r.start, r.end, r.n) for r in df.collect()), key=repr)
+    want = streams.run_restarted(arrivals, "k", 3, lambda s: streams.sessions(s, "user_id", "ts", "2 hours", "2 hours"), "ts", f"{tmp_path}/spark")
+    run = lambda s, table, state: streams.run_sessions(s, "user_id", "ts", "2 hours", "2 hours", table, state)
+    got = streams.run_restarted(arrivals, "k", 3, lambda s: s, "ts", f"{tmp_path}/ours", run)
+    assert take(got) == take(want) and len(take(got)) > 150
+    carried = [spark.read.parquet(f"{tmp_path}/ours/table/batch={n}/open=true").count() for n in range(3)]
+    assert carried[0] < 50 and carried[1:] == [1, 1]
+    # as in the batch form, a gap of exactly two hours parts two sessions
+    exact = spark.createDataFrame([(0, 1, at(0)), (1, 1, at(2)), (1, 1, at(3)), (2, 2, at(40))], arrivals.schema)
+    assert take(streams.run_restarted(exact, "k", 3, lambda s: s, "ts", f"{tmp_path}/exact", run)) == [(1, at(0), at(2), 1), (1, at(2), at(5), 2)]
+    empty = streams.run_restarted(arrivals.limit(0), "k", 2, lambda s: s, "ts", f"{tmp_path}/none", run)
+    assert take(empty) == [] and empty.columns == ["user_id", "start", "end", "n"]
