@@ -323,3 +323,17 @@ def test_shuffle_files_of_a_kept_table_go_when_it_is_written(spark):
     work.drop("kept")
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_a_cut_before_a_block_leaves_it_whole():
+    r = random.Random(8)
+    line = " ".join(f"w{i}" for i in range(60))
+    texts = [" ".join([*(f"a{r.random()}" for _ in range(40)), line, *(f"b{r.random()}" for _ in range(40))]) for _ in range(20)]
+    made, bounds = passages.shingles(*passages.words(*passages.text_bytes(pa.array(texts)))[:2], 5)
+    block, body, row, place = passages.blocks_of(made, bounds, 5, 50, np.full(1 << 10, 255, np.uint8), 0.75)
+    values, sizes = np.unique(block, return_counts=True)
+    shared = values[sizes > 5]
+    assert len(shared)
+    cuts = [np.array(c, np.int64) for c in zip(*((int(v), *passages.BEFORE[1:]) for v in shared))]
+    slot = passages.slots_of([block, body, row, place], cuts)
+    assert all(len(np.unique(slot[block == v])) == 1 for v in shared)
