@@ -337,3 +337,60 @@ def test_a_cut_before_a_block_leaves_it_whole():
     cuts = [np.array(c, np.int64) for c in zip(*((int(v), *passages.BEFORE[1:]) for v in shared))]
     slot = passages.slots_of([block, body, row, place], cuts)
     assert all(len(np.unique(slot[block == v])) == 1 for v in shared)
+
+
+def test_a_text_goes_once_to_the_places_that_follow_it(spark):
+    texts = {1: "one " * 50, 2: "two " * 60, 3: "three"}
+    parts = {1: 3, 2: 1, 3: 0}
+    bodies = spark.createDataFrame([(i, 10 * i, t, parts[i]) for i, t in texts.items()], "doc_id long, id long, text string, as_a int")
+    spots = spark.createDataFrame([(1 + (n >= 2500), n, n, n + 1, 2, 3) for n in range(2503)], "a long, b long, la int, ra int, lb int, rb int")
+    rows = passages._behind(bodies, spots, "a", "as_a")
+    at = [sorted((r.a, r.part) for r in part if r.kind == 0) for part in rows.rdd.glom().collect()]
+    assert sorted(sum(at, [])) == [(1, 0), (1, 1), (1, 2), (2, 0)]  # before, each of the 2,503 places came with its text
+    assert rows.where("kind = 1 and text is not null").count() == 0
+    table = rows.coalesce(1).toArrow()
+    got = [(r["a"], r["b"], r["id_a"], t) for b in (7, 10_000) for batch, t_, which in passages._by_text(
+        passages._beside(iter(table.to_batches(max_chunksize=b)), "a", "id_a"), "a") for r, t in zip(batch.to_pylist(), t_.take(pa.array(which)).to_pylist())]
+    want = sorted((a, n, 10 * a, texts[a]) for n in range(2503) for a in [1 + (n >= 2500)])
+    assert sorted(got[:2503]) == want and sorted(got[2503:]) == want
+
+
+def test_places_without_repeated_shingles_are_compared_as_all_others():
+    r = random.Random(4)
+    found = 0
+    for n in range(400):
+        x = [r.getrandbits(63) for _ in range(r.choice([45, 60, 150, 400]))]
+        rate = r.choice([0, 0.05, 0.15, 0.3])
+        y = [r.getrandbits(63) if r.random() < rate else v for v in x[r.randrange(5):]]
+        for _ in range(r.randrange(3)):
+            at = r.randrange(len(y))
+            y[at:at] = [r.getrandbits(63) for _ in range(r.randrange(20))]
+        if n % 4 == 0:  # moved within the drift
+            at = r.randrange(len(y) - 10)
+            y[at:at + 10] = y[at + 5:at + 10] + y[at:at + 5]
+        repeated = [*y, *[r.getrandbits(63)] * 2]  # a foreign shingle that repeats, behind the rest
+        x, y, repeated = (np.array(v, np.uint64) for v in (x, y, repeated))
+        got = passages.common_passages(x, y, 5, 50, 0.75)
+        assert got == passages.common_passages(x, repeated, 5, 50, 0.75)
+        found += len(got)
+    assert found > 200
+
+
+def test_windows_of_deep_trees():
+    rng = np.random.default_rng(3)
+    rows = [np.full(1500, 7, np.uint64), rng.integers(0, 2**63, 1500).astype(np.uint64), rng.integers(0, 3, 700).astype(np.uint64) << np.uint64(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(v) for v in rows])])
+    values = np.concatenate(rows)
+    low = np.uint64((1 << int(len(values)).bit_length()) - 1)
+    keyed = ((values & ~low) | np.arange(len(values), dtype=np.uint64)).tolist()
+    want = set()
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        todo = [(lo, hi)]
+        while todo:
+            s, e = todo.pop()
+            if e - s >= 46:
+                c = min(range(s, e), key=keyed.__getitem__)
+                want.add((s, c, e - 1))
+                todo += [(s, c), (c + 1, e)]
+    got = list(zip(*(v.tolist() for v in passages.compact_windows(values, bounds, 46))))
+    assert len(got) == len(want) and set(got) == want and len(want) > 1500
