@@ -272,6 +272,38 @@ def test_passages_of_documents_unlike_the_first_of_their_key(spark):
         assert {(r.other_id, r.start, r.other_start, r.length == r.other_length, r.similarity) for r in found if r.doc_id == 100 + texts[0][0]} == {(texts[0][0], 0, 0, True, 1.0)}
 
 
+def test_all_pairs_of_a_large_family_of_near_copies(spark):
+    """More documents than a block compares at once, each unlike the first and its neighbours in places of its own."""
+    rng = random.Random(37)
+    base, line = sentence(rng, 150, 10**6), sentence(rng, 60, 10**6)
+    texts = [(i, edited(rng, base, 4)) for i in range(90)]
+    copies = [(200 + i, f"{sentence(rng, 30, 10**6)} {line} {sentence(rng, 30, 10**6)}") for i in range(80)]
+    wanted = alike_pairs(texts)
+    found = passages.repeated_passages(frame(spark, texts + copies).repartition(3), most=8).collect()
+    got = {(r.other_id, r.doc_id) for r in found}
+    assert len(wanted) > 1500 and len(wanted - got) <= 5
+    # word for word the same, so one may stand for all
+    assert any({(min(i, n), max(i, n)) for n in range(200, 280) if n != i} <= got for i in range(200, 280))
+
+
+def test_tiles_hold_all_pairs():
+    r = np.random.default_rng(5)
+    flags = r.random((60, passages.BITS)) < 0.05
+    flags[:, :60] = r.random((60, 60)) < 0.75
+    bits, common = np.packbits(flags, axis=1).view(np.uint64), 40
+    crowds = [[16], None, [17, 32]]  # the lowest bits say how a run lies to the minimum
+    rows = [{"key": 16 * (n % 2) + 3, "doc": n, "place": n, "piece": n % 3, "bits": bits[n].tobytes(), "common": common, "crowds": crowds[n // 7 % 3]} for n in range(60)]
+    wanted = sorted((x["doc"], y["doc"]) for x in rows for y in rows if x["key"] == y["key"] and x["doc"] < y["doc"]
+                    and not set(x["crowds"] or []) & set(y["crowds"] or []) and (flags[x["doc"]] & flags[y["doc"]]).sum() >= common)
+    tiles = [{**x, "lo": min(x["piece"], p), "hi": max(x["piece"], p)} for x in rows for p in range(3)]
+    tiles.sort(key=lambda x: tuple(x[c] for c in ("key", "lo", "hi", "piece", "doc", "place")))
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "lo", "hi", "piece", "doc", "place", "common")] + [("bits", pa.binary()), ("crowds", pa.list_(pa.int64()))])
+    for size in (7, 1000):
+        batches = pa.Table.from_pylist(tiles, schema).to_batches(max_chunksize=size)
+        got = sorted(tuple(sorted((x["doc"], x["other"]))) for b in passages._tile_task(iter(batches)) for x in b.to_pylist())
+        assert 20 < len(wanted) < 700 and got == wanted
+
+
 def test_pairs_of_small_keys():
     made = {(int(i), int(j)) for a, b in passages.all_pairs(np.array([0, 3, 4]), np.array([3, 1, 2])) for i, j in zip(a, b)}
     assert made == {(1, 0), (2, 1), (2, 0), (5, 4)}
