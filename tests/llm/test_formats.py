@@ -168,6 +168,21 @@ def test_tool_calls(spark):
                                    spark.createDataFrame(schemas, "name string, field string, type string, required boolean")).count() == 0
 
 
+def test_turns_of_all_roles_and_whole_conversations(spark):
+    turns = [(1, 0, "system", "rules")] + [(1, n, "user" if n % 2 else "assistant", f"t{n}") for n in range(1, 13)] + [(1, 13, "tool", None), (2, 0, None, "who"), (None, 0, "note", "x")]
+    talks = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    calls, results = tool_calls.from_turns(talks)
+    got = tool_calls.linked_calls(calls, results, tool_calls.reply_schemas(spark), tool_calls.other_turns(talks)).collect()
+    assert {r.turn: (r.layer, r.status) for r in got if r.status != "message"} == {n: (n // 2, "ok") for n in range(1, 13, 2)}
+    lines = {(r.conv_id, r.turn): r.line for r in got if r.status == "message"}
+    assert lines == {k: json.dumps({"arguments": None, "content": t, "id": None, "name": n, "order": None}, separators=(",", ":"))
+                     for k, n, t in (((1, 0), "system", "rules"), ((1, 13), "tool", None), ((2, 0), None, "who"), ((None, 0), "note", "x"))}
+    told = [t for r in got for t in (json.loads(r.line)["content"], (json.loads(r.line)["arguments"] or {}).get("prompt")) if t]
+    assert sorted(told) == sorted(t[3] for t in turns if t[3])  # every text is in one line
+    short = tool_calls.from_turns(talks, run=8)[0].collect()
+    assert {r.turn for r in short if r.needs} == {3, 5, 7, 11}
+
+
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_line_dedup", "op5_tool_call_linking"])
 def test_queries_against_sql(spark, name):
     from firmground.llm.queries import QUERIES, SQL
